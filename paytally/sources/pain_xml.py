@@ -22,17 +22,16 @@ files go through the whole-document reader.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paytally import schemas
 from paytally.functions import scalars as S
+from paytally.sources import plain_markup
+from paytally.sources.carry import carry_marks
 from paytally.storage import write_once
 from paytally.tables import PaymentTables
 
@@ -89,9 +88,19 @@ def scan(reader, path: str | Sequence[str]) -> DataFrame:
     )
 
 
+def _guarded(test: Column, costly: Column) -> Column:
+    """``costly`` where ``test`` holds, else false.
+
+    Unlike ``&``, whose sides may be evaluated ahead as common subexpressions, a CASE leaves
+    the costly side alone for the rows that do not need it.
+    """
+    return F.when(test, costly).otherwise(F.lit(False))
+
+
 def _ends_with(value: Column, opening: str) -> Column:
     """Whether a piece ends in ``opening``, directly or followed by a namespace prefix."""
-    return value.endswith(opening) | (value.endswith(":") & value.rlike(rf"{opening}[\w.-]+:\z"))
+    prefixed = _guarded(value.endswith(":"), value.rlike(rf"{opening}[\w.-]+:\z"))
+    return F.when(value.endswith(opening), F.lit(True)).otherwise(prefixed)
 
 
 def _plain(value: Column) -> Column:
@@ -112,285 +121,292 @@ def _plain(value: Column) -> Column:
 def _unclosed(value: Column) -> Column:
     """Whether a comment or CDATA section starts in this piece and does not end in it."""
     rest = F.regexp_replace(value, r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->", "")
-    return value.contains("<!") & (rest.contains("<!--") | rest.contains("<![CDATA["))
+    return _guarded(value.contains("<!"), rest.rlike(r"<!--|<!\[CDATA\["))
 
 
-def _id_in(fragment: Column, tag: str) -> Column:
-    """The raw text of the id element of a header fragment; NULL without one."""
+def _mark(fragment: Column, tag: str) -> Column:
+    """What a header fragment leaves behind for the pieces after it: "=" and the raw text of
+    its id element, an empty text if it has none; NULL if there is no fragment."""
     text = F.regexp_extract(fragment, rf"<{PREFIX}{tag}\s*>([^<]*)<", 1)
-    return F.when(fragment.rlike(rf"<{PREFIX}{tag}\s*/?>"), S.trim_text(text))
+    has = fragment.rlike(rf"<{PREFIX}{tag}\s*/?>")
+    return F.when(fragment.isNotNull(), F.when(has, F.concat(F.lit("="), S.trim_text(text))).otherwise(F.lit("")))
 
 
-def _unescaped(raw: Column) -> Column:
+def _marked_id(mark: Column) -> Column:
+    """The id in a mark, entities resolved."""
+    raw = F.when(mark != "", F.substr(mark, F.lit(2)))
     parsed = F.from_xml(F.concat(F.lit("<r><v>"), raw, F.lit("</v></r>")), "v string")
     return F.when(raw.contains("&"), S.trim_text(parsed["v"])).otherwise(raw)
 
 
+def _is_group(fragment: Column) -> Column:
+    return fragment.rlike(rf"^<{PREFIX}GrpHdr")
+
+
+def _fragments(markup: Column) -> Column:
+    """All group and block headers in the text between two transactions, in order. The last
+    block is usually cut off where its first transaction starts."""
+    pattern = rf"(?s)<{PREFIX}(GrpHdr|PmtInf)(?:\s*/>|(?=[\s>]).*?(?:</{PREFIX}\1\s*>|\z))"
+    return F.regexp_extract_all(markup, F.lit(pattern), F.lit(0))
+
+
 def _pieces(raw: DataFrame) -> DataFrame:
-    """Classified pieces: transaction bodies, and whatever lies between them that matters."""
+    """The pieces that matter, with the marks their headers leave."""
     value = col("value")
     body = _ends_with(value, "</")
-    tail = ~body & ~_ends_with(value, "<")
+    tail = F.when(body, F.lit(False)).otherwise(~_ends_with(value, "<"))
     matters = (
         value.contains("PmtInf") | value.contains("GrpHdr") | value.contains("Document")
         | value.contains("<!") | value.contains("/>")
     )
-    kept = raw.withColumn("is_body", body).withColumn("tail", tail).where(col("is_body") | col("tail") | matters)
-
-    between = F.when(~col("is_body"), _plain(value))
-    fragments = F.regexp_extract_all(
-        between,
-        F.lit(rf"(?s)<{PREFIX}(GrpHdr|PmtInf)(?:\s*/>|(?=[\s>]).*?(?:</{PREFIX}\1\s*>|\z))"),
-        F.lit(0),
+    kept = (
+        raw.withColumn("is_body", body)
+        .withColumn("tail", tail)
+        .where(F.when(col("is_body") | col("tail"), F.lit(True)).otherwise(matters))
+        .withColumn("fragments", F.when(~col("is_body"), _fragments(_plain(value))))
     )
-
-    def times(pattern: str) -> Column:
-        return F.coalesce(F.regexp_count(between, F.lit(pattern)), F.lit(0))
-
-    # An element name followed by "/>" before any other markup: an empty transaction element.
-    self_closed = ~col("is_body") & value.rlike(r"^[^<>]*/>")
-    is_group = lambda f: f.rlike(rf"^<{PREFIX}GrpHdr")
-    last_group = F.try_element_at(F.filter(col("fragments"), is_group), F.lit(-1))
-    last_block = F.try_element_at(F.filter(col("fragments"), lambda f: ~is_group(f)), F.lit(-1))
-    return (
-        kept.withColumn("fragments", F.when(~col("is_body"), fragments))
-        .select(
-            SOURCE_FILE,
-            "split_start",
-            F.when(col("is_body"), value).alias("body"),
-            "fragments",
-            last_group.isNotNull().alias("has_group"),
-            _id_in(last_group, "MsgId").alias("group_mark"),
-            last_block.isNotNull().alias("has_block"),
-            _id_in(last_block, "PmtInfId").alias("block_mark"),
-            times(rf"<{PREFIX}Document[\s>]").alias("documents_opened"),
-            times(rf"</{PREFIX}Document\s*>").alias("documents_closed"),
-            times(rf"<{PREFIX}PmtInf[\s>]").alias("blocks_opened"),
-            times(rf"</{PREFIX}PmtInf\s*>").alias("blocks_closed"),
-            col("tail").cast("int").alias("tails"),
-            (_unclosed(value) | self_closed).alias("irregular"),
-        )
+    last_group = F.try_element_at(F.filter(col("fragments"), _is_group), F.lit(-1))
+    last_block = F.try_element_at(F.filter(col("fragments"), lambda f: ~_is_group(f)), F.lit(-1))
+    return kept.select(
+        SOURCE_FILE,
+        "split_start",
+        "value",
+        "is_body",
+        "tail",
+        F.when(~col("is_body"), _mark(last_group, "MsgId")).alias("group"),
+        F.when(~col("is_body"), _mark(last_block, "PmtInfId")).alias("block"),
     )
 
 
 # ---- carrying ids forward inside a split ----------------------------------------------------
 
-_CARRIED = "seq long, group_seen boolean, group_id string, block_seen boolean, block_id string"
-
-
-def _before(marked: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each row, the last marked row strictly before it in its run, or -1."""
-    place = np.arange(len(marked))
-    last = np.maximum.accumulate(np.where(marked, place, -1))
-    previous = np.concatenate(([-1], last[:-1]))
-    run = np.maximum.accumulate(np.where(starts, place, 0))
-    return np.where(previous >= run, previous, -1)
-
-
-def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Give each piece the ids of the headers before it in its split.
-
-    Pieces reach a task in file order, so a running value is all it takes. A window over
-    (file, split) would give the same, but would shuffle and sort every transaction.
-    """
-    at: tuple | None = None
-    seq = 0
-    state = {"group": (False, None), "block": (False, None)}
-    for batch in batches:
-        n = batch.num_rows
-        if n == 0:
-            continue
-        file, split = batch.column(SOURCE_FILE), batch.column("split_start")
-        first = (file[0].as_py(), split[0].as_py())
-        starts = np.ones(n, dtype=bool)
-        if n > 1:
-            starts[1:] = pc.or_(
-                pc.not_equal(file.slice(1), file.slice(0, n - 1)),
-                pc.not_equal(split.slice(1), split.slice(0, n - 1)),
-            ).to_numpy(zero_copy_only=False)
-        starts[0] = first != at
-        if starts[0]:
-            state = {"group": (False, None), "block": (False, None)}
-        first_run = np.cumsum(starts) == (1 if starts[0] else 0)
-        added = {"seq": pa.array(np.arange(seq, seq + n))}
-        for name in ("group", "block"):
-            marked = batch.column(f"has_{name}").to_numpy(zero_copy_only=False)
-            marks = batch.column(f"{name}_mark")
-            previous = _before(marked, starts)
-            seen, value = state[name]
-            inherited = (previous < 0) & first_run & seen
-            known = (previous >= 0) | inherited
-            pool = pa.concat_arrays([pa.array([value], marks.type), marks])
-            where = pa.array(np.where(previous >= 0, previous + 1, 0), mask=~known)
-            added[f"{name}_seen"] = pa.array(known)
-            added[f"{name}_id"] = pool.take(where)
-            if marked[n - 1]:
-                state[name] = (True, marks[n - 1].as_py())
-            else:
-                state[name] = (bool(known[n - 1]), added[f"{name}_id"][n - 1].as_py())
-        at = (file[n - 1].as_py(), split[n - 1].as_py())
-        seq += n
-        kept = [c for c in batch.schema.names if c not in _DROPPED]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in kept), *added.values()], names=[*kept, *added]
-        )
-
-
-_DROPPED = ("has_group", "group_mark", "has_block", "block_mark")
-
-
 def _carried(pieces: DataFrame) -> DataFrame:
-    kept = ", ".join(
-        f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name not in _DROPPED
-    )
-    return pieces.mapInArrow(_carry, f"{kept}, {_CARRIED}")
+    schema = schemas.T.StructType([*pieces.schema.fields, schemas.T.StructField("seq", schemas.T.LongType())])
+    return pieces.mapInArrow(carry_marks, schema)
 
 
 # ---- parsing -------------------------------------------------------------------------------
 
 
 def _joined(texts: Column) -> Column:
-    """Repeated text as one value: trimmed, blanks skipped, one per line; NULL if none."""
-    kept = F.filter(F.transform(texts, S.trim_text), lambda t: t.isNotNull() & (t != ""))
-    return F.when(F.size(kept) > 0, F.array_join(kept, "\n"))
+    """Repeated text as one value: trimmed, blanks skipped, one per line."""
+    trimmed = F.transform(texts, S.trim_text)
+    return F.array_join(F.filter(trimmed, lambda t: t != ""), "\n")
 
 
 def _last(values: Column) -> Column:
     return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
 
 
-def transaction_columns(t: Column) -> tuple[list[Column], Column]:
-    """The fields of a parsed transaction, and what is wrong with it (NULL if nothing)."""
-    amount_text = S.trim_text(t["Amt"]["InstdAmt"]["_VALUE"])
-    amount = S.decimal_text(amount_text, 18, 5)
+# Where the fields of a transaction and of the headers are found.
+TRANSACTION_PATHS = {
+    "instr_id": ("PmtId", "InstrId"),
+    "end_to_end_id": ("PmtId", "EndToEndId"),
+    "cdtr_agt_bicfi": ("CdtrAgt", "FinInstnId", "BICFI"),
+    "cdtr_nm": ("Cdtr", "Nm"),
+    "cdtr_acct_iban": ("CdtrAcct", "Id", "IBAN"),
+    "purp_cd": ("Purp", "Cd"),
+    "ultmt_cdtr_nm": ("UltmtCdtr", "Nm"),
+    "cdtr_ctry": ("Cdtr", "PstlAdr", "Ctry"),
+}
+# Repeated texts, each kept as one joined value.
+REPEATED = ("rmt_inf_ustrd", "rglty_rptg_cd")
+HEADER_PATHS = {
+    "msg_id": ("MsgId",),
+    "msg_cre_dt_tm": ("CreDtTm",),
+    "nb_of_txs": ("NbOfTxs",),
+    "ctrl_sum": ("CtrlSum",),
+    "msg_initg_pty_nm": ("InitgPty", "Nm"),
+    "pmt_inf_id": ("PmtInfId",),
+    "pmt_mtd": ("PmtMtd",),
+    "svc_lvl_cd": ("PmtTpInf", "SvcLvl", "Cd"),
+    "reqd_exctn_dt": ("ReqdExctnDt", "Dt"),
+    "dbtr_nm": ("Dbtr", "Nm"),
+    "dbtr_acct_iban": ("DbtrAcct", "Id", "IBAN"),
+    "dbtr_agt_bicfi": ("DbtrAgt", "FinInstnId", "BICFI"),
+    "btch_bookg": ("BtchBookg",),
+    "instr_prty": ("PmtTpInf", "InstrPrty"),
+    "lcl_instrm_cd": ("PmtTpInf", "LclInstrm", "Cd"),
+    "ctgy_purp_cd": ("PmtTpInf", "CtgyPurp", "Cd"),
+    "chrg_br": ("ChrgBr",),
+    "ultmt_dbtr_nm": ("UltmtDbtr", "Nm"),
+}
+
+
+def _walk(parsed: Column, path: Sequence[str]) -> Column:
+    for name in path:
+        parsed = parsed[name]
+    return parsed
+
+
+def parsed_transaction(t: Column) -> dict[str, Column]:
+    """The raw texts of a transaction parsed by ``from_xml``, repeated ones joined."""
     codes = F.flatten(F.transform(F.flatten(t["RgltryRptg"]["Dtls"]), lambda d: F.coalesce(d["Cd"], F.array())))
     references = t["RmtInf"]["Strd"]["CdtrRefInf"]
-    fields = {
-        "instr_id": t["PmtId"]["InstrId"],
-        "end_to_end_id": t["PmtId"]["EndToEndId"],
+    return {
+        **{name: _walk(t, path) for name, path in TRANSACTION_PATHS.items()},
+        "instd_amt": t["Amt"]["InstdAmt"]["_VALUE"],
         "ccy": t["Amt"]["InstdAmt"]["_Ccy"],
-        "cdtr_agt_bicfi": t["CdtrAgt"]["FinInstnId"]["BICFI"],
-        "cdtr_nm": t["Cdtr"]["Nm"],
-        "cdtr_acct_iban": t["CdtrAcct"]["Id"]["IBAN"],
-        "purp_cd": t["Purp"]["Cd"],
-        "ultmt_cdtr_nm": t["UltmtCdtr"]["Nm"],
-        "cdtr_ctry": t["Cdtr"]["PstlAdr"]["Ctry"],
+        "rmt_inf_ustrd": _joined(t["RmtInf"]["Ustrd"]),
+        "rglty_rptg_cd": _joined(codes),
         "rmt_inf_strd_ref": _last(references["Ref"]),
         "rmt_inf_strd_ref_tp": _last(references["Tp"]["CdOrPrtry"]["Cd"]),
     }
-    columns = {name: (value if name == "ccy" else S.trim_text(value)) for name, value in fields.items()}
+
+
+def plain_transaction(cut: Column) -> dict[str, Column]:
+    """The same of a transaction whose markup is plain, repeated texts joined already."""
+    shape = plain_markup.TRANSACTION_SHAPE
+    return {name: (shape.lines if name in REPEATED else shape.text)(cut, name) for name in shape.fields}
+
+
+def typed_transaction(raw: dict[str, Column]) -> tuple[list[Column], Column]:
+    """The fields of a transaction, and what is wrong with it (NULL if nothing)."""
+    amount_text = S.trim_text(raw["instd_amt"])
+    amount = S.decimal_text(amount_text, 18, 5)
+    columns = {name: (text if name == "ccy" else S.trim_text(text)) for name, text in raw.items()}
     columns["instd_amt"] = amount
-    columns["rmt_inf_ustrd"] = _joined(t["RmtInf"]["Ustrd"])
-    columns["rglty_rptg_cd"] = _joined(codes)
-    names = [n for n in schemas.TRANSACTIONS.names if n != "pmt_inf_id"]
+    for name in REPEATED:
+        columns[name] = F.when(raw[name] != "", raw[name])
     problem = F.when((amount_text != "") & amount.isNull(), F.concat(F.lit("bad InstdAmt: "), amount_text))
+    names = [n for n in schemas.TRANSACTIONS.names if n != "pmt_inf_id"]
     return [columns[n].alias(n) for n in names], problem
 
 
-def header_columns(h: Column) -> tuple[list[Column], Column]:
-    """The fields of a parsed group or block header, and what is wrong with it."""
-    sum_text, day_text = S.trim_text(h["CtrlSum"]), S.trim_text(h["ReqdExctnDt"]["Dt"])
+def parsed_header(h: Column) -> dict[str, Column]:
+    return {name: _walk(h, path) for name, path in HEADER_PATHS.items()}
+
+
+def plain_header(cut: Column) -> dict[str, Column]:
+    shape = plain_markup.HEADER_SHAPE
+    return {name: shape.text(cut, name) for name in shape.fields}
+
+
+def typed_header(raw: dict[str, Column]) -> tuple[list[Column], Column]:
+    """The fields of a group or block header, and what is wrong with it."""
+    texts = {name: S.trim_text(text) for name, text in raw.items()}
+    sum_text, day_text = texts["ctrl_sum"], texts["reqd_exctn_dt"]
     total, day = S.decimal_text(sum_text, 18, 2), S.iso_date_text(day_text)
-    texts = {
-        "msg_id": h["MsgId"],
-        "msg_cre_dt_tm": h["CreDtTm"],
-        "nb_of_txs": h["NbOfTxs"],
-        "msg_initg_pty_nm": h["InitgPty"]["Nm"],
-        "pmt_inf_id": h["PmtInfId"],
-        "pmt_mtd": h["PmtMtd"],
-        "svc_lvl_cd": h["PmtTpInf"]["SvcLvl"]["Cd"],
-        "dbtr_nm": h["Dbtr"]["Nm"],
-        "dbtr_acct_iban": h["DbtrAcct"]["Id"]["IBAN"],
-        "dbtr_agt_bicfi": h["DbtrAgt"]["FinInstnId"]["BICFI"],
-        "btch_bookg": h["BtchBookg"],
-        "instr_prty": h["PmtTpInf"]["InstrPrty"],
-        "lcl_instrm_cd": h["PmtTpInf"]["LclInstrm"]["Cd"],
-        "ctgy_purp_cd": h["PmtTpInf"]["CtgyPurp"]["Cd"],
-        "chrg_br": h["ChrgBr"],
-        "ultmt_dbtr_nm": h["UltmtDbtr"]["Nm"],
-    }
-    columns = [S.trim_text(value).alias(name) for name, value in texts.items()]
-    columns += [total.alias("ctrl_sum"), day.alias("reqd_exctn_dt")]
     problem = F.coalesce(
         F.when(sum_text.isNotNull() & total.isNull(), F.concat(F.lit("bad CtrlSum: "), sum_text)),
         F.when(day_text.isNotNull() & day.isNull(), F.concat(F.lit("bad ReqdExctnDt: "), day_text)),
     )
-    return columns, problem
+    texts |= {"ctrl_sum": total, "reqd_exctn_dt": day}
+    return [value.alias(name) for name, value in texts.items()], problem
+
+
+def _either(plain: Column, short: dict[str, Column], full: dict[str, Column]) -> dict[str, Column]:
+    return {name: F.when(plain, short[name]).otherwise(full[name]) for name in full}
 
 
 _OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 _FACTS = ("documents_opened", "documents_closed", "blocks_opened", "blocks_closed", "tails")
 
 
+def _parse_transactions(rows: DataFrame) -> tuple[DataFrame, list[Column], Column]:
+    """Adds what the transaction fields are computed from; returns the fields and a problem."""
+    value, body = col("value"), col("is_body")
+    # A body ends in the "</" (and prefix) of its closing tag, so only the name is missing.
+    prefix = F.when(value.endswith("</"), F.lit("")).otherwise(F.regexp_extract(value, r"</([\w.-]+:)\z", 1))
+    element = F.concat(F.lit("<"), prefix, F.lit(TRANSACTION_TAG), value, F.lit(f"{TRANSACTION_TAG}>"))
+    cut, t = col("body_cut"), col("t")
+    plain = plain_markup.Shape.is_plain(cut)
+    # The text itself is dropped as soon as it is cut, so that it is not copied from step to step.
+    rows = (
+        rows.withColumn("body_cut", F.when(body, plain_markup.TRANSACTION_SHAPE.cut(value)))
+        .withColumn("value", F.when(~plain, value))
+        .withColumn("t", F.when(body & ~plain, F.from_xml(element, TRANSACTION_XML, _OPTIONS)))
+    )
+    raw = _either(plain, plain_transaction(cut), parsed_transaction(t))
+    # Joined in a step of their own, as what follows names them more than once.
+    rows = rows.withColumns({name: F.when(body, raw[name]) for name in REPEATED}).withColumns(
+        {
+            "irregular": F.when(value.isNull(), F.lit(False)).otherwise(_unclosed(value)),
+            "value": F.when(~body, value),
+        }
+    )
+    fields, problem = typed_transaction(raw | {name: col(name) for name in REPEATED})
+    malformed = body & ~plain & (t.isNull() | t["_corrupt_record"].isNotNull())
+    return rows, fields, F.when(malformed, F.lit("malformed transaction")).otherwise(problem)
+
+
+def _parse_headers(rows: DataFrame) -> tuple[DataFrame, list[Column], Column]:
+    """The same for ``fragment``, a group or block header."""
+    fragment, cut, h = col("fragment"), col("head_cut"), col("h")
+    plain = plain_markup.Shape.is_plain(cut)
+    tag = F.when(_is_group(fragment), F.lit("GrpHdr")).otherwise(F.lit("PmtInf"))
+    complete = fragment.rlike(rf"(?:</{PREFIX}(?:GrpHdr|PmtInf)\s*>|/>)\z")
+    closed = F.concat(
+        F.regexp_replace(fragment, rf"<{PREFIX}\z", ""),
+        F.lit("</"), F.regexp_extract(fragment, r"^<([\w.-]+:)?", 1), tag, F.lit(">"),
+    )
+    rows = (
+        rows.withColumn("fragment", F.when(complete, fragment).otherwise(closed))
+        .withColumn("head_cut", F.when(fragment.isNotNull(), plain_markup.HEADER_SHAPE.cut(fragment)))
+        .withColumn("h", F.when(fragment.isNotNull() & ~plain, F.from_xml(fragment, HEADER_XML, _OPTIONS)))
+    )
+    raw = _either(plain, plain_header(cut), parsed_header(h))
+    fields, problem = typed_header(raw)
+    malformed = fragment.isNotNull() & ~plain & (h.isNull() | h["_corrupt_record"].isNotNull())
+    return rows, fields, F.when(malformed, F.lit("malformed header")).otherwise(problem)
+
+
 def parse_pieces(raw: DataFrame) -> DataFrame:
     """One row per transaction, block and message, plus rows that only carry facts on a file.
 
-    ``kind`` is T, R, M or F; ``tx`` and ``head`` hold the converted fields.
+    ``kind`` is T, R, M or F; ``tx`` and ``head`` hold the converted fields. ``group`` and
+    ``block`` are the marks of the headers before the row in its split, NULL if there are none.
     """
-    # A body ends in the "</" (and prefix) of its closing tag, so only the name is missing.
-    body = col("body")
-    prefix = F.when(body.endswith("</"), F.lit("")).otherwise(F.regexp_extract(body, r"</([\w.-]+:)\z", 1))
-    transaction = F.concat(F.lit("<"), prefix, F.lit(TRANSACTION_TAG), body, F.lit(f"{TRANSACTION_TAG}>"))
+    value, body = col("value"), col("is_body")
+    pieces, tx_fields, tx_problem = _parse_transactions(_carried(_pieces(raw)))
+    between = pieces.withColumn("between", F.when(~body, _plain(value)))
 
-    fragment = col("fragment")
-    tag_prefix = F.regexp_extract(fragment, rf"^<([\w.-]+:)?", 1)
-    group = fragment.rlike(rf"^<{PREFIX}GrpHdr")
-    complete = fragment.rlike(rf"(?:</{PREFIX}(?:GrpHdr|PmtInf)\s*>|/>)\z")
-    closed = F.when(complete, fragment).otherwise(
-        F.concat(
-            F.regexp_replace(fragment, rf"<{PREFIX}\z", ""),
-            F.lit("</"), tag_prefix, F.when(group, F.lit("GrpHdr")).otherwise(F.lit("PmtInf")), F.lit(">"),
-        )
-    )
-    groups_inside = F.filter(
+    def times(pattern: str) -> Column:
+        count = F.size(F.regexp_extract_all("between", F.lit(pattern), F.lit(0)))
+        return F.when(body, F.lit(0)).otherwise(count)
+
+    # An element name followed by "/>" before any other markup: an empty transaction element.
+    self_closed = _guarded(~body, value.rlike(r"^[^<>]*/>"))
+    groups = F.filter(
         F.transform(
             col("fragments"),
-            lambda f, i: F.when(
-                f.rlike(rf"^<{PREFIX}GrpHdr"), F.struct(i.alias("pos"), _id_in(f, "MsgId").alias("id"))
-            ),
+            lambda f, i: F.when(_is_group(f), F.struct(i.alias("pos"), _mark(f, "MsgId").alias("mark"))),
         ),
         lambda g: g.isNotNull(),
     )
     rows = (
-        _carried(_pieces(raw))
-        .withColumn("groups", F.when(F.size("fragments") > 0, groups_inside))
+        between.withColumn("fragments", F.when(~body, _fragments(col("between"))))
+        .withColumn("documents_opened", times(rf"<{PREFIX}Document[\s>]"))
+        .withColumn("documents_closed", times(rf"</{PREFIX}Document\s*>"))
+        .withColumn("blocks_opened", times(rf"<{PREFIX}PmtInf[\s>]"))
+        .withColumn("blocks_closed", times(rf"</{PREFIX}PmtInf\s*>"))
+        .withColumn("tails", col("tail").cast("int"))
+        .withColumn("irregular", F.when(self_closed, F.lit(True)).otherwise(col("irregular")))
+        .withColumn("groups", F.when(F.size("fragments") > 0, groups))
         .select("*", F.posexplode_outer("fragments").alias("pos", "fragment"))
-        .drop("fragments")
+        .drop("fragments", "between", "value")
         .withColumn("pos", F.coalesce("pos", F.lit(0)))
-        .withColumn(
-            "kind",
-            F.when(col("body").isNotNull(), F.lit("T"))
-            .when(fragment.isNull(), F.lit("F"))
-            .when(group, F.lit("M"))
-            .otherwise(F.lit("R")),
-        )
-        .withColumn("t", F.when(col("kind") == "T", F.from_xml(transaction, TRANSACTION_XML, _OPTIONS)))
-        .withColumn("h", F.when(fragment.isNotNull(), F.from_xml(closed, HEADER_XML, _OPTIONS)))
     )
-    tx_fields, tx_problem = transaction_columns(col("t"))
-    head_fields, head_problem = header_columns(col("h"))
-    malformed = F.when(
-        (col("kind") == "T") & (col("t").isNull() | col("t")["_corrupt_record"].isNotNull()),
-        F.lit("malformed transaction"),
-    ).when(
-        fragment.isNotNull() & (col("h").isNull() | col("h")["_corrupt_record"].isNotNull()),
-        F.lit("malformed header"),
+    rows, head_fields, head_problem = _parse_headers(rows)
+    fragment = col("fragment")
+    kind = (
+        F.when(body, F.lit("T")).when(fragment.isNull(), F.lit("F")).when(_is_group(fragment), F.lit("M"))
+        .otherwise(F.lit("R"))
     )
-    local_group = _last(F.transform(F.filter(col("groups"), lambda g: g["pos"] < col("pos")), lambda g: g))
+    # Groups in the same piece, before this fragment, are nearer than those of earlier pieces.
+    nearer = _last(F.transform(F.filter(col("groups"), lambda g: g["pos"] < col("pos")), lambda g: g["mark"]))
     once = col("pos") == 0
     return rows.select(
         SOURCE_FILE,
         "split_start",
         "seq",
         "pos",
-        "kind",
-        (local_group.isNotNull() | col("group_seen")).alias("group_seen"),
-        _unescaped(F.when(local_group.isNotNull(), local_group["id"]).otherwise(col("group_id"))).alias("group_id"),
-        "block_seen",
-        _unescaped(col("block_id")).alias("block_id"),
-        F.when(col("kind") == "T", F.struct(*tx_fields)).alias("tx"),
+        kind.alias("kind"),
+        F.when(fragment.isNotNull(), F.coalesce(nearer, col("group"))).alias("group"),
+        F.when(body, col("block")).alias("block"),
+        F.when(body, F.struct(*tx_fields)).alias("tx"),
         F.when(fragment.isNotNull(), F.struct(*head_fields)).alias("head"),
-        F.coalesce(malformed, F.when(col("kind") == "T", tx_problem).otherwise(head_problem)).alias("problem"),
+        F.when(body, tx_problem).otherwise(head_problem).alias("problem"),
         *(F.when(once, col(c)).otherwise(F.lit(0)).alias(c) for c in _FACTS),
         "irregular",
     )
@@ -455,8 +471,8 @@ def _tables(staged: DataFrame, index: DataFrame, small: bool) -> PaymentTables:
     def rows(kind: str) -> DataFrame:
         return _with_index(staged.where(col("kind") == kind), index, small)
 
-    group = F.when(col("group_seen"), col("group_id")).otherwise(col("inherited_group"))
-    block = F.when(col("block_seen"), col("block_id")).otherwise(col("inherited_block"))
+    group = F.when(col("group").isNotNull(), _marked_id(col("group"))).otherwise(col("inherited_group"))
+    block = F.when(col("block").isNotNull(), _marked_id(col("block"))).otherwise(col("inherited_block"))
     return PaymentTables(
         message=rows("M").select(SOURCE_FILE, *_message(col("head"))),
         remittance=rows("R").select(SOURCE_FILE, group.alias("msg_id"), *_remittance(col("head"))),
@@ -494,21 +510,24 @@ def read_whole_documents(spark: SparkSession, path: str | Sequence[str]) -> tupl
         .load(path)
         .select("*", col("_metadata.file_path").alias(SOURCE_FILE))
     )
-    head_fields, _ = header_columns(_as_header("GrpHdr", ("MsgId", "CreDtTm", "InitgPty")))
-    _, group_problem = header_columns(_as_header("GrpHdr", ("MsgId", "CreDtTm", "InitgPty")))
+    group_fields, group_problem = typed_header(_document_texts("GrpHdr", ("MsgId", "CreDtTm", "InitgPty")))
     blocks = documents.select(
         SOURCE_FILE, S.trim_text(col("GrpHdr.MsgId")).alias("group_id"), F.explode("PmtInf").alias("b")
     )
-    block_names = (
-        "PmtInfId PmtMtd BtchBookg PmtTpInf Dbtr DbtrAcct DbtrAgt ChrgBr UltmtDbtr ReqdExctnDt".split()
+    block_fields, block_problem = typed_header(
+        _document_texts(
+            "b",
+            "PmtInfId PmtMtd BtchBookg PmtTpInf Dbtr DbtrAcct DbtrAgt ChrgBr UltmtDbtr ReqdExctnDt".split(),
+        )
     )
-    block_fields, block_problem = header_columns(_as_header("b", block_names))
     transactions = blocks.select(
         SOURCE_FILE, S.trim_text(col("b.PmtInfId")).alias("block_id"), F.explode("b.CdtTrfTxInf").alias("t")
     )
-    tx_fields, tx_problem = transaction_columns(col("t"))
+    raw = parsed_transaction(col("t"))
+    transactions = transactions.withColumns({name: raw[name] for name in REPEATED})
+    tx_fields, tx_problem = typed_transaction(raw | {name: col(name) for name in REPEATED})
 
-    heads = documents.where(col("GrpHdr").isNotNull()).select(SOURCE_FILE, F.struct(*head_fields).alias("head"))
+    heads = documents.where(col("GrpHdr").isNotNull()).select(SOURCE_FILE, F.struct(*group_fields).alias("head"))
     block_rows = blocks.select(SOURCE_FILE, "group_id", F.struct(*block_fields).alias("head"))
     tx_rows = transactions.select(SOURCE_FILE, "block_id", F.struct(*tx_fields).alias("tx"))
     problems = (
@@ -531,16 +550,13 @@ def read_whole_documents(spark: SparkSession, path: str | Sequence[str]) -> tupl
     return tables.map(lambda _, df: df.join(problems.select(SOURCE_FILE), SOURCE_FILE, "left_anti")), problems
 
 
-def _as_header(struct: str, present: Sequence[str]) -> Column:
-    """A group or block struct in the common header shape."""
-    full = schemas.T.StructType.fromDDL(HEADER_XML)
-    has = {*present, "NbOfTxs", "CtrlSum"}
-    return F.struct(
-        *(
-            (col(f"{struct}.{f.name}") if f.name in has else F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in full.fields
-        )
-    )
+def _document_texts(struct: str, elements: Sequence[str]) -> dict[str, Column]:
+    """The header texts found under ``struct``; those of other elements are NULL."""
+    present = {*elements, "NbOfTxs", "CtrlSum"}
+    return {
+        name: _walk(col(struct), path) if path[0] in present else F.lit(None).cast("string")
+        for name, path in HEADER_PATHS.items()
+    }
 
 
 # ---- entry points --------------------------------------------------------------------------
