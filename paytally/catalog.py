@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paytally import fixtures
+from paytally import fixtures, generate, schemas
 from paytally.functions import scalars as S
 from paytally.operators import domain, field_checks, lookups, reconcile
 from paytally.operators.issues import find
 from paytally.plans import report, suite
+from paytally.sources import arrow_ipc, ingest, pain_xml, pain_xml_writer
+from paytally.storage import fresh_path
+from paytally.streaming import arrivals
 from paytally.tables import PaymentTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +126,171 @@ def suite_queries() -> dict[str, Query]:
         "standard_suite_totals": _over(lambda t: report.totals(standard.findings(t))),
         "first_errors": _over(lambda t: report.first_errors(fields.findings(t))),
         "chained_checks": _findings(chained.findings, *FIELD),
+        "domain_suite_summary": _over(lambda t: report.by_validator(suite.domain_suite().findings(t))),
+    }
+
+
+# ---- documents, exchange and streams ---------------------------------------------------------
+
+_DOCUMENTS: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[PaymentTables, str]:
+    """The fixture tables as documents, written once per session and folder, with the tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DOCUMENTS:
+        base = fresh_path(spark, "documents")
+        tables = fixtures.payments(spark, sf_dir).save(f"{base}/tables")
+        pain_xml_writer.write(tables, f"{base}/xml")
+        _DOCUMENTS[key] = base
+    base = _DOCUMENTS[key]
+    return PaymentTables.load(spark, f"{base}/tables"), f"{base}/xml"
+
+
+def _from_xml(build: Callable[[pain_xml.PaymentFiles], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(pain_xml.read(spark, _stored(spark, sf_dir)[1]))
+
+
+def _dates_as_text(df: DataFrame) -> DataFrame:
+    return df.withColumns({f.name: F.col(f.name).cast("string") for f in df.schema if f.dataType.typeName() == "date"})
+
+
+def _columns(table: str, df: DataFrame) -> DataFrame:
+    return _dates_as_text(df.select(*schemas.TABLES[table].names))
+
+
+def _line_counts(files: pain_xml.PaymentFiles) -> DataFrame:
+    def lines(name: str):
+        return F.coalesce(F.size(F.split(F.col(name), "\n")), F.lit(0))
+
+    return (
+        files.tables.transactions.groupBy(
+            lines("rmt_inf_ustrd").alias("ustrd_lines"), lines("rglty_rptg_cd").alias("code_lines")
+        ).agg(F.count("*").alias("n"))
+    )
+
+
+# Every file of the quarantine query holds the messages of one bucket; some are damaged.
+BUCKETS = 16
+UNCLOSED_BUCKET, BAD_SUM_BUCKET, BAD_AMOUNT_BUCKET = 3, 7, 11
+
+
+def _damaged_documents(spark: SparkSession, sf_dir: str) -> str:
+    tables, _ = _stored(spark, sf_dir)
+    number = F.substring("msg_id", -10, 10).cast("bigint")
+    value, bucket = F.col("value"), F.col("bucket")
+    damaged = (
+        F.when((bucket == BAD_SUM_BUCKET), F.regexp_replace(value, "<CtrlSum>[^<]*<", "<CtrlSum>many<"))
+        .when((bucket == BAD_AMOUNT_BUCKET), F.regexp_replace(value, '(<InstdAmt Ccy="[^"]*">)[^<]*<', "$1much<"))
+        .otherwise(value)
+    )
+    path = fresh_path(spark, "damaged")
+    (
+        pain_xml_writer.fragments(tables)
+        .withColumn("bucket", F.pmod(number, F.lit(BUCKETS)))
+        .where((bucket != UNCLOSED_BUCKET) | (F.col("section") < 2))
+        .repartition("bucket")
+        .sortWithinPartitions("bucket", *pain_xml_writer.ORDER)
+        .select("bucket", damaged.alias("value"))
+        .write.partitionBy("bucket")
+        .text(path)
+    )
+    return path
+
+
+def _quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = pain_xml.read(spark, f"{_damaged_documents(spark, sf_dir)}/*/*.txt")
+    bucket = F.regexp_extract("source_file", r"bucket=(\d+)", 1).cast("bigint")
+    kept = files.tables.message.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("messages"))
+    reason = F.substring_index("reason", ":", 1)
+    lost = files.rejects.select(bucket.alias("bucket"), reason.alias("reason"))
+    return kept.join(lost, "bucket", "full")
+
+
+def _arrow_round_trip(table: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        arrow_ipc.register(spark)
+        path = fresh_path(spark, "exchange")
+        tables, _ = _stored(spark, sf_dir)
+        getattr(tables, table).write.format(arrow_ipc.FORMAT).mode("append").save(f"{path}/{table}")
+        back = spark.read.format(arrow_ipc.FORMAT).schema(schemas.TABLES[table]).load(f"{path}/{table}")
+        return _columns(table, back)
+
+    return run
+
+
+def _appended_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables, _ = _stored(spark, sf_dir)
+    path = fresh_path(spark, "appended")
+    tables.append(path)
+    twice = tables.append(path)
+    return twice.transactions.groupBy("ccy").agg(
+        F.count("*").alias("n"), F.sum("instd_amt").cast(schemas.TOTAL).alias("total")
+    )
+
+
+def _ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, documents = _stored(spark, sf_dir)
+    result = ingest.ingest(spark, documents, fresh_path(spark, "ingested"))
+    fixed = ("message_rows", "remittance_rows", "transaction_rows", "rejected_files")
+    return result.report().where(F.col("metric").isin(*fixed)).withColumn("value", F.col("value").cast("bigint"))
+
+
+def _stream(spark: SparkSession, sf_dir: str, checks: suite.Suite | None = None) -> str:
+    _, documents = _stored(spark, sf_dir)
+    target = fresh_path(spark, "arrivals")
+    query = arrivals.start(
+        spark, documents, f"{target}/tables", f"{target}/checkpoint", suite=checks, max_files=4
+    )
+    query.awaitTermination()
+    return f"{target}/tables"
+
+
+def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _columns("transactions", arrivals.stored_tables(spark, _stream(spark, sf_dir)).transactions)
+
+
+def _stream_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = _stream(spark, sf_dir, suite.standard_suite())
+    return arrivals.stored_issues(spark, target).select(*SUITE)
+
+
+def document_queries() -> dict[str, Query]:
+    return {
+        "xml_roundtrip_message": _from_xml(lambda f: _columns("message", f.tables.message)),
+        "xml_roundtrip_remittance": _from_xml(lambda f: _columns("remittance", f.tables.remittance)),
+        "xml_roundtrip_transaction": _from_xml(lambda f: _columns("transactions", f.tables.transactions)),
+        "xml_repeated_elements": _from_xml(_line_counts),
+        "xml_quarantine": _quarantine,
+        "parse_stats": _from_xml(lambda f: f.stats()),
+        "ingest_report": _ingest_report,
+        "arrow_roundtrip_message": _arrow_round_trip("message"),
+        "arrow_roundtrip_remittance": _arrow_round_trip("remittance"),
+        "arrow_roundtrip_transaction": _arrow_round_trip("transactions"),
+        "table_append": _appended_twice,
+        "projected_scan": _over(lambda t: t.project("transactions", "end_to_end_id", "instd_amt", "cdtr_nm")),
+        "stream_ingest": _stream_ingest,
+        "stream_checks": _stream_checks,
+    }
+
+
+def _index_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block and transaction numbers for generated payments, one pair per line item."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return items.select(F.col("l_orderkey").alias("block"), F.col("l_linenumber").cast("bigint").alias("tx"))
+
+
+def generated_queries() -> dict[str, Query]:
+    def tables(spark: SparkSession, sf_dir: str, wrong: bool = False) -> PaymentTables:
+        return generate.from_pairs(_index_pairs(spark, sf_dir), wrong)
+
+    return {
+        "generated_transactions": lambda s, d: tables(s, d).transactions,
+        "generated_blocks": lambda s, d: _dates_as_text(tables(s, d).remittance),
+        "generated_wrong_sums": lambda s, d: report.by_validator(
+            suite.standard_suite().findings(tables(s, d, wrong=True))
+        ),
+        "generated_right_sums": lambda s, d: report.totals(suite.standard_suite().findings(tables(s, d))),
     }
 
 
@@ -133,4 +301,6 @@ def queries() -> dict[str, Query]:
         **reconcile_queries(),
         **domain_queries(),
         **suite_queries(),
+        **document_queries(),
+        **generated_queries(),
     }

@@ -6,7 +6,7 @@ below them state each rule the plain way, join first and aggregate later.
 
 from __future__ import annotations
 
-from paytally import fixtures
+from paytally import fixtures, generate, schemas
 
 _WITH = "with " + fixtures.ctes("varchar", "hugeint")
 
@@ -280,8 +280,113 @@ order by validator nulls first, id nulls first, message nulls first limit 10
 """
 
 
+def _texts(schema, skip=()) -> str:
+    """A select list with texts trimmed, as element text is, and dates as text."""
+    parts = []
+    for field in schema.fields:
+        kind = field.dataType.typeName()
+        if kind == "date":
+            parts.append(f"cast({field.name} as varchar) as {field.name}")
+        elif kind == "string" and field.name not in skip:
+            parts.append(f"trim({field.name}, ' ' || chr(9) || chr(10) || chr(13)) as {field.name}")
+        else:
+            parts.append(field.name)
+    return ", ".join(parts)
+
+
+def _plain(schema) -> str:
+    return ", ".join(
+        f"cast({f.name} as varchar) as {f.name}" if f.dataType.typeName() == "date" else f.name for f in schema.fields
+    )
+
+
+def _cycle(values: tuple[str, ...], index: str) -> str:
+    items = ", ".join(f"'{v}'" for v in values)
+    return f"[{items}][1 + {index} % {len(values)}]"
+
+
+def _generated() -> dict[str, str]:
+    pairs = "pairs as (select l_orderkey as b, cast(l_linenumber as bigint) as t from lineitem)"
+    name = _cycle(generate.CREDITOR_NAMES, "t")
+    transactions = f"""
+select printf('PMT-%06d', b + 1) as pmt_inf_id, printf('INSTR-%06d-%07d', b + 1, t + 1) as instr_id,
+  printf('E2E-%06d-%07d', b + 1, t + 1) as end_to_end_id, cast(100 as decimal(18,5)) as instd_amt, 'EUR' as ccy,
+  {_cycle(generate.CREDITOR_BICS, "t")} as cdtr_agt_bicfi, {name} as cdtr_nm,
+  {_cycle(generate.CREDITOR_IBANS, "t")} as cdtr_acct_iban,
+  printf('Invoice PMT%06d-TX%07d', b + 1, t + 1) || chr(10) || 'Ref ' || replace({name}, ' ', '-') || '/'
+    || cast(t + 1 as varchar) as rmt_inf_ustrd,
+  {_cycle(generate.REGULATORY_CODES, "t")} || chr(10) || {_cycle(generate.REGULATORY_CODES, "(t + 1)")} as rglty_rptg_cd,
+  printf('REF%06d%07d', b + 1, t + 1) as rmt_inf_strd_ref, 'SCOR' as rmt_inf_strd_ref_tp,
+  {_cycle(generate.PURPOSES, "t")} as purp_cd, 'Ultimate ' || {name} as ultmt_cdtr_nm,
+  {_cycle(generate.CREDITOR_COUNTRIES, "t")} as cdtr_ctry
+from pairs"""
+    blocks = f"""
+select '{generate.MESSAGE_ID}' as msg_id, printf('PMT-%06d', b + 1) as pmt_inf_id, 'TRF' as pmt_mtd,
+  cast(n as varchar) as nb_of_txs, cast(100 * n as decimal(18,2)) as ctrl_sum, 'SEPA' as svc_lvl_cd,
+  '{generate.EXECUTED}' as reqd_exctn_dt, 'Debtor Company ' || cast(b + 1 as varchar) as dbtr_nm,
+  {_cycle(generate.DEBTOR_IBANS, "b")} as dbtr_acct_iban, {_cycle(generate.DEBTOR_BICS, "b")} as dbtr_agt_bicfi,
+  'false' as btch_bookg, case when b % 3 = 0 then 'HIGH' else 'NORM' end as instr_prty, 'CORE' as lcl_instrm_cd,
+  {_cycle(generate.CATEGORY_PURPOSES, "b")} as ctgy_purp_cd, 'SLEV' as chrg_br,
+  'Ultimate Debtor ' || cast(b + 1 as varchar) as ultmt_dbtr_nm
+from (select b, count(*) as n from pairs group by b)"""
+    return {
+        "generated_transactions": f"with {pairs} {transactions}",
+        "generated_blocks": f"with {pairs} {blocks}",
+        "generated_wrong_sums": f"with {pairs} select 'ControlSumValidator' as validator, 'ERROR' as severity, "
+        "count(distinct b) + 1 as n from pairs",
+        "generated_right_sums": "select 0 as errors, 0 as warnings, true as passed from (select count(*) as n from lineitem)",
+    }
+
+
+_HANGING = (
+    "blocks as (select r.* from remittance r where r.msg_id in (select msg_id from message)), "
+    "txs as (select t.* from transactions t join blocks b on b.pmt_inf_id = t.pmt_inf_id)"
+)
+
+
+def _documents() -> dict[str, str]:
+    bucket = "cast(right(msg_id, 10) as bigint) % 16"
+    return {
+        "xml_roundtrip_message": _q(f"select {_texts(schemas.MESSAGE)} from message"),
+        "xml_roundtrip_remittance": _q(f"select {_texts(schemas.REMITTANCE)} from blocks", _HANGING),
+        "xml_roundtrip_transaction": _q(f"select {_texts(schemas.TRANSACTIONS)} from txs", _HANGING),
+        "xml_repeated_elements": _q(
+            "select coalesce(len(string_split(rmt_inf_ustrd, chr(10))), 0) as ustrd_lines, "
+            "coalesce(len(string_split(rglty_rptg_cd, chr(10))), 0) as code_lines, count(*) as n from txs group by 1, 2",
+            _HANGING,
+        ),
+        "xml_quarantine": _q(
+            f"select {bucket} as bucket, case when {bucket} not in (3, 7, 11) then count(*) end as messages, "
+            f"case {bucket} when 3 then 'truncated' when 7 then 'bad CtrlSum' when 11 then 'bad InstdAmt' end as reason "
+            "from message group by 1"
+        ),
+        "parse_stats": _q(
+            "select (select count(*) from message) as message_rows, (select count(*) from blocks) as remittance_rows, "
+            "(select count(*) from txs) as transaction_rows",
+            _HANGING,
+        ),
+        "ingest_report": _q(
+            "select 'message_rows' as metric, (select count(*) from message) as value union all "
+            "select 'remittance_rows', (select count(*) from blocks) union all "
+            "select 'transaction_rows', (select count(*) from txs) union all select 'rejected_files', 0",
+            _HANGING,
+        ),
+        "arrow_roundtrip_message": _q(f"select {_plain(schemas.MESSAGE)} from message"),
+        "arrow_roundtrip_remittance": _q(f"select {_plain(schemas.REMITTANCE)} from remittance"),
+        "arrow_roundtrip_transaction": _q(f"select {_plain(schemas.TRANSACTIONS)} from transactions"),
+        "table_append": _q(
+            f"select ccy, 2 * count(*) as n, cast(2 * sum(instd_amt) as {_D}) as total from transactions group by ccy"
+        ),
+        "projected_scan": _q("select end_to_end_id, instd_amt, cdtr_nm from transactions"),
+        "stream_ingest": _q(f"select {_texts(schemas.TRANSACTIONS)} from txs", _HANGING),
+        # Element text is trimmed on the way in, so a blank creditor name arrives empty.
+        "stream_checks": _q(_STANDARD.replace("cdtr_nm = ''", "trim(cdtr_nm) = ''")),
+    }
+
+
 def queries() -> dict[str, str]:
     out = {name: _q(_rules(name)) for name in _FIELD_RULES}
+    out |= _documents() | _generated()
     out["field_checks"] = _q(_STANDARD_FIELD)
     out["parallel_transaction_check"] = _q(
         _rules("amount_not_positive", "creditor_missing", validator="ParallelTransactionValidator")
@@ -360,4 +465,12 @@ def queries() -> dict[str, str]:
     out["standard_suite_exact"] = _q(f"{strict}\nunion all\n{exact_rows}", _STANDARD_EXACT_CTES)
     out["first_errors"] = _q(_FIRST_ERRORS)
     out["chained_checks"] = _q(_rules("iban_format_invalid", "payment_method_missing", "amount_not_positive", "creditor_missing"))
+    domain_rows = "\nunion all\n".join(
+        f"select validator, severity from ({q})" for q in (_DOMAIN_MESSAGE, _DOMAIN_REMITTANCE, _DOMAIN_TRANSACTION)
+    )
+    out["domain_suite_summary"] = _q(
+        f"select validator, severity, count(*) as n from ({domain_rows} union all "
+        f"select 'ControlSumDomainService', 'ERROR' from ({_DOMAIN_SUMS})) group by 1, 2",
+        _DOMAIN_SUM_CTES,
+    )
     return out
