@@ -120,10 +120,11 @@ def suite_queries() -> dict[str, Query]:
     chained = suite.remittance_check() + suite.transaction_check()
     fields = suite.Suite(suite.message_check(), suite.remittance_check(), suite.transaction_check())
     return {
-        "standard_suite": _findings(standard.findings, *SUITE),
-        "standard_suite_exact": _findings(suite.standard_suite("exact").findings, *SUITE),
-        "standard_suite_summary": _over(lambda t: report.by_validator(standard.findings(t))),
-        "standard_suite_totals": _over(lambda t: report.totals(standard.findings(t))),
+        "standard_suite": _over(lambda t: standard.run(t).issues.select(*SUITE)),
+        "standard_suite_exact": _over(lambda t: suite.standard_suite("exact").run(t).issues.select(*SUITE)),
+        "standard_suite_summary": _over(lambda t: standard.run(t).by_validator()),
+        "standard_suite_totals": _over(lambda t: standard.run(t).totals()),
+        "standard_suite_lazy": _findings(standard.findings, *SUITE),
         "first_errors": _over(lambda t: report.first_errors(fields.findings(t))),
         "chained_checks": _findings(chained.findings, *FIELD),
         "domain_suite_summary": _over(lambda t: report.by_validator(suite.domain_suite().findings(t))),

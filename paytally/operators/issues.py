@@ -29,24 +29,24 @@ class Rule(NamedTuple):
     actual: Column | None = None
 
 
-def _typed(value: Column | None, kind) -> Column:
-    return (F.lit(None) if value is None else value).cast(kind)
+def finding(validator: str, rule: Rule) -> Column:
+    """The issue struct of ``rule``. A literal text with the warning mark makes a warning."""
+    severity, text = ERROR, rule.message
+    if isinstance(text, str):
+        if text.startswith(WARNING_MARK):
+            severity, text = WARNING, text.removeprefix(WARNING_MARK)
+        text = F.lit(text)
+    nothing = F.lit(None)
+    given = (v if v is not None else nothing for v in (rule.detail, rule.declared, rule.actual))
+    row = F.struct(F.lit(validator), F.lit(severity), F.lit(rule.code), rule.id, text, *given)
+    return row.cast(schemas.ISSUES)
 
 
-def finding(validator: str, rule: Rule) -> Column:
-    """The issue struct of ``rule``; severity comes from the mark in the text."""
-    text = F.lit(rule.message) if isinstance(rule.message, str) else rule.message
-    marked = F.startswith(text, F.lit(WARNING_MARK))
-    return F.struct(
-        F.lit(validator).alias("validator"),
-        F.when(marked, F.lit(WARNING)).otherwise(F.lit(ERROR)).alias("severity"),
-        F.lit(rule.code).alias("rule"),
-        rule.id.cast("string").alias("id"),
-        F.when(marked, F.substr(text, F.lit(len(WARNING_MARK) + 1))).otherwise(text).alias("message"),
-        _typed(rule.detail, "string").alias("detail"),
-        _typed(rule.declared, schemas.TOTAL).alias("declared"),
-        _typed(rule.actual, schemas.TOTAL).alias("actual"),
-    )
+def split_mark(message: Column) -> tuple[Column, Column]:
+    """Severity and shown text of a finding whose text may carry the warning mark."""
+    marked = F.startswith(message, F.lit(WARNING_MARK))
+    severity = F.when(marked, F.lit(WARNING)).otherwise(F.lit(ERROR))
+    return severity, F.when(marked, F.substr(message, F.lit(len(WARNING_MARK) + 1))).otherwise(message)
 
 
 def find(df: DataFrame, validator: str, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
@@ -55,11 +55,12 @@ def find(df: DataFrame, validator: str, rules: Sequence[Rule], keep: Sequence[st
     Rows that break no rule leave at a plain filter, which Parquet can help with and which
     stays in generated code; only the others reach the array that fans findings out.
     """
-    broken = reduce(lambda a, b: a | b, (F.coalesce(r.when, F.lit(False)) for r in rules))
     if len(rules) == 1:
-        return df.where(rules[0].when).select(*keep, finding(validator, rules[0]).alias("i")).select(*keep, "i.*")
-    found = F.array_compact(F.array(*(F.when(r.when, finding(validator, r)) for r in rules)))
-    return df.where(broken).select(*keep, F.explode(found).alias("i")).select(*keep, "i.*")
+        broken, found = rules[0].when, F.array(finding(validator, rules[0]))
+    else:
+        broken = reduce(lambda a, b: a | b, (F.coalesce(r.when, F.lit(False)) for r in rules))
+        found = F.array_compact(F.array(*(F.when(r.when, finding(validator, r)) for r in rules)))
+    return df.where(broken).select(*keep, F.inline(found))
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:

@@ -8,12 +8,15 @@ and the actual value is multiplied, which gives the same sums without the fan-ou
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paytally import schemas
 from paytally.functions import scalars as S
 from paytally.operators.issues import Rule, find, union_all
+from paytally.storage import write_once
 from paytally.tables import PaymentTables
 
 CONTROL_SUM_VALIDATOR = "ControlSumValidator"
@@ -23,25 +26,30 @@ col = F.col
 
 
 def block_totals(tables: PaymentTables) -> DataFrame:
-    """Per payment block: sum of amounts, counted ids, rows.
-
-    The closing filter drops nothing that could change a result. It names every aggregate,
-    which keeps the plan equal wherever totals are used, so that the checks of a suite share
-    one scan and one shuffle of the transactions.
-    """
-    key = tables.keys("pmt_inf_id")
+    """Per payment block: sum of amounts, counted ids, rows."""
+    if tables.totals is not None:
+        return tables.totals
     return (
         tables.transactions.where(col("pmt_inf_id").isNotNull())
-        .groupBy(*key)
+        .groupBy(*tables.keys("pmt_inf_id"))
         .agg(
             F.sum("instd_amt").alias("amount"),
             F.count("end_to_end_id").alias("ids"),
             F.count("*").alias("rows"),
         )
-        .where(col("amount").isNotNull() | (col("ids") > 0) | (col("rows") > 0))
     )
 
 
+def share_totals(tables: PaymentTables) -> PaymentTables:
+    """The same tables with their block totals written to the shared folder.
+
+    Each reconciliation needs these totals, but other columns of them, so Spark would scan and
+    shuffle the transactions once for each. Written once, they are one narrow row per block,
+    with a known size for the join choices that follow.
+    """
+    return replace(tables, totals=write_once(block_totals(tables), "totals"))
+
+
 def _times(value: Column, copies: Column) -> Column:
     return (value * copies).cast(schemas.TOTAL)
 
@@ -60,7 +68,6 @@ def _message_totals(tables: PaymentTables) -> DataFrame:
             F.sum(_times(col("amount"), col("copies"))).alias("amount"),
             F.sum(col("ids") * col("copies")).alias("ids"),
         )
-        .where(col("amount").isNotNull() | (col("ids") >= 0))
     )
 
 
@@ -233,7 +240,6 @@ def _exact_message_totals(tables: PaymentTables, blocks: DataFrame) -> DataFrame
         .join(block_totals(tables), tables.keys("pmt_inf_id"))
         .groupBy(*tables.scope, col("parent").alias("msg_id"))
         .agg(F.sum("amount").alias("amount"), F.sum("rows").alias("rows"))
-        .where(col("amount").isNotNull() | (col("rows") >= 0))
     )
 
 

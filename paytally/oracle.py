@@ -443,7 +443,7 @@ def queries() -> dict[str, str]:
         "group by 1 having count(distinct ccy) > 1"
     )
 
-    out["standard_suite"] = _q(_STANDARD)
+    out["standard_suite"] = out["standard_suite_lazy"] = _q(_STANDARD)
     out["standard_suite_summary"] = _q(
         f"select validator, severity, count(*) as n from ({_STANDARD}) group by 1, 2"
     )

@@ -28,10 +28,12 @@ PARALLEL_TRANSACTION_VALIDATOR = "ParallelTransactionValidator"
 @dataclass(frozen=True)
 class Check:
     """A name and a function from the tables to findings, with the columns of ``schemas.ISSUES``
-    after the scope columns. The function only builds a plan."""
+    after the scope columns. The function only builds a plan. ``reconciles`` tells that it works
+    on block totals, which a run then computes once for all checks."""
 
     name: str
     build: Callable[[PaymentTables], DataFrame]
+    reconciles: bool = False
 
     def findings(self, tables: PaymentTables) -> DataFrame:
         return self.build(tables).select(*tables.scope, *schemas.ISSUES.names)
@@ -41,6 +43,7 @@ class Check:
         return Check(
             f"{self.name} → {other.name}",
             lambda tables: union_all([self.findings(tables), other.findings(tables)]),
+            self.reconciles or other.reconciles,
         )
 
     __add__ = and_then
@@ -82,6 +85,8 @@ class Suite:
         finding while the others still run.
         """
         started = time.monotonic()
+        if any(check.reconciles for check in self.checks):
+            tables = reconcile.share_totals(tables)
         if isolate:
             found = union_all([_guarded(check, tables) for check in self.checks])
         else:
@@ -135,12 +140,12 @@ def row_check() -> Check:
 
 def control_sum_check(exact: bool = False) -> Check:
     build = reconcile.control_sums_exact if exact else reconcile.control_sums
-    return Check(reconcile.CONTROL_SUM_VALIDATOR, build)
+    return Check(reconcile.CONTROL_SUM_VALIDATOR, build, reconciles=True)
 
 
 def count_check(exact: bool = False) -> Check:
     build = reconcile.transaction_counts_exact if exact else reconcile.transaction_counts
-    return Check(reconcile.COUNT_VALIDATOR, build)
+    return Check(reconcile.COUNT_VALIDATOR, build, reconciles=True)
 
 
 def standard_suite(semantics: str = "sql") -> Suite:

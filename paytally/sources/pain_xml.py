@@ -140,7 +140,30 @@ def _marked_id(mark: Column) -> Column:
 
 
 def _is_group(fragment: Column) -> Column:
-    return fragment.rlike(rf"^<{PREFIX}GrpHdr")
+    usual = F.when(fragment.startswith("<PmtInf"), F.lit(False)).when(fragment.startswith("<GrpHdr"), F.lit(True))
+    return usual.otherwise(fragment.rlike(rf"^<{PREFIX}GrpHdr"))
+
+
+def _one_block(value: Column) -> Column:
+    """Whether a piece plainly holds the start of one block and no other header: no prefix,
+    attribute, comment or CDATA. Decided by byte searches, as it holds for nearly all pieces
+    between blocks."""
+    head, rest = F.substring_index(value, "<PmtInf>", 1), F.substring_index(value, "<PmtInf>", -1)
+    return (
+        value.contains("<PmtInf>")
+        & value.endswith("<")
+        & ~value.contains("GrpHdr")
+        & ~value.contains("<!")
+        & ~value.contains(":PmtInf")
+        & ~value.contains("PmtInf ")
+        & ~rest.contains("</PmtInf>")
+        & (F.octet_length(head) + F.octet_length(rest) + len("<PmtInf>") == F.octet_length(value))
+    )
+
+
+def _one_block_fragment(value: Column) -> Column:
+    """That block header, closed: the piece ends in the "<" of the first transaction."""
+    return F.concat(F.lit("<PmtInf>"), F.substring_index(value, "<PmtInf>", -1), F.lit("/PmtInf>"))
 
 
 def _fragments(markup: Column) -> Column:
@@ -150,6 +173,13 @@ def _fragments(markup: Column) -> Column:
     return F.regexp_extract_all(markup, F.lit(pattern), F.lit(0))
 
 
+def _one_block_mark(value: Column) -> Column:
+    """The block mark of such a piece, if its id is as plain; NULL otherwise."""
+    rest = F.substring_index(value, "<PmtInf>", -1)
+    text = F.substring_index(F.substring_index(rest, "<PmtInfId>", -1), "<", 1)
+    return F.when(rest.contains("<PmtInfId>"), F.concat(F.lit("="), S.trim_text(text)))
+
+
 def _pieces(raw: DataFrame) -> DataFrame:
     """The pieces that matter, with the marks their headers leave."""
     value = col("value")
@@ -163,7 +193,9 @@ def _pieces(raw: DataFrame) -> DataFrame:
         raw.withColumn("is_body", body)
         .withColumn("tail", tail)
         .where(F.when(col("is_body") | col("tail"), F.lit(True)).otherwise(matters))
-        .withColumn("fragments", F.when(~col("is_body"), _fragments(_plain(value))))
+        .withColumn("one_block", _guarded(~col("is_body"), _one_block(value)))
+        .withColumn("mark", F.when(col("one_block"), _one_block_mark(value)))
+        .withColumn("fragments", F.when(~col("is_body") & col("mark").isNull(), _fragments(_plain(value))))
     )
     last_group = F.try_element_at(F.filter(col("fragments"), _is_group), F.lit(-1))
     last_block = F.try_element_at(F.filter(col("fragments"), lambda f: ~_is_group(f)), F.lit(-1))
@@ -173,8 +205,9 @@ def _pieces(raw: DataFrame) -> DataFrame:
         "value",
         "is_body",
         "tail",
-        F.when(~col("is_body"), _mark(last_group, "MsgId")).alias("group"),
-        F.when(~col("is_body"), _mark(last_block, "PmtInfId")).alias("block"),
+        "one_block",
+        F.when(col("fragments").isNotNull(), _mark(last_group, "MsgId")).alias("group"),
+        F.when(col("fragments").isNotNull(), _mark(last_block, "PmtInfId")).otherwise(col("mark")).alias("block"),
     )
 
 
@@ -335,7 +368,9 @@ def _parse_headers(rows: DataFrame) -> tuple[DataFrame, list[Column], Column]:
     fragment, cut, h = col("fragment"), col("head_cut"), col("h")
     plain = plain_markup.Shape.is_plain(cut)
     tag = F.when(_is_group(fragment), F.lit("GrpHdr")).otherwise(F.lit("PmtInf"))
-    complete = fragment.rlike(rf"(?:</{PREFIX}(?:GrpHdr|PmtInf)\s*>|/>)\z")
+    complete = F.when(fragment.endswith("</PmtInf>"), F.lit(True)).otherwise(
+        fragment.rlike(rf"(?:</{PREFIX}(?:GrpHdr|PmtInf)\s*>|/>)\z")
+    )
     closed = F.concat(
         F.regexp_replace(fragment, rf"<{PREFIX}\z", ""),
         F.lit("</"), F.regexp_extract(fragment, r"^<([\w.-]+:)?", 1), tag, F.lit(">"),
@@ -359,12 +394,19 @@ def parse_pieces(raw: DataFrame) -> DataFrame:
     """
     value, body = col("value"), col("is_body")
     pieces, tx_fields, tx_problem = _parse_transactions(_carried(_pieces(raw)))
-    between = pieces.withColumn("between", F.when(~body, _plain(value)))
+    one_block = col("one_block")
+    other = ~body & ~one_block
+    between = pieces.withColumn("between", F.when(other, _plain(value)))
 
-    def times(pattern: str) -> Column:
+    def times(pattern: str, word: str, in_one_block: Column | int = 0) -> Column:
         count = F.size(F.regexp_extract_all("between", F.lit(pattern), F.lit(0)))
-        return F.when(body, F.lit(0)).otherwise(count)
+        usual = F.when(body, F.lit(0)).when(one_block, in_one_block if isinstance(in_one_block, Column) else F.lit(in_one_block))
+        return usual.when(~value.contains(word), F.lit(0)).otherwise(count)
 
+    # Closing tags in front of a single block: one at most, or the file is malformed.
+    closed_before = (
+        F.octet_length(value) - F.octet_length(F.replace(value, F.lit("</PmtInf>"), F.lit("")))
+    ) / len("</PmtInf>")
     # An element name followed by "/>" before any other markup: an empty transaction element.
     self_closed = _guarded(~body, value.rlike(r"^[^<>]*/>"))
     groups = F.filter(
@@ -374,15 +416,16 @@ def parse_pieces(raw: DataFrame) -> DataFrame:
         ),
         lambda g: g.isNotNull(),
     )
+    fragments = F.when(one_block, F.array(_one_block_fragment(value))).when(other, _fragments(col("between")))
     rows = (
-        between.withColumn("fragments", F.when(~body, _fragments(col("between"))))
-        .withColumn("documents_opened", times(rf"<{PREFIX}Document[\s>]"))
-        .withColumn("documents_closed", times(rf"</{PREFIX}Document\s*>"))
-        .withColumn("blocks_opened", times(rf"<{PREFIX}PmtInf[\s>]"))
-        .withColumn("blocks_closed", times(rf"</{PREFIX}PmtInf\s*>"))
+        between.withColumn("fragments", fragments)
+        .withColumn("documents_opened", times(rf"<{PREFIX}Document[\s>]", "Document"))
+        .withColumn("documents_closed", times(rf"</{PREFIX}Document\s*>", "Document"))
+        .withColumn("blocks_opened", times(rf"<{PREFIX}PmtInf[\s>]", "PmtInf", 1))
+        .withColumn("blocks_closed", times(rf"</{PREFIX}PmtInf\s*>", "PmtInf", closed_before.cast("int")))
         .withColumn("tails", col("tail").cast("int"))
         .withColumn("irregular", F.when(self_closed, F.lit(True)).otherwise(col("irregular")))
-        .withColumn("groups", F.when(F.size("fragments") > 0, groups))
+        .withColumn("groups", F.when(other & value.contains("GrpHdr"), groups))
         .select("*", F.posexplode_outer("fragments").alias("pos", "fragment"))
         .drop("fragments", "between", "value")
         .withColumn("pos", F.coalesce("pos", F.lit(0)))
@@ -394,7 +437,10 @@ def parse_pieces(raw: DataFrame) -> DataFrame:
         .otherwise(F.lit("R"))
     )
     # Groups in the same piece, before this fragment, are nearer than those of earlier pieces.
-    nearer = _last(F.transform(F.filter(col("groups"), lambda g: g["pos"] < col("pos")), lambda g: g["mark"]))
+    nearer = F.when(
+        col("groups").isNotNull(),
+        _last(F.transform(F.filter(col("groups"), lambda g: g["pos"] < col("pos")), lambda g: g["mark"])),
+    )
     once = col("pos") == 0
     return rows.select(
         SOURCE_FILE,

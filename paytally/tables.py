@@ -20,12 +20,16 @@ class PaymentTables:
     Payment-block ids are unique only within a document, so tables that hold many documents
     set ``scope=("source_file",)`` and nothing is matched across documents. The default is a
     single global scope.
+
+    ``totals`` may hold the transactions already reduced to their payment blocks, for several
+    reconciliations to share (see ``operators.reconcile.share_totals``).
     """
 
     message: DataFrame
     remittance: DataFrame
     transactions: DataFrame
     scope: tuple[str, ...] = ()
+    totals: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -89,12 +93,11 @@ class PaymentTables:
             df.select(F.lit(name).alias("name")).groupBy("name").count()
             for name, df in self.items()
         ]
-        one = F.sum
         return (
             parts[0].unionByName(parts[1]).unionByName(parts[2])
             .agg(
                 *(
-                    F.coalesce(one(F.when(F.col("name") == name, F.col("count"))), F.lit(0)).alias(alias)
+                    F.coalesce(F.sum(F.when(F.col("name") == name, F.col("count"))), F.lit(0)).alias(alias)
                     for name, alias in (
                         ("message", "message_rows"),
                         ("remittance", "remittance_rows"),
