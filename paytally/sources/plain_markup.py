@@ -174,9 +174,13 @@ class Shape:
 
         All markup between two texts, with the white space around it, becomes one mark.
         """
-        run = F.concat(*self._places(cut, field))
-        between = r"\s*+(?:(?:<DbtCdtRptgInd>[^<]*+</DbtCdtRptgInd>|<[^>]*+>)\s*+)++"
-        marked = F.regexp_replace(run, between, SEPARATOR)
+        places = self._places(cut, field)
+        run = F.concat(*places) if len(places) > 1 else places[0]
+        flagged = run.contains("<DbtCdtRptgInd>")
+        run = F.when(flagged, F.regexp_replace(run, "<DbtCdtRptgInd>[^<]*</DbtCdtRptgInd>", "")).otherwise(run)
+        marked = F.regexp_replace(run, r"<[^>]*>(?:\s*<[^>]*>)*\s*", SEPARATOR)
+        spaced = run.contains(" <") | run.contains("\n<") | run.contains("\t<")
+        marked = F.when(spaced, F.regexp_replace(marked, rf"\s+{SEPARATOR}", SEPARATOR)).otherwise(marked)
         return F.replace(F.btrim(marked, F.lit(SEPARATOR)), F.lit(SEPARATOR), F.lit("\n"))
 
 

@@ -160,6 +160,52 @@ def test_tags_that_are_only_text(spark):
     )
 
 
+FULL = (
+    "<CdtrAgt><FinInstnId><BICFI>COBADEFF</BICFI></FinInstnId></CdtrAgt>"
+    "<Cdtr><Nm> padded name </Nm><PstlAdr><Ctry>DE</Ctry><AdrLine>x</AdrLine></PstlAdr></Cdtr>"
+    "<CdtrAcct><Id><IBAN>DE89370400440532013000</IBAN></Id></CdtrAcct>"
+    "<UltmtCdtr><Nm></Nm></UltmtCdtr><Purp><Cd>SUPP</Cd></Purp>"
+    "<RgltryRptg><DbtCdtRptgInd>CRED</DbtCdtRptgInd><Dtls><Cd>A</Cd></Dtls><Dtls><Cd>  </Cd></Dtls></RgltryRptg>"
+    "<RgltryRptg><Dtls><Cd> B </Cd></Dtls></RgltryRptg>"
+    "<RmtInf><Ustrd> one  1 </Ustrd><Ustrd></Ustrd><Ustrd>two\nlines</Ustrd>"
+    "<Strd><CdtrRefInf><Tp><CdOrPrtry><Cd>SCOR</Cd></CdOrPrtry><Issr>I</Issr></Tp><Ref>R1</Ref></CdtrRefInf></Strd>"
+    "<Strd><CdtrRefInf><Ref>R2</Ref></CdtrRefInf></Strd></RmtInf>"
+)
+HEAD = (
+    "<PmtMtd>TRF</PmtMtd><BtchBookg>true</BtchBookg><NbOfTxs>1</NbOfTxs><CtrlSum>1.005</CtrlSum>"
+    "<PmtTpInf><InstrPrty>HIGH</InstrPrty><SvcLvl><Cd>SEPA</Cd></SvcLvl><LclInstrm><Cd>CORE</Cd></LclInstrm>"
+    "<CtgyPurp><Cd>SALA</Cd></CtgyPurp></PmtTpInf><ReqdExctnDt><Dt>2026-01-02</Dt></ReqdExctnDt>"
+    "<Dbtr><Nm>Debtor</Nm></Dbtr><DbtrAcct><Id><IBAN>X</IBAN></Id></DbtrAcct>"
+    "<DbtrAgt><FinInstnId><BICFI>Y</BICFI></FinInstnId></DbtrAgt><UltmtDbtr><Nm>Z</Nm></UltmtDbtr><ChrgBr>SLEV</ChrgBr>"
+)
+
+
+@pytest.mark.parametrize("indented", [False, True])
+def test_plain_and_parsed_reading_agree(spark, indented):
+    """A comment in every header and transaction sends the same content through ``from_xml``."""
+    text = document(group(), block("P", tx("a", FULL), tx("b"), head=HEAD), block("Q", tx("c", FULL)))
+    if indented:
+        ET.register_namespace("", "urn:iso:std:iso:20022:tech:xsd:pain.001.001.09")
+        tree = ET.fromstring(text.encode())
+        ET.indent(tree)
+        text = ET.tostring(tree, encoding="unicode")
+    commented = text
+    for tag in ("<GrpHdr>", "</PmtMtd>", "<CdtTrfTxInf>"):
+        commented = commented.replace(tag, f"{tag}<!-- note -->")
+    plain, parsed = read(spark, a=text), read(spark, a=commented)
+    for name, schema in schemas.TABLES.items():
+        got = rows(getattr(plain.tables, name), *schema.names)
+        assert got == rows(getattr(parsed.tables, name), *schema.names)
+        assert got
+    full = plain.tables.transactions.where("end_to_end_id = 'a'").first()
+    assert (full.rmt_inf_ustrd, full.rglty_rptg_cd) == ("one  1\ntwo\nlines", "A\nB")
+    assert (full.cdtr_nm, full.ultmt_cdtr_nm, full.rmt_inf_strd_ref, full.rmt_inf_strd_ref_tp) == (
+        "padded name", "", "R2", "SCOR",
+    )
+    head = plain.tables.remittance.where("pmt_inf_id = 'P'").first()
+    assert (str(head.ctrl_sum), head.ctgy_purp_cd, head.chrg_br, str(head.reqd_exctn_dt)) == ("1.01", "SALA", "SLEV", "2026-01-02")
+
+
 def brute_force(text: str):
     """Parents of all transactions by a plain tree walk."""
     ns = "{urn:iso:std:iso:20022:tech:xsd:pain.001.001.09}"
