@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from paytally import schemas
 from paytally.functions import scalars as S
 from paytally.operators.issues import Rule, find, union_all
+from paytally.operators.reconcile import splittable
 from paytally.tables import PaymentTables
 
 MESSAGE_DOMAIN = "MessageDomainValidator"
@@ -158,7 +159,7 @@ def domain_control_sums(tables: PaymentTables) -> DataFrame:
     blocks = (
         tables.remittance.where(col("msg_id").isNotNull())
         .select(*tables.keys("msg_id", "pmt_inf_id"), col("ctrl_sum").alias("declared"))
-        .join(totals, tables.keys("pmt_inf_id"), "left")
+        .join(splittable(totals), tables.keys("pmt_inf_id"), "left")
         .withColumn("actual", F.coalesce(col("amount"), F.lit(0)).cast(schemas.TOTAL))
     )
     message_totals = (

@@ -50,6 +50,21 @@ def share_totals(tables: PaymentTables) -> PaymentTables:
     return replace(tables, totals=write_once(block_totals(tables), "totals"))
 
 
+def splittable(totals: DataFrame, key: str = "pmt_inf_id") -> DataFrame:
+    """Totals for a join whose other side may hold very many rows of one key.
+
+    AQE splits a skewed join only where both sides are shuffled for it. Totals would join
+    straight from the partitioning their aggregation left, so the key is computed anew, which
+    makes Spark shuffle the totals (one narrow row per key) once more.
+    """
+    return totals.withColumn(key, F.concat(col(key), F.lit("")))
+
+
+def _declared_with_totals(declared: DataFrame, tables: PaymentTables, how: str) -> DataFrame:
+    totals = tables.totals if tables.totals is not None else splittable(block_totals(tables))
+    return declared.join(totals, tables.keys("pmt_inf_id"), how)
+
+
 def _times(value: Column, copies: Column) -> Column:
     return (value * copies).cast(schemas.TOTAL)
 
@@ -62,7 +77,7 @@ def _message_totals(tables: PaymentTables) -> DataFrame:
         .agg(F.count("*").alias("copies"))
     )
     return (
-        blocks.join(block_totals(tables), tables.keys("pmt_inf_id"))
+        _declared_with_totals(blocks, tables, "inner")
         .groupBy(*tables.keys("msg_id"))
         .agg(
             F.sum(_times(col("amount"), col("copies"))).alias("amount"),
@@ -123,7 +138,7 @@ def control_sum_remittance(tables: PaymentTables) -> DataFrame:
         .groupBy(*tables.keys("pmt_inf_id", "ctrl_sum"))
         .agg(F.count("*").alias("copies"))
     )
-    compared = declared.join(block_totals(tables), tables.keys("pmt_inf_id")).select(
+    compared = _declared_with_totals(declared, tables, "inner").select(
         *tables.keys("pmt_inf_id"),
         col("ctrl_sum").alias("declared"),
         _times(col("amount"), col("copies")).alias("actual"),
@@ -152,7 +167,7 @@ def count_remittance(tables: PaymentTables) -> DataFrame:
         .groupBy(*tables.keys("pmt_inf_id", "nb_of_txs"))
         .agg(F.count("*").alias("copies"))
     )
-    compared = declared.join(block_totals(tables), tables.keys("pmt_inf_id"), "left").select(
+    compared = _declared_with_totals(declared, tables, "left").select(
         *tables.keys("pmt_inf_id"),
         S.count_sql(col("nb_of_txs")).alias("declared"),
         (F.coalesce(col("ids"), F.lit(0)) * col("copies")).alias("actual"),

@@ -255,3 +255,37 @@ def test_function_check_and_callbacks(spark):
     seen = spark.sparkContext.accumulator(0)
     callbacks.for_each_row(t.transactions, lambda row: seen.add(1))
     assert seen.value == 2
+
+
+def test_a_hot_block_id_is_split(spark):
+    """A third of all blocks and transactions under one id: AQE splits the join of both."""
+    from pyspark.sql import functions as F
+
+    n = 60_000
+    id = F.col("id")
+    key = F.when(id % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("P"), id.cast("string")))
+    numbers = spark.range(n).repartition(4)
+    remittance = numbers.select(F.lit("M").alias("msg_id"), key.alias("pmt_inf_id"), id.cast("decimal(18,2)").alias("ctrl_sum"))
+    transactions = numbers.select(
+        key.alias("pmt_inf_id"), F.lit(1).cast("decimal(18,5)").alias("instd_amt"), F.lit("e").alias("end_to_end_id")
+    )
+    t = PaymentTables(tables(spark).message, remittance, transactions)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = reconcile.control_sum_remittance(t)
+        # Only id 1 is declared with what it holds; the hot id holds n / 3 and is declared so once at most.
+        expected = sum(1 for i in range(n) if i != (n // 3 if i % 3 == 0 else 1))
+        assert len(df.collect()) == expected
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
