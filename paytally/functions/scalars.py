@@ -61,16 +61,18 @@ def iban_format_bad(c: Column) -> Column:
 def iban_valid(c: Column) -> Column:
     """ISO 13616: the first four characters moved to the end, letters as 10..35, mod 97 is 1.
 
-    Letters become digits by plain replacement, and the number, of 68 digits at most, is
-    reduced in pieces that fit a long; all of it runs in generated code.
+    Letters become digits by plain replacement; the number, of 68 digits at most, is reduced in
+    pieces that fit a long.
     """
     digits = F.upper(F.concat(F.substring(c, 5, 30), F.substring(c, 1, 4)))
     for i, letter in enumerate(ascii_uppercase):
         digits = F.replace(digits, F.lit(letter), F.lit(str(10 + i)))
-    rest = F.lit("")
-    for start in range(1, 69, 16):
-        piece = F.concat(rest.cast("string"), F.substring(digits, start, 16))
-        rest = piece.try_cast("bigint") % 97
+    pieces = F.regexp_extract_all(digits, F.lit("[0-9]{1,16}"), F.lit(0))
+    rest = F.aggregate(
+        pieces,
+        F.lit(0).cast("bigint"),
+        lambda rest, piece: F.concat(rest.cast("string"), piece).try_cast("bigint") % 97,
+    )
     shaped = F.coalesce(c.rlike(IBAN_CHARACTERS), F.lit(False))
     return F.when(shaped, rest == 1).otherwise(F.lit(False))
 
