@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paytally.llm import decontamination, near_duplicates, packing, sharding
+from paytally.llm import decontamination, near_duplicates, packing, sharding, url_filters, warc
+from paytally.storage import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 N_SHARDS = 24
+RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,12 +59,25 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_pages(table(spark, sf_dir, "pages"), RULES)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), folder)
+    records = warc.read_archive(spark, folder)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_decontamination": op3_decontamination,
         "op4_packing": op4_packing,
         "op5_sharding": op5_sharding,
         "op6_minhash": op6_minhash,
+        "op8_url_filters": op8_url_filters,
+        "op10_warc": op10_warc,
     }
 
 
