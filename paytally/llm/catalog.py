@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paytally.llm import decontamination, near_duplicates, packing, sharding, url_filters, warc
+from paytally.llm import decontamination, near_duplicates, packing, personal_data, sharding, url_filters, warc
 from paytally.storage import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_pages(table(spark, sf_dir, "pages"), RULES)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.report(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), folder)
@@ -77,6 +81,7 @@ def queries() -> dict[str, Query]:
         "op5_sharding": op5_sharding,
         "op6_minhash": op6_minhash,
         "op8_url_filters": op8_url_filters,
+        "op9_personal_data": op9_personal_data,
         "op10_warc": op10_warc,
     }
 
