@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paytally.llm import decontamination, near_duplicates, packing, personal_data, sharding, toxicity, url_filters, warc
+from paytally.llm import decontamination, fingerprints, near_duplicates, packing, personal_data, sharding, toxicity, url_filters, warc
 from paytally.storage import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_pages(table(spark, sf_dir, "pages"), RULES)
 
@@ -86,6 +90,7 @@ def queries() -> dict[str, Query]:
         "op4_packing": op4_packing,
         "op5_sharding": op5_sharding,
         "op6_minhash": op6_minhash,
+        "op7_fingerprints": op7_fingerprints,
         "op8_url_filters": op8_url_filters,
         "op9_personal_data": op9_personal_data,
         "op10_warc": op10_warc,

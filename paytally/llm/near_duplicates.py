@@ -57,7 +57,7 @@ def _binary(values: list[bytes]) -> pa.Array:
 
 
 def _profile(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_shingles, node, signature) of each text; node and signature are null without shingles."""
+    """(doc_id, text_digest, n_shingles, node, signature) of each text; the last two are null without shingles."""
     for batch in batches:
         texts = batch.column(1).to_pylist()
         sets = shingle_sets(texts, words)
@@ -69,8 +69,14 @@ def _profile(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             nodes[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
             signed[i] = row.tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _binary(nodes), _binary(signed)],
-            ["doc_id", "n_shingles", "node", "signature"],
+            [
+                batch.column(0),
+                pa.array([hashlib.md5(t or b"").hexdigest() for t in texts], pa.string()),
+                pa.array([len(s) for s in sets], pa.int64()),
+                _binary(nodes),
+                _binary(signed),
+            ],
+            ["doc_id", "text_digest", "n_shingles", "node", "signature"],
         )
 
 
@@ -240,11 +246,11 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame | None]:
-    """``docs`` profiled as (doc_id, n_shingles, node), and (node, component) of the nodes that have links."""
+    """``docs`` profiled as (doc_id, text_digest, n_shingles, node), and (node, component) of the nodes that have links."""
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     profile = write_once(
-        texts.mapInArrow(partial(_profile, words), f"doc_id {kind}, n_shingles long, node binary, signature binary"), "profiles"
+        texts.mapInArrow(partial(_profile, words), f"doc_id {kind}, text_digest string, n_shingles long, node binary, signature binary"), "profiles"
     )
     # One signature for each distinct set; its first document lends the text for confirming.
     nodes = profile.where("node is not null").groupBy("node").agg(
@@ -289,7 +295,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     are in one component, also when they repeat a doc_id (both are then kept, as both carry the
     smallest id). A null doc_id is never the smallest while the component has another; a
     component of nulls only has the component_id null, and its rows are kept. An empty table
-    gives no rows.
+    gives no rows. ``text_digest`` is the MD5 of the text, to tell rows of one id apart.
     """
     profile, groups = components(docs, words, percent)
     if groups is None:
@@ -299,6 +305,5 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     least = labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     joined = labelled.join(least, "component", "left")
     component_id = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return joined.select("doc_id", "n_shingles", component_id.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return joined.select("doc_id", "n_shingles", component_id.alias("component_id"), "text_digest").withColumn("kept", kept)

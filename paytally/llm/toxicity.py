@@ -292,3 +292,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         "n_hits",
         "n_words",
     )
+
+
+def _clean(model: Model, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    automaton = model.automaton()
+    for batch in batches:
+        keep = []
+        for text in batch.column(at).to_pylist():
+            hits = [h[2] for h in model.hits(automaton, fold(text))] if text else []
+            keep.append(model.score(sum(hits), max(hits, default=0.0), len(text.split()) if text else 0) < 0.5)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def reject(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` with all their columns whose text scores below 0.5."""
+    return docs.mapInArrow(partial(_clean, model, docs.columns.index("text")), docs.schema)
