@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paytally.llm import decontamination, fingerprints, near_duplicates, packing, personal_data, sharding, toxicity, url_filters, warc
+from paytally.llm import decontamination, fingerprints, near_duplicates, packing, personal_data, repeated_strings, sharding, toxicity, url_filters, warc
 from paytally.storage import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("items", "hits")
@@ -86,6 +90,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_repeated_strings": op2_repeated_strings,
         "op3_decontamination": op3_decontamination,
         "op4_packing": op4_packing,
         "op5_sharding": op5_sharding,
