@@ -15,7 +15,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ from paytally.storage import write_once
 
 CAPACITY = 1024
 END_ID = 2
-#: Words whose ids a task remembers.
-CACHED_WORDS = 400_000
+#: Words whose ids a worker process remembers, from one task to the next.
+CACHED_WORDS = 1_000_000
 
 _ODD_SPACE = re.compile(r"[^\S \n]|[ \n](?=[ \n])|^[ \n]|[ \n]$")
 
@@ -47,18 +47,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.first: dict[str, bytes] = {}
         self.after_space: dict[str, bytes] = {}
         self.feed = self._whole(["\n"])[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+        packed = self.packed.__getitem__
+        return [b"".join(map(packed, e.ids)) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, known: dict[str, bytes], words: set[str], prefix: str) -> None:
         if len(known) > CACHED_WORDS:
             known.clear()
-        new = [w for w in words if w not in known]
+        new = list(words.difference(known))
         if new:
             known.update(zip(new, self._whole([prefix + w for w in new]), strict=True))
 
@@ -66,7 +67,11 @@ class Encoder:
         odd = [bool(_ODD_SPACE.search(t)) for t in texts]
         lines = [[] if o else [line.split(" ") for line in t.split("\n")] for t, o in zip(texts, odd, strict=True)]
         self._learn(self.first, {line[0] for doc in lines for line in doc}, "")
-        self._learn(self.after_space, {w for doc in lines for line in doc for w in line[1:]}, " ")
+        later: set[str] = set()
+        for doc in lines:
+            for line in doc:
+                later.update(line[1:])
+        self._learn(self.after_space, later, " ")
         first, after = self.first, self.after_space.__getitem__
         whole = iter(self._whole([t for t, o in zip(texts, odd, strict=True) if o]) if any(odd) else ())
         return [
@@ -75,11 +80,17 @@ class Encoder:
         ]
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    """One for each worker process: words met in one task help the next."""
+    return Encoder(path)
+
+
 def _pieces(
     path: str, capacity: int, end_id: int, with_ids: bool, batches: Iterator[pa.RecordBatch]
 ) -> Iterator[pa.RecordBatch]:
     """Cut documents, and number the pieces of each length within the task."""
-    encoder = Encoder(path)
+    encoder = _encoder(path)
     part = TaskContext.get().partitionId()
     seen = [0] * (capacity + 1)
     end = np.array([end_id], dtype="<u4").tobytes()
