@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paytally.llm import decontamination, fingerprints, near_duplicates, packing, personal_data, repeated_strings, sharding, toxicity, url_filters, warc
+from paytally.llm import decontamination, fingerprints, near_duplicates, oracle, packing, personal_data, repeated_strings, sharding, toxicity, url_filters, warc
 from paytally.storage import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,4 +103,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.queries()
