@@ -26,22 +26,27 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.reject(docs, model)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows whole in one column, so that no name of theirs meets one of ours, with id and digest."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), _digest().alias("digest"))
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group; of rows alike in id and text, one."""
     kept = near_duplicates.near_duplicates(docs).where("kept").select("doc_id", "text_digest").distinct()
-    keyed = docs.withColumn("text_digest", _digest())
-    same = keyed["doc_id"].eqNullSafe(kept["doc_id"]) & (keyed["text_digest"] == kept["text_digest"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_digest"]).select(*docs.columns)
+    keyed = _keyed(docs)
+    same = keyed["id"].eqNullSafe(kept["doc_id"]) & (keyed["digest"] == kept["text_digest"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["id", "digest"]).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth are benchmark passages."""
-    keyed = docs.withColumn("text_digest", _digest())
+    keyed = _keyed(docs)
     found = decontamination.find_contamination(
-        keyed.select(F.col("text_digest").alias("doc_id"), "text"), catalog.table(spark, sf_dir, "benchmark")
+        keyed.select(F.col("digest").alias("doc_id"), F.col("row.text").alias("text")), catalog.table(spark, sf_dir, "benchmark")
     )
-    bad = found.where("contaminated").select(F.col("doc_id").alias("text_digest")).distinct()
-    return keyed.join(bad, "text_digest", "left_anti").select(*docs.columns)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("digest")).distinct()
+    return keyed.join(bad, "digest", "left_anti").select("row.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
