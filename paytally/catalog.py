@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,7 +143,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> tuple[PaymentTables, str]:
     if key not in _DOCUMENTS:
         base = fresh_path(spark, "documents")
         tables = fixtures.payments(spark, sf_dir).save(f"{base}/tables")
-        pain_xml_writer.write(tables, f"{base}/xml")
+        pain_xml_writer.write(tables, f"{base}/xml", layout="packed")
         _DOCUMENTS[key] = base
     base = _DOCUMENTS[key]
     return PaymentTables.load(spark, f"{base}/tables"), f"{base}/xml"
@@ -256,6 +257,48 @@ def _stream_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrivals.stored_issues(spark, target).select(*SUITE)
 
 
+# What a tag inside a comment or CDATA section looks like, put in front of every block's end.
+HIDDEN = "<!-- <CdtTrfTxInf> --><!-- </CdtTrfTxInf> -->"
+
+
+def _stream_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream over files that all hold transaction tags in comments: not a row is lost."""
+    tables, _ = _stored(spark, sf_dir)
+    source, target = fresh_path(spark, "irregular"), fresh_path(spark, "arrivals")
+    ending = F.col("value") == pain_xml_writer.BLOCK_CLOSE
+    pieces = pain_xml_writer.fragments(tables).withColumn(
+        "value", F.when(ending, F.concat(F.lit(HIDDEN), F.col("value"))).otherwise(F.col("value"))
+    )
+    ordered = pieces.repartition("msg_id").sortWithinPartitions(*pain_xml_writer.ORDER)
+    ordered.select("value").write.text(source)
+    arrivals.start(spark, source, f"{target}/tables", f"{target}/checkpoint", max_files=4).awaitTermination()
+    return _columns("transactions", arrivals.stored_tables(spark, f"{target}/tables").transactions)
+
+
+def _scoped_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every payment in three documents that share all block ids, written, read back and counted."""
+    tables, _ = _stored(spark, sf_dir)
+    copies = spark.range(3).select(F.concat(F.lit("copy"), F.col("id").cast("string")).alias("copy"))
+    many = replace(tables.map(lambda _, df: df.join(F.broadcast(copies))), scope=("copy",))
+    named = F.concat_ws("/", "copy", "msg_id")
+    many = many.map(lambda name, df: df if name == "transactions" else df.withColumn("msg_id", named))
+    path = fresh_path(spark, "scoped")
+    pain_xml_writer.write(many, path, layout="packed")
+    # Copies of a document are whole messages; the number of a transaction's copies is its own check.
+    back = pain_xml.read(spark, path).tables.transactions
+    return back.groupBy("end_to_end_id").agg(F.count("*").alias("n"), F.sum("instd_amt").cast(schemas.TOTAL).alias("total"))
+
+
+def _failing_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A check that raises becomes a finding; the standard checks still report."""
+
+    def broken(tables: PaymentTables) -> DataFrame:
+        raise KeyError("no such column")
+
+    report_ = suite.Suite(suite.Check("Broken", broken), *suite.standard_suite().checks).run(fixtures.payments(spark, sf_dir))
+    return report_.by_validator()
+
+
 def document_queries() -> dict[str, Query]:
     return {
         "xml_roundtrip_message": _from_xml(lambda f: _columns("message", f.tables.message)),
@@ -272,6 +315,9 @@ def document_queries() -> dict[str, Query]:
         "projected_scan": _over(lambda t: t.project("transactions", "end_to_end_id", "instd_amt", "cdtr_nm")),
         "stream_ingest": _stream_ingest,
         "stream_checks": _stream_checks,
+        "stream_irregular": _stream_irregular,
+        "scoped_roundtrip": _scoped_round_trip,
+        "failing_check": _failing_check,
     }
 
 

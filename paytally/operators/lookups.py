@@ -11,20 +11,32 @@ from paytally.tables import PaymentTables
 ZERO = "decimal(38,5)"
 
 
-def remittances_of(tables: PaymentTables, msg_id: str) -> DataFrame:
-    """Equality on a stored column: Parquet prunes row groups by its min/max and bloom data."""
-    return tables.remittance.where(F.col("msg_id") == F.lit(msg_id))
+def _within(df: DataFrame, key: str, value: str, scope: dict[str, str]) -> DataFrame:
+    for name, of in {key: value, **scope}.items():
+        df = df.where(F.col(name) == F.lit(of))
+    return df
 
 
-def transactions_of(tables: PaymentTables, pmt_inf_id: str) -> DataFrame:
-    return tables.transactions.where(F.col("pmt_inf_id") == F.lit(pmt_inf_id))
+def remittances_of(tables: PaymentTables, msg_id: str, **scope: str) -> DataFrame:
+    """The blocks of a message. ``scope`` (say ``source_file=...``) keeps to one document."""
+    return _within(tables.remittance, "msg_id", msg_id, scope)
 
 
-def sum_of_remittance(tables: PaymentTables, pmt_inf_id: str) -> DataFrame:
-    """One row, zero when the block has no transactions."""
-    return transactions_of(tables, pmt_inf_id).agg(
-        F.coalesce(F.sum("instd_amt"), F.lit(0)).cast(ZERO).alias("total")
-    )
+def transactions_of(tables: PaymentTables, pmt_inf_id: str, **scope: str) -> DataFrame:
+    """The transactions of a block. ``scope`` keeps to one document."""
+    return _within(tables.transactions, "pmt_inf_id", pmt_inf_id, scope)
+
+
+def sum_of_remittance(tables: PaymentTables, pmt_inf_id: str, **scope: str) -> DataFrame:
+    """One row, zero when the block has no transactions.
+
+    Blocks of several documents are never added up: for scope columns of the tables that
+    ``scope`` does not fix there is one row for each document that has the block.
+    """
+    found = transactions_of(tables, pmt_inf_id, **scope)
+    total = F.coalesce(F.sum("instd_amt"), F.lit(0)).cast(ZERO).alias("total")
+    left = [c for c in tables.scope if c not in scope]
+    return found.groupBy(*left).agg(total) if left else found.agg(total)
 
 
 def total_amount(tables: PaymentTables) -> DataFrame:

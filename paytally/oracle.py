@@ -378,6 +378,10 @@ def _documents() -> dict[str, str]:
             f"select ccy, 2 * count(*) as n, cast(2 * sum(instd_amt) as {_D}) as total from transactions group by ccy"
         ),
         "projected_scan": _q("select end_to_end_id, instd_amt, cdtr_nm from transactions"),
+        "stream_irregular": _q(f"select {_texts(schemas.TRANSACTIONS)} from txs", _HANGING),
+        "scoped_roundtrip": _q(
+            f"select end_to_end_id, 3 * count(*) as n, cast(3 * sum(instd_amt) as {_D}) as total from txs group by 1", _HANGING
+        ),
         "stream_ingest": _q(f"select {_texts(schemas.TRANSACTIONS)} from txs", _HANGING),
         # Element text is trimmed on the way in, so a blank creditor name arrives empty.
         "stream_checks": _q(_STANDARD.replace("cdtr_nm = ''", "trim(cdtr_nm) = ''")),
@@ -463,6 +467,9 @@ def queries() -> dict[str, str]:
         f"cast(instd_amt as {_D}) from transactions where instd_amt is null or instd_amt <= 0"
     )
     out["standard_suite_exact"] = _q(f"{strict}\nunion all\n{exact_rows}", _STANDARD_EXACT_CTES)
+    out["failing_check"] = (
+        f"select * from ({out['standard_suite_summary']}) union all select 'Broken' as validator, 'ERROR' as severity, 1 as n"
+    )
     out["first_errors"] = _q(_FIRST_ERRORS)
     out["chained_checks"] = _q(_rules("iban_format_invalid", "payment_method_missing", "amount_not_positive", "creditor_missing"))
     domain_rows = "\nunion all\n".join(

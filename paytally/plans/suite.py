@@ -11,7 +11,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,26 +77,27 @@ class Suite:
             return tables.spark.createDataFrame([], schema)
         return union_all([check.findings(tables) for check in self.checks])
 
-    def run(self, tables: PaymentTables, isolate: bool = False) -> Report:
+    def run(self, tables: PaymentTables, isolate: bool = True) -> Report:
         """Evaluate once and keep the findings in the shared folder.
 
-        With ``isolate`` each check is an action of its own, and one that fails becomes a
-        finding while the others still run.
+        All checks run as one plan. If that fails, each check runs by itself, and one that fails
+        becomes a finding while the others still report. Without ``isolate`` the failure is raised.
         """
         started = time.monotonic()
-        if any(check.reconciles for check in self.checks):
-            tables = reconcile.share_totals(tables)
-        if isolate:
+        try:
+            shared = reconcile.share_totals(tables) if any(check.reconciles for check in self.checks) else tables
+            found = write_once(self.findings(shared), "findings")
+        except Exception:
+            if not isolate or not self.checks:
+                raise
             found = union_all([_guarded(check, tables) for check in self.checks])
-        else:
-            found = write_once(self.findings(tables), "findings")
         return Report(found, elapsed_ms=int((time.monotonic() - started) * 1000))
 
 
 def _guarded(check: Check, tables: PaymentTables) -> DataFrame:
     try:
         return write_once(check.findings(tables), "findings")
-    except (PySparkException, ArithmeticError, ValueError) as error:
+    except Exception as error:  # whatever a check of the user's raises is a finding
         text = str(error).splitlines()[0] if str(error) else type(error).__name__
         row = {
             "validator": check.name,

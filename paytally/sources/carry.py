@@ -65,3 +65,53 @@ def carry_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = (file[n - 1].as_py(), split[n - 1].as_py())
         seq += n
         yield pa.RecordBatch.from_pydict(columns)
+
+
+def _open_after(text: str, kind: str | None) -> str | None:
+    """Which of a comment ("-->") or CDATA section ("]]>") is open after ``text``, by its end mark."""
+    at = 0
+    while True:
+        if kind:
+            at = text.find(kind, at)
+            if at < 0:
+                return kind
+            at, kind = at + 3, None
+        comment, section = text.find("<!--", at), text.find("<![CDATA[", at)
+        if comment < 0 and section < 0:
+            return None
+        if section < 0 or 0 <= comment < section:
+            at, kind = comment + 4, "-->"
+        else:
+            at, kind = section + 9, "]]>"
+
+
+def rejoin_open(tag: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Put pieces (value, file, split) together that were cut inside a comment or CDATA section.
+
+    Pieces come in file order. A section still open at the end of a split stays as it is.
+    """
+    at: tuple | None = None
+    kind: str | None = None
+    held: list[str] = []
+    for batch in batches:
+        rows = []
+        for value, file, split in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (file, split) != at:
+                if held:
+                    rows.append((tag.join(held), *at))
+                at, kind, held = (file, split), None, []
+            held.append(value)
+            # The tag itself is inside the section when the piece before it left one open.
+            kind = _open_after(value, kind)
+            if kind is None:
+                rows.append((tag.join(held), file, split))
+                held = []
+        if rows:
+            yield _rows(rows, batch.schema)
+    if held and at:
+        yield _rows([(tag.join(held), *at)], batch.schema)
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, schema.names)

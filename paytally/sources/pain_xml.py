@@ -16,14 +16,15 @@ make no difference. The steps:
 3. *Tables*: the staged rows of sound files, completed from the index.
 
 A file that cannot be read as a whole gives no rows; it is listed with a reason instead.
-Text that only looks like a tag (inside CDATA or a comment) makes a file *irregular*; such
-files go through the whole-document reader.
+Text that only looks like a tag (inside CDATA or a comment) makes a file *irregular*; such files
+are read once more, with the pieces that were cut inside a section made whole again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from paytally import schemas
 from paytally.functions import scalars as S
 from paytally.sources import plain_markup
-from paytally.sources.carry import carry_marks
+from paytally.sources.carry import carry_marks, rejoin_open
 from paytally.storage import write_once
 from paytally.tables import PaymentTables
 
@@ -72,6 +73,13 @@ _corrupt_record string
 PREFIX = r"(?:[\w.-]+:)?"
 
 
+_FRAGMENT = rf"(?s)<{PREFIX}(GrpHdr|PmtInf)(?:\s*/>|(?=[\s>]).*?(?:</{PREFIX}\1\s*>|\z))"
+_BLOCK_FIELDS = (
+    "PmtInfId PmtMtd BtchBookg NbOfTxs CtrlSum PmtTpInf ReqdExctnDt Dbtr DbtrAcct DbtrAgt ChrgBr UltmtDbtr"
+).split()
+_OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+
+
 # ---- pieces --------------------------------------------------------------------------------
 
 
@@ -144,10 +152,15 @@ def _is_group(fragment: Column) -> Column:
     return usual.otherwise(fragment.rlike(rf"^<{PREFIX}GrpHdr"))
 
 
+# What stands between two transactions of a block, and before a block that follows another.
+_NOTHING_BETWEEN = rf"\A\s*>\s*<(?:{PREFIX})\z"
+_ONLY_CLOSED = r"\A\s*>\s*</PmtInf>\s*\z"
+
+
 def _one_block(value: Column) -> Column:
-    """Whether a piece plainly holds the start of one block and no other header: no prefix,
-    attribute, comment or CDATA. Decided by byte searches, as it holds for nearly all pieces
-    between blocks."""
+    """Whether a piece plainly closes a block and starts the next, and holds nothing else: no
+    prefix, attribute, comment or CDATA. Decided mostly by byte searches, as it holds for nearly
+    all pieces between blocks."""
     head, rest = F.substring_index(value, "<PmtInf>", 1), F.substring_index(value, "<PmtInf>", -1)
     return (
         value.contains("<PmtInf>")
@@ -158,6 +171,7 @@ def _one_block(value: Column) -> Column:
         & ~value.contains("PmtInf ")
         & ~rest.contains("</PmtInf>")
         & (F.octet_length(head) + F.octet_length(rest) + len("<PmtInf>") == F.octet_length(value))
+        & head.rlike(_ONLY_CLOSED)
     )
 
 
@@ -169,8 +183,25 @@ def _one_block_fragment(value: Column) -> Column:
 def _fragments(markup: Column) -> Column:
     """All group and block headers in the text between two transactions, in order. The last
     block is usually cut off where its first transaction starts."""
-    pattern = rf"(?s)<{PREFIX}(GrpHdr|PmtInf)(?:\s*/>|(?=[\s>]).*?(?:</{PREFIX}\1\s*>|\z))"
-    return F.regexp_extract_all(markup, F.lit(pattern), F.lit(0))
+    return F.regexp_extract_all(markup, F.lit(_FRAGMENT), F.lit(0))
+
+
+def _between_problem(markup: Column) -> Column:
+    """What is wrong with the text between two transactions, apart from its headers (NULL if nothing).
+
+    Prolog and the tags that enclose headers and transactions are taken away; what is left has to
+    be well-formed, and may not be fields of the block whose transactions came before.
+    """
+    rest = F.regexp_replace(markup, _FRAGMENT, "")
+    rest = F.regexp_replace(rest, r"(?s)<\?.*?\?>|<!DOCTYPE[^>]*>|\x{FEFF}", "")
+    rest = F.regexp_replace(rest, rf"\A\s*/?>|<(?:/?{PREFIX})\z", "")
+    late = rest.rlike(rf"(?s)\A\s*<{PREFIX}(?:{'|'.join(_BLOCK_FIELDS)})[\s>/].*</{PREFIX}PmtInf\s*>")
+    bare = F.regexp_replace(rest, rf"</?{PREFIX}(?:Document|CstmrCdtTrfInitn|PmtInf)(?:\s[^<>]*)?>", "")
+    parsed = F.from_xml(F.concat(F.lit("<r>"), bare, F.lit("</r>")), "v string, _corrupt_record string", _OPTIONS)
+    broken = _guarded(~bare.rlike(r"\A\s*\z"), parsed.isNull() | parsed["_corrupt_record"].isNotNull())
+    return F.when(late, F.lit("malformed: block fields after its transactions")).when(
+        broken, F.lit("malformed markup between transactions")
+    )
 
 
 def _one_block_mark(value: Column) -> Column:
@@ -185,15 +216,13 @@ def _pieces(raw: DataFrame) -> DataFrame:
     value = col("value")
     body = _ends_with(value, "</")
     tail = F.when(body, F.lit(False)).otherwise(~_ends_with(value, "<"))
-    matters = (
-        value.contains("PmtInf") | value.contains("GrpHdr") | value.contains("Document")
-        | value.contains("<!") | value.contains("/>")
-    )
+    matters = ~value.rlike(_NOTHING_BETWEEN)
     kept = (
         raw.withColumn("is_body", body)
         .withColumn("tail", tail)
         .where(F.when(col("is_body") | col("tail"), F.lit(True)).otherwise(matters))
         .withColumn("one_block", _guarded(~col("is_body"), _one_block(value)))
+        .withColumn("invalid_text", ~F.is_valid_utf8(value))
         .withColumn("mark", F.when(col("one_block"), _one_block_mark(value)))
         .withColumn("fragments", F.when(~col("is_body") & col("mark").isNull(), _fragments(_plain(value))))
     )
@@ -206,6 +235,7 @@ def _pieces(raw: DataFrame) -> DataFrame:
         "is_body",
         "tail",
         "one_block",
+        "invalid_text",
         F.when(col("fragments").isNotNull(), _mark(last_group, "MsgId")).alias("group"),
         F.when(col("fragments").isNotNull(), _mark(last_block, "PmtInfId")).otherwise(col("mark")).alias("block"),
     )
@@ -332,7 +362,6 @@ def _either(plain: Column, short: dict[str, Column], full: dict[str, Column]) ->
     return {name: F.when(plain, short[name]).otherwise(full[name]) for name in full}
 
 
-_OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 _FACTS = ("documents_opened", "documents_closed", "blocks_opened", "blocks_closed", "tails")
 
 
@@ -426,6 +455,12 @@ def parse_pieces(raw: DataFrame) -> DataFrame:
         .withColumn("tails", col("tail").cast("int"))
         .withColumn("irregular", F.when(self_closed, F.lit(True)).otherwise(col("irregular")))
         .withColumn("groups", F.when(other & value.contains("GrpHdr"), groups))
+        .withColumn(
+            "between_problem",
+            F.when(col("invalid_text"), F.lit("text is not valid UTF-8")).when(
+                other & ~col("irregular"), _between_problem(col("between"))
+            ),
+        )
         .select("*", F.posexplode_outer("fragments").alias("pos", "fragment"))
         .drop("fragments", "between", "value")
         .withColumn("pos", F.coalesce("pos", F.lit(0)))
@@ -452,7 +487,7 @@ def parse_pieces(raw: DataFrame) -> DataFrame:
         F.when(body, col("block")).alias("block"),
         F.when(body, F.struct(*tx_fields)).alias("tx"),
         F.when(fragment.isNotNull(), F.struct(*head_fields)).alias("head"),
-        F.when(body, tx_problem).otherwise(head_problem).alias("problem"),
+        F.coalesce(col("between_problem"), F.when(body, tx_problem).otherwise(head_problem)).alias("problem"),
         *(F.when(once, col(c)).otherwise(F.lit(0)).alias(c) for c in _FACTS),
         "irregular",
     )
@@ -504,18 +539,10 @@ def split_index(staged: DataFrame, states: DataFrame) -> DataFrame:
     )
 
 
-# The index is broadcast while it is surely small: this many rows of about 300 bytes.
-INDEX_BROADCAST_ROWS = 300_000
-
-
-def _with_index(staged: DataFrame, index: DataFrame, small: bool) -> DataFrame:
-    return staged.join(F.broadcast(index) if small else index, [SOURCE_FILE, "split_start"])
-
-
-def _tables(staged: DataFrame, index: DataFrame, small: bool) -> PaymentTables:
+def _tables(staged: DataFrame, index: DataFrame) -> PaymentTables:
     # Messages and blocks are picked before the join, so each table reads its own columns only.
     def rows(kind: str) -> DataFrame:
-        return _with_index(staged.where(col("kind") == kind), index, small)
+        return staged.where(col("kind") == kind).join(index, [SOURCE_FILE, "split_start"])
 
     group = F.when(col("group").isNotNull(), _marked_id(col("group"))).otherwise(col("inherited_group"))
     block = F.when(col("block").isNotNull(), _marked_id(col("block"))).otherwise(col("inherited_block"))
@@ -544,17 +571,24 @@ def _transaction(tx: Column) -> list[Column]:
 # ---- whole documents -----------------------------------------------------------------------
 
 
-def read_whole_documents(spark: SparkSession, path: str | Sequence[str]) -> tuple[PaymentTables, DataFrame]:
-    """Read each document as one record: for irregular files and small ones only.
+def _whole_documents(raw: DataFrame, files: DataFrame) -> tuple[PaymentTables, DataFrame]:
+    """Read each document of ``files`` as one record, put together from its pieces.
 
-    Returns the tables and, per bad file, a reason.
+    Only for what cannot be cut: a comment or CDATA section that holds the transaction tag and
+    goes on over the end of a split, or the tag as other text. Returns the tables and, per bad
+    file, a reason.
     """
-    documents = (
-        spark.read.format("xml")
-        .options(rowTag=DOCUMENT_TAG, **_OPTIONS)
-        .schema(DOCUMENT_XML)
-        .load(path)
-        .select("*", col("_metadata.file_path").alias(SOURCE_FILE))
+    piece = F.struct("split_start", "at", "value")
+    texts = (
+        _numbered(raw).join(files, SOURCE_FILE, "left_semi").groupBy(SOURCE_FILE)
+        .agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+        .select(SOURCE_FILE, F.array_join(F.transform("pieces", lambda p: p["value"]), TRANSACTION_TAG).alias("text"))
+    )
+    pattern = rf"(?s)<({PREFIX}){DOCUMENT_TAG}[\s>].*?</\1{DOCUMENT_TAG}\s*>"
+    found = texts.select(SOURCE_FILE, F.explode(F.regexp_extract_all(_plain(col("text")), F.lit(pattern), F.lit(0))).alias("text"))
+    documents = write_once(
+        found.select(SOURCE_FILE, F.from_xml("text", f"struct<{DOCUMENT_XML}>", _OPTIONS).alias("d")).select(SOURCE_FILE, "d.*"),
+        "documents",
     )
     group_fields, group_problem = typed_header(_document_texts("GrpHdr", ("MsgId", "CreDtTm", "InitgPty")))
     blocks = documents.select(
@@ -623,34 +657,51 @@ class PaymentFiles:
         return self.tables.counts()
 
 
-# Irregular files are read by path up to this many; beyond it by a semi-join on all paths.
-IRREGULAR_PATHS = 10_000
+def _numbered(raw: DataFrame) -> DataFrame:
+    """Pieces with their place in the scan, which ascends within a split."""
+    return raw.withColumn("at", F.monotonically_increasing_id())
 
 
-def assemble(raw: DataFrame, path: str | Sequence[str] | None = None) -> PaymentFiles:
-    """Tables from scanned pieces. ``path`` lets the irregular reader list the files again
-    when there are very many of them."""
-    spark = raw.sparkSession
+def _rejoined(raw: DataFrame, files: DataFrame) -> DataFrame:
+    """The pieces of ``files``, those that a comment or CDATA section was cut into made whole."""
+    order = (SOURCE_FILE, "split_start", "at")
+    pieces = _numbered(raw).join(files, SOURCE_FILE, "left_semi")
+    ordered = pieces.repartition(SOURCE_FILE, "split_start").sortWithinPartitions(*order)
+    return ordered.select("value", SOURCE_FILE, "split_start").mapInArrow(
+        partial(rejoin_open, TRANSACTION_TAG), "value string, source_file string, split_start long"
+    )
+
+
+def assemble(raw: DataFrame) -> PaymentFiles:
+    """Tables from scanned pieces.
+
+    A file whose comments or CDATA sections hold the transaction tag is read a second time with
+    the pieces of each such section made whole, as many tasks as it has splits. All of this
+    works on the scanned pieces themselves, in batch and in a stream, for any number of files.
+    """
     staged = write_once(parse_pieces(raw), "staged")
     states = write_once(file_states(staged), "states")
+    whole = None
+    if not states.where("irregular").isEmpty():
+        again = states.where("irregular").select(SOURCE_FILE)
+        second = write_once(parse_pieces(_rejoined(raw, again)), "staged")
+        second_states = write_once(file_states(second), "states")
+        states = states.where(~col("irregular")).unionByName(second_states)
+        staged = staged.join(again, SOURCE_FILE, "left_anti").unionByName(second)
+        left = second_states.where("irregular").select(SOURCE_FILE)
+        if not left.isEmpty():
+            whole = (left, *_whole_documents(raw, left))
     index = write_once(split_index(staged, states), "index")
-    tables = _tables(staged, index, index.count() <= INDEX_BROADCAST_ROWS)
+    tables = _tables(staged, index)
     rejects = states.where(col("reason").isNotNull()).select(SOURCE_FILE, "reason")
-
-    irregular = states.where("irregular").select(SOURCE_FILE)
-    found = [row[0] for row in irregular.limit(IRREGULAR_PATHS + 1).collect()]
-    if found:
-        few = len(found) <= IRREGULAR_PATHS
-        whole, problems = read_whole_documents(spark, found if few or path is None else path)
-        if not few:
-            whole = whole.map(lambda _, df: df.join(irregular, SOURCE_FILE, "left_semi"))
-            problems = problems.join(irregular, SOURCE_FILE, "left_semi")
+    if whole:
+        left, read_whole, problems = whole
         unread = (
-            irregular.join(whole.message.select(SOURCE_FILE), SOURCE_FILE, "left_anti")
+            left.join(read_whole.message.select(SOURCE_FILE), SOURCE_FILE, "left_anti")
             .join(problems.select(SOURCE_FILE), SOURCE_FILE, "left_anti")
             .select(SOURCE_FILE, F.lit("malformed document").alias("reason"))
         )
-        tables = tables.map(lambda name, df: df.unionByName(getattr(whole, name)))
+        tables = tables.map(lambda name, df: df.unionByName(getattr(read_whole, name)))
         rejects = rejects.unionByName(problems).unionByName(unread)
     return PaymentFiles(tables, rejects)
 
@@ -663,7 +714,7 @@ def read(spark: SparkSession, path: str | Sequence[str], mode: str = "QUARANTINE
     """
     if mode not in ("QUARANTINE", "FAILFAST"):
         raise ValueError(f"mode must be QUARANTINE or FAILFAST, not {mode!r}")
-    files = assemble(scan(spark.read, path), path)
+    files = assemble(scan(spark.read, path))
     if mode == "FAILFAST":
         first = files.rejects.head()
         if first:

@@ -148,14 +148,16 @@ ORDER = ("msg_id", "section", "pmt_inf_id", "place", "end_to_end_id")
 
 
 def fragments(tables: PaymentTables) -> DataFrame:
-    """The documents as ordered pieces of text, one row each.
+    """The documents as ordered pieces of text, one row each, the scope of the tables in front.
 
-    Only what hangs together is written: blocks of a known message, transactions of a known block.
+    Only what hangs together is written: blocks of a known message, transactions of a known
+    block; ``orphans`` lists the rest.
     """
+    message_key, block_key = tables.keys("msg_id"), tables.keys("pmt_inf_id")
 
     def piece(df: DataFrame, section: int, block: str | None, place: int, text: Column, e2e: str | None = None):
         return df.select(
-            "msg_id",
+            *message_key,
             F.lit(section).alias("section"),
             (col(block) if block else F.lit(None).cast("string")).alias("pmt_inf_id"),
             F.lit(place).alias("place"),
@@ -164,9 +166,8 @@ def fragments(tables: PaymentTables) -> DataFrame:
         )
 
     messages = tables.message
-    blocks = tables.remittance.join(messages.select("msg_id"), "msg_id", "left_semi")
-    parents = blocks.select("msg_id", "pmt_inf_id")
-    transactions = tables.transactions.join(parents, "pmt_inf_id")
+    blocks = tables.remittance.join(messages.select(*message_key), message_key, "left_semi")
+    transactions = tables.transactions.join(blocks.select(*message_key, "pmt_inf_id"), block_key)
     parts = [
         piece(messages, 0, None, 0, F.concat(F.lit(DOCUMENT_OPEN), _group_header())),
         piece(blocks, 1, "pmt_inf_id", 0, _block_header()),
@@ -180,17 +181,43 @@ def fragments(tables: PaymentTables) -> DataFrame:
     return out
 
 
-def write(tables: PaymentTables, path: str, whole_files: bool = True, mode: str = "errorifexists") -> None:
+def orphans(tables: PaymentTables) -> DataFrame:
+    """What ``fragments`` leaves out, by key: blocks without their message, transactions without a written block."""
+    message_key, block_key = tables.keys("msg_id"), tables.keys("pmt_inf_id")
+    messages = tables.message.select(*message_key)
+    lost = tables.remittance.join(messages, message_key, "left_anti")
+    blocks = tables.remittance.join(messages, message_key, "left_semi").select(*block_key)
+    loose = tables.transactions.join(blocks, block_key, "left_anti")
+
+    def listed(df: DataFrame, table: str, id: str, reason: str) -> DataFrame:
+        return df.select(*tables.scope, F.lit(table).alias("table"), col(id).alias("id"), F.lit(reason).alias("reason"))
+
+    return listed(lost, "remittance", "pmt_inf_id", "no such message").unionByName(
+        listed(loose, "transactions", "end_to_end_id", "no such payment block")
+    )
+
+
+LAYOUTS = ("documents", "packed", "spread")
+
+
+def write(tables: PaymentTables, path: str, layout: str = "documents", mode: str = "errorifexists") -> None:
     """Write documents as text files.
 
-    With ``whole_files`` each file holds whole documents, several of them one after another.
-    That ties a document to one task; a document too large for that is written with
-    ``whole_files=False``: the pieces are range-sorted over all tasks, and the part files in
-    name order make up the text.
+    ``documents``: one well-formed XML file for each document, in a folder of its own that is
+    named by a hash of its key. ``packed``: whole documents one after another, as many to a file
+    as a task has; for very many small ones. ``spread``: for documents too large for one task;
+    the pieces are range-sorted over all tasks, and the part files in name order make up the
+    text.
     """
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout must be one of {LAYOUTS}, not {layout!r}")
+    key, order = tables.keys("msg_id"), (*tables.scope, *ORDER)
     pieces = fragments(tables)
-    if whole_files:
-        ordered = pieces.repartition("msg_id").sortWithinPartitions(*ORDER)
+    if layout == "spread":
+        pieces.orderBy(*order).select("value").write.mode(mode).text(path)
+    elif layout == "packed":
+        pieces.repartition(*key).sortWithinPartitions(*order).select("value").write.mode(mode).text(path)
     else:
-        ordered = pieces.orderBy(*ORDER)
-    ordered.select("value").write.mode(mode).text(path)
+        named = pieces.withColumn("document", F.lower(F.hex(F.xxhash64(*key))))
+        ordered = named.repartition("document").sortWithinPartitions("document", *order)
+        ordered.select("document", "value").write.mode(mode).partitionBy("document").text(path)

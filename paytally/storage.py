@@ -13,10 +13,13 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a temporary folder of its own.
+    Only a local session without that setting (a test) gets a temporary folder of its own; on a
+    cluster each executor would write to its own disk.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="paytally-")
         spark.conf.set(CHECKPOINT_DIR, folder)
     return folder.rstrip("/")

@@ -257,7 +257,7 @@ def test_generated_documents(spark, letter, errors):
 
 def test_one_document_over_many_part_files(spark):
     path = folder()
-    pain_xml_writer.write(generate.from_spec(spark, generate.Spec(3, 50)), path, whole_files=False, mode="append")
+    pain_xml_writer.write(generate.from_spec(spark, generate.Spec(3, 50)), path, layout="spread", mode="append")
     text = "".join(p.read_text() for p in sorted(Path(path).glob("part-*")))
     assert len(brute_force(text)) == 150
 
