@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -12,7 +13,7 @@ from paytally import fixtures, generate, schemas
 from paytally.functions import scalars as S
 from paytally.operators import domain, field_checks, lookups, reconcile
 from paytally.operators.issues import find
-from paytally.plans import report, suite
+from paytally.plans import callbacks, report, suite
 from paytally.sources import arrow_ipc, ingest, pain_xml, pain_xml_writer
 from paytally.storage import fresh_path
 from paytally.streaming import arrivals
@@ -299,6 +300,51 @@ def _failing_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_.by_validator()
 
 
+def _prefix() -> str:
+    return f"t_{uuid.uuid4().hex[:12]}_"
+
+
+def _created_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed tables created empty, filled by name, read by name."""
+    names = ingest.create_tables(spark, prefix=_prefix())
+    ingest.insert_into(fixtures.payments(spark, sf_dir), names)
+    return spark.table(names["transactions"]).groupBy("ccy").agg(
+        F.count("*").alias("n"), F.sum("instd_amt").cast(schemas.TOTAL).alias("total")
+    )
+
+
+def _saved_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ingest.save_as_tables(fixtures.payments(spark, sf_dir), _prefix())
+    return PaymentTables(*(spark.table(names[name]) for name in schemas.TABLES)).counts()
+
+
+def _batch_callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per table as the handler of a stream sees them, batch by batch."""
+    _, documents = _stored(spark, sf_dir)
+    target, seen = fresh_path(spark, "arrivals"), dict.fromkeys(schemas.TABLES, 0)
+
+    def on_table(name: str, df: DataFrame, batch_id: int) -> None:
+        seen[name] += df.count()
+
+    arrivals.start(
+        spark, documents, f"{target}/tables", f"{target}/checkpoint", max_files=4, on_table=on_table
+    ).awaitTermination()
+    counts = [F.lit(seen[name]).cast("bigint").alias(f"{name.removesuffix('s')}_rows") for name in schemas.TABLES]
+    return spark.range(1).select(*counts)
+
+
+def _row_callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows a row handler was called on, counted where they are."""
+    calls = spark.sparkContext.accumulator(0)
+    callbacks.for_each_row(fixtures.payments(spark, sf_dir).transactions, lambda row: calls.add(1))
+    return spark.range(1).select(F.lit(calls.value).cast("bigint").alias("n"))
+
+
+def _dataset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", ingest.dataset_name(F.concat("url", F.lit(".XML"))).alias("dataset"))
+
+
 def document_queries() -> dict[str, Query]:
     return {
         "xml_roundtrip_message": _from_xml(lambda f: _columns("message", f.tables.message)),
@@ -318,6 +364,11 @@ def document_queries() -> dict[str, Query]:
         "stream_irregular": _stream_irregular,
         "scoped_roundtrip": _scoped_round_trip,
         "failing_check": _failing_check,
+        "created_tables": _created_tables,
+        "saved_tables": _saved_tables,
+        "batch_callbacks": _batch_callbacks,
+        "row_callbacks": _row_callbacks,
+        "dataset_names": _dataset_names,
     }
 
 

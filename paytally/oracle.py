@@ -467,6 +467,13 @@ def queries() -> dict[str, str]:
         f"cast(instd_amt as {_D}) from transactions where instd_amt is null or instd_amt <= 0"
     )
     out["standard_suite_exact"] = _q(f"{strict}\nunion all\n{exact_rows}", _STANDARD_EXACT_CTES)
+    out["created_tables"] = _q(f"select ccy, count(*) as n, cast(sum(instd_amt) as {_D}) as total from transactions group by ccy")
+    out["saved_tables"] = out["table_counts"]
+    out["batch_callbacks"] = out["parse_stats"]
+    out["row_callbacks"] = out["transaction_count"]
+    out["dataset_names"] = (
+        "select page_id, regexp_replace(string_split(url || '.XML', '/')[-1], '(?i)\\.xml$', '') as dataset from pages"
+    )
     out["failing_check"] = (
         f"select * from ({out['standard_suite_summary']}) union all select 'Broken' as validator, 'ERROR' as severity, 1 as n"
     )

@@ -33,7 +33,7 @@ from paytally import schemas
 from paytally.functions import scalars as S
 from paytally.sources import plain_markup
 from paytally.sources.carry import carry_marks, rejoin_open
-from paytally.storage import write_once
+from paytally.storage import fresh_path, remove, write_at, write_once
 from paytally.tables import PaymentTables
 
 col = F.col
@@ -648,6 +648,12 @@ class PaymentFiles:
 
     tables: PaymentTables
     rejects: DataFrame
+    staging: tuple[str, ...] = ()
+
+    def discard(self) -> None:
+        """Delete the parsed copy of the input, once the tables are stored; ``rejects`` stays readable."""
+        for path in self.staging:
+            remove(self.rejects.sparkSession, path)
 
     def scoped(self) -> PaymentFiles:
         """Keys that hold within a file only: nothing is matched across documents."""
@@ -679,12 +685,15 @@ def assemble(raw: DataFrame) -> PaymentFiles:
     the pieces of each such section made whole, as many tasks as it has splits. All of this
     works on the scanned pieces themselves, in batch and in a stream, for any number of files.
     """
-    staged = write_once(parse_pieces(raw), "staged")
+    spark = raw.sparkSession
+    staging = [fresh_path(spark, "staged")]
+    staged = write_at(parse_pieces(raw), staging[0])
     states = write_once(file_states(staged), "states")
     whole = None
     if not states.where("irregular").isEmpty():
         again = states.where("irregular").select(SOURCE_FILE)
-        second = write_once(parse_pieces(_rejoined(raw, again)), "staged")
+        staging.append(fresh_path(spark, "staged"))
+        second = write_at(parse_pieces(_rejoined(raw, again)), staging[1])
         second_states = write_once(file_states(second), "states")
         states = states.where(~col("irregular")).unionByName(second_states)
         staged = staged.join(again, SOURCE_FILE, "left_anti").unionByName(second)
@@ -703,7 +712,7 @@ def assemble(raw: DataFrame) -> PaymentFiles:
         )
         tables = tables.map(lambda name, df: df.unionByName(getattr(read_whole, name)))
         rejects = rejects.unionByName(problems).unionByName(unread)
-    return PaymentFiles(tables, rejects)
+    return PaymentFiles(tables, rejects, tuple(staging))
 
 
 def read(spark: SparkSession, path: str | Sequence[str], mode: str = "QUARANTINE") -> PaymentFiles:

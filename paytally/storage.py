@@ -36,6 +36,15 @@ def write_once(df: DataFrame, label: str) -> DataFrame:
     Used where several consumers need one result: it is computed once, survives the loss of
     executors, and gives the planner true sizes for its join choices.
     """
-    path = fresh_path(df.sparkSession, label)
+    return write_at(df, fresh_path(df.sparkSession, label))
+
+
+def write_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more, on whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
