@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paytally.llm.hashing import BYTE_VALUES, PrefixHashes, mix, powers
-from paytally.storage import write_once
+from paytally.storage import fresh_path, remove, write_at, write_once
 
 LENGTH = 200
 GRAM = 64
@@ -300,15 +300,17 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     spark = docs.sparkSession
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     texts = docs.select(F.xxhash64(data).alias("text"), F.octet_length(data).alias("size"), data.alias("data")).where(F.col("size") >= length)
-    found = write_once(
-        texts.select("text", "data").mapInArrow(partial(_anchor_rows, length, gram), "text long, size int, at int, gram long, around long"),
-        "anchors",
+    path = fresh_path(spark, "anchors")
+    every = write_at(
+        texts.select("text", "data").mapInArrow(partial(_anchor_rows, length, gram), "text long, size int, at int, gram long, around long"), path
     )
+    kinds = every.groupBy("gram").agg(F.min("around").alias("x"), F.max("around").alias("y"), F.count("*").alias("m")).where("m > 1")
+    kinds = write_once(kinds.select("gram", (F.col("x") != F.col("y")).alias("several")), "grams")
+    found = write_once(every.join(kinds.select("gram"), "gram", "left_semi"), "shared")
+    remove(spark, path)
+    _release(spark)
     around = found.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("text", "size", "at")).alias("place"))
-    kinds = found.groupBy("gram").agg(F.min("around").alias("x"), F.max("around").alias("y"), F.count("*").alias("m")).where("m > 1")
-    known = write_once(
-        around.join(kinds.select("gram", (F.col("x") != F.col("y")).alias("several")), "gram"), "neighbourhoods"
-    )
+    known = write_once(around.join(kinds, "gram"), "neighbourhoods")
     _release(spark)
     several = known.where("several")
     sizes = several.groupBy("gram").agg(F.count("*").alias("kinds"))
