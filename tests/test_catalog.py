@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from paytally import catalog, oracle
 from tests.compare import compare, oracle_connection
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -20,12 +21,13 @@ def connection():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(oracle.queries())
+    assert set(catalog.queries()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, connection, name):
-    problem, _ = compare(spark, connection, entry.queries()[name], entry.oracle_sql()[name], SF_DIR)
+    problem, _ = compare(spark, connection, catalog.queries()[name], oracle.queries()[name], SF_DIR)
     assert problem == ""
 
 
