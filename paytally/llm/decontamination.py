@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paytally.llm.hashing import chunks
+from paytally.llm.hashing import chunks, sliced
 from paytally.storage import write_once
 
 WINDOW = 13
@@ -147,7 +147,7 @@ def _merged(spans: np.ndarray) -> np.ndarray:
 def _pass(blocks: list[list], window: int, last: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add what these blocks find to each row's hits and items."""
     tables = [Block(items, window) for items in blocks]
-    for batch in batches:
+    for batch in sliced(batches):
         ids, texts, old_hits, old_items = batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2, 3))
         sizes, all_hits, all_items = [], [], []
         raw = [t or b"" for t in texts]

@@ -50,6 +50,13 @@ class PrefixHashes:
         return (self.prefix[end] - self.prefix[start]) * self.down[start]
 
 
+def sliced(batches, rows: int = 512):
+    """Record batches in slices, so that a task holds few rows as Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def chunks(texts: list, limit: int = 1 << 20):
     """Runs of texts (as indexes) of about ``limit`` bytes; a longer text is a run of its own."""
     start, size = 0, 0

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paytally.llm.hashing import BYTE_VALUES, PrefixHashes, mix, powers
+from paytally.llm.hashing import BYTE_VALUES, PrefixHashes, mix, powers, sliced
 from paytally.storage import fresh_path, remove, write_at, write_once
 
 LENGTH = 200
@@ -64,7 +64,7 @@ def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray
 
 def _anchor_rows(length: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, size, at, gram, around) of every anchor; ``text`` is the hash of the text."""
-    for batch in batches:
+    for batch in sliced(batches):
         names, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
         parts = []
         for name, text in zip(names, texts, strict=True):
@@ -90,7 +90,7 @@ def _columns(parts: list[tuple]) -> pa.RecordBatch:
 def _neighbourhoods(length: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, around, n, before, data) of texts with their wanted anchors."""
     reach = length - gram
-    for batch in batches:
+    for batch in sliced(batches):
         out: list[list] = [[], [], [], [], []]
         size = 0
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -275,7 +275,7 @@ def _sorted_out(length: int, gram: int, batches: Iterator[pa.RecordBatch]) -> It
 def _strings(length: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, around, d, one, two): two hashes of every string of a neighbourhood."""
     reach = length - gram
-    for batch in batches:
+    for batch in sliced(batches):
         for g, around, _, before, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             d = np.arange(max(0, length - (len(data) - before)), min(before, reach) + 1)
             start = before - d
@@ -351,7 +351,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of rows (doc_id, data, spans)."""
-    for batch in batches:
+    for batch in sliced(batches):
         out: list[list] = [[], [], [], [], []]
         for data, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             merged: list[list[int]] = []

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paytally.llm.hashing import sliced
 from paytally.storage import write_once
 
 #: Labelled documents of each class that a model is fitted on, and its most entries and exceptions.
@@ -128,7 +129,7 @@ def weight_of(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float:
 
 def _counted(batches: Iterator[pa.RecordBatch], count) -> Iterator[pa.RecordBatch]:
     """(feature, toxic, clean): in how many documents of a batch each feature stands."""
-    for batch in batches:
+    for batch in sliced(batches):
         sums: tuple[Counter, Counter] = (Counter(), Counter())
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             sums[label].update(count(fold(text or "")))
@@ -169,7 +170,7 @@ def _phrases(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 def _scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first column as it is, then hits, their weight, words and score of the text in the second."""
     automaton = model.automaton()
-    for batch in batches:
+    for batch in sliced(batches):
         totals, most, words, counts = [], [], [], []
         for text in batch.column(1).to_pylist():
             hits = model.hits(automaton, fold(text)) if text else []
@@ -296,7 +297,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def _clean(model: Model, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     automaton = model.automaton()
-    for batch in batches:
+    for batch in sliced(batches):
         keep = []
         for text in batch.column(at).to_pylist():
             hits = [h[2] for h in model.hits(automaton, fold(text))] if text else []
