@@ -23,15 +23,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paytally.llm.hashing import chunks
+from paytally.llm.hashing import chunks, sliced
 from paytally.storage import write_once
 
 CAPACITY = 1024
 END_ID = 2
 #: Words whose ids a worker process remembers, from one task to the next.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 
-_ODD_SPACE = re.compile(r"[^\S \n]|[ \n](?=[ \n])|^[ \n]|[ \n]$")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
+def _odd_space(text: str) -> bool:
+    """Whether there is white space other than lone spaces and line feeds between other characters."""
+    runs = "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+    return runs or text.startswith((" ", "\n")) or text.endswith((" ", "\n")) or _OTHER_SPACE.search(text) is not None
 
 
 class Encoder:
@@ -64,7 +70,7 @@ class Encoder:
             known.update(zip(new, self._whole([prefix + w for w in new]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [bool(_ODD_SPACE.search(t)) for t in texts]
+        odd = [_odd_space(t) for t in texts]
         lines = [[] if o else [line.split(" ") for line in t.split("\n")] for t, o in zip(texts, odd, strict=True)]
         self._learn(self.first, {line[0] for doc in lines for line in doc}, "")
         later: set[str] = set()
@@ -94,7 +100,7 @@ def _pieces(
     part = TaskContext.get().partitionId()
     seen = [0] * (capacity + 1)
     end = np.array([end_id], dtype="<u4").tobytes()
-    for batch in batches:
+    for batch in sliced(batches):
         doc_ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
         for lo, hi in chunks(texts):
             rows: list[tuple] = []
