@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paytally.llm.hashing import chunks, mix
+from paytally.llm.hashing import chunks, mix, sliced
 from paytally.storage import write_once
 
 SAMPLES = 64
@@ -86,8 +86,8 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
     return float((a == b).mean())
 
 
-def _text_of(print_: np.ndarray | None) -> str:
-    return "" if print_ is None else print_.tobytes().hex()
+def _bytes_of(print_: np.ndarray | None) -> bytes:
+    return b"" if print_ is None else print_.tobytes()
 
 
 def _words(text: str) -> Counter:
@@ -114,7 +114,7 @@ def _described(rows: list[tuple], samples: int) -> list[tuple]:
         out.append(
             (
                 doc_id, len(text), hashlib.sha256(changed[k].encode("utf-8", "surrogatepass")).hexdigest(),
-                _text_of(prints[k]), _text_of(new), likeness(prints[k], new), likeness(prints[k], prints[k + 1]),
+                _bytes_of(prints[k]), _bytes_of(new), likeness(prints[k], new), likeness(prints[k], prints[k + 1]),
             )
         )
     return out
@@ -127,7 +127,7 @@ def _batch(rows: list[tuple], edges: list[tuple], id_type: pa.DataType) -> pa.Re
     """Finished rows, and the first or last row of a task as (side, part, doc_id, text)."""
     part = TaskContext.get().partitionId()
     n, m = len(rows), len(edges)
-    types = (id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    types = (id_type, pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
     ends: list = [[e[1] for e in edges], *([[None] * m] * 6)]
     columns = [
         pa.array([r[k] for r in rows] + ends[k], t) for k, t in enumerate(types)
@@ -162,7 +162,7 @@ def _walk(samples: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def _pairs(samples: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Describe rows (doc_id, text, following text)."""
-    for batch in batches:
+    for batch in sliced(batches):
         ids, texts, following = (c.to_pylist() for c in batch.columns)
         rows = [_described([(i, t), (None, f)], samples)[0] for i, t, f in zip(ids, texts, following, strict=True)]
         yield pa.RecordBatch.from_arrays(_batch(rows, [], batch.schema.field(0).type).columns[: len(FIELDS)], list(FIELDS))
@@ -179,12 +179,12 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     described = (
-        f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+        f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
         "near_edited double, near_next double"
     )
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     order = ("doc_id", "digest", "row")
-    keyed = docs.select("doc_id", text.alias("text"), F.md5(text.cast("binary")).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.monotonically_increasing_id().alias("row"))
     ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     walked = write_once(
         ordered.mapInArrow(partial(_walk, samples), f"{described}, side string, part int, text string"), "prints"
@@ -196,4 +196,5 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     after = Window.orderBy("part")
     chain = tasks.select("part", F.coalesce(F.lead("part").over(after), F.min("part").over(Window.partitionBy())).alias("next"))
     pairs = last.join(chain, "part").join(first.withColumnRenamed("part", "next"), "next").select("doc_id", "text", "following")
-    return walked.where("side is null").select(*FIELDS).union(pairs.mapInArrow(partial(_pairs, samples), described))
+    both = walked.where("side is null").select(*FIELDS).union(pairs.mapInArrow(partial(_pairs, samples), described))
+    return both.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
