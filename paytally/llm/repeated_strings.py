@@ -88,27 +88,30 @@ def _columns(parts: list[tuple]) -> pa.RecordBatch:
 
 
 def _neighbourhoods(length: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, around, n, before, data) of texts with their wanted anchors."""
+    """(gram, around, n, before, data, many) of texts with their wanted anchors."""
     reach = length - gram
     for batch in sliced(batches):
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[] for _ in range(6)]
         size = 0
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for w in wanted:
                 lo = max(0, w["at"] - reach)
                 data = text[lo : w["at"] + length]
-                for column, value in zip(out, (w["gram"], w["around"], w["n"], w["at"] - lo, data), strict=True):
+                for column, value in zip(out, (w["gram"], w["around"], w["n"], w["at"] - lo, data, w["many"]), strict=True):
                     column.append(value)
                 size += len(data)
             if size > 8 << 20:
                 yield _packed(out)
-                out, size = [[], [], [], [], []], 0
+                out, size = [[] for _ in range(6)], 0
         yield _packed(out)
 
 
+_NEIGHBOURHOOD = ("gram", "around", "n", "before", "data")
+
+
 def _packed(out: list[list]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["gram", "around", "n", "before", "data"])
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], [*_NEIGHBOURHOOD, "many"])
 
 
 class Neighbourhoods:
@@ -315,22 +318,23 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     several = known.where("several")
     sizes = several.groupBy("gram").agg(F.count("*").alias("kinds"))
     wanted = several.join(sizes, "gram").select(
-        "place.text", "place.size", (F.col("kinds") > SORTED_AT_MOST).alias("many"),
-        F.struct(F.col("place.at").alias("at"), "gram", "around", "n").alias("w"),
+        "place.text",
+        "place.size",
+        F.struct(F.col("place.at").alias("at"), "gram", "around", "n", (F.col("kinds") > SORTED_AT_MOST).alias("many")).alias("w"),
     )
-    wanted = write_once(wanted, "wanted")
-
-    def neighbourhoods(many: bool) -> DataFrame:
-        own = wanted.where(F.col("many") == many).groupBy("text", "size").agg(F.collect_list("w").alias("wanted"))
-        once = texts.groupBy("text", "size").agg(F.first("data").alias("data"))  # copies meet in the map tasks
-        return once.join(own, ["text", "size"]).select("data", "wanted").mapInArrow(
-            partial(_neighbourhoods, length, gram), "gram long, around long, n long, before int, data binary"
-        )
-
-    covers = write_once(
-        neighbourhoods(False).repartition("gram").sortWithinPartitions("gram").mapInArrow(partial(_sorted_out, length, gram), _COVER), "covers"
+    own = wanted.groupBy("text", "size").agg(F.collect_list("w").alias("wanted"))
+    once = texts.groupBy("text", "size").agg(F.first("data").alias("data"))  # copies meet in the map tasks
+    # Written before it is dealt out by gram: texts move once, and their shuffle files can go.
+    around_all = write_once(
+        once.join(own, ["text", "size"]).select("data", "wanted").mapInArrow(
+            partial(_neighbourhoods, length, gram), "gram long, around long, n long, before int, data binary, many boolean"
+        ),
+        "surroundings",
     )
     _release(spark)
+    few = around_all.where("not many").select(*_NEIGHBOURHOOD)
+    covers = write_once(few.repartition("gram").sortWithinPartitions("gram").mapInArrow(partial(_sorted_out, length, gram), _COVER), "covers")
+    _release(spark)
     # Whole neighbourhoods that occur again need no sorting.
     reach = length - gram
     whole = known.where("n > 1").select(
@@ -338,8 +342,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         F.least(F.col("place.size") - F.col("place.at"), F.lit(length)).cast("int").alias("hi"),
     ).where(F.col("hi") - F.col("lo") >= length)
     covers = covers.union(whole)
-    if not wanted.where("many").isEmpty():
-        strings = write_once(neighbourhoods(True).mapInArrow(partial(_strings, length, gram), "gram long, around long, d int, one long, two long"), "strings")
+    many = around_all.where("many").select(*_NEIGHBOURHOOD)
+    if not many.isEmpty():
+        strings = write_once(many.mapInArrow(partial(_strings, length, gram), "gram long, around long, d int, one long, two long"), "strings")
         twice = strings.groupBy("gram", "d", "one", "two").agg(F.count("*").alias("k")).where("k > 1").drop("k")
         hot = strings.join(twice, ["gram", "d", "one", "two"])
         covers = covers.union(hot.select("gram", "around", (-F.col("d")).alias("lo"), (F.lit(length) - F.col("d")).alias("hi")))
