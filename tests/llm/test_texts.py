@@ -72,6 +72,32 @@ def test_large_group_of_near_copies(spark):
     assert sum(r.kept for r in got) == 2
 
 
+def on_one_template(n, planted, seed):
+    """``n`` texts of 240 words at similarity 0.66 to 0.70, of which 2 * ``planted`` are pairs at 0.75 or a little more."""
+    pick = np.random.default_rng(seed)
+    template = [f"t{k}" for k in range(240)]
+    rows = []
+    for k in range(n):
+        words = list(template)
+        for at in range(5, 235, 28):
+            words[at] = f"x{k}y{at}"
+        if k < 2 * planted:  # one place less is their own, the rest is shared
+            for at in range(5, 235, 28)[: 3]:
+                words[at] = f"p{k // 2}y{at}"
+        rows.append((k, " ".join(words)))
+    return [rows[k] for k in pick.permutation(n)]
+
+
+def test_links_in_a_dense_region(spark):
+    """Pairs among many texts on one template, which are hardly ever next to each other in an order."""
+    rows = on_one_template(1500, 60, 4)
+    sets = {i: shingles(t) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(alike(2 * k, 2 * k + 1) >= 0.75 for k in range(60)) and 0.6 < alike(0, 2) < 0.75 and 0.6 < alike(500, 501) < 0.75
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k - k % 2 if k < 120 else k for k in range(1500)}
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
