@@ -33,7 +33,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group; of rows alike in id and text, one."""
-    kept = near_duplicates.near_duplicates(docs).where("kept").select("doc_id", "text_digest").distinct()
+    kept = near_duplicates.representatives(docs)
     keyed = _keyed(docs)
     same = keyed["id"].eqNullSafe(kept["doc_id"]) & (keyed["digest"] == kept["text_digest"])
     return keyed.join(kept, same, "left_semi").dropDuplicates(["id", "digest"]).select("row.*")

@@ -337,13 +337,16 @@ def components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCE
     )
     # One signature for each distinct set; its first document lends the text for confirming.
     nodes = profile.where("node is not null").groupBy("node").agg(
-        F.min(F.struct("doc_id", "signature")).alias("first")
-    ).select("node", "first.doc_id", "first.signature")
+        F.min(F.struct("doc_id", "text_digest", "signature")).alias("first")
+    ).select("node", "first.doc_id", "first.text_digest", "first.signature")
     rows = nodes.select("node", "signature").mapInArrow(_tree_rows, "region long, order binary, node binary")
     shared = rows.groupBy("region").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("region")
     dense = write_once(rows.join(shared, "region").select("region", "order", "node"), "regions")
-    wanted = dense.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    source = texts.alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.node", "t.text")
+    wanted = dense.select("node").distinct().join(nodes.select("node", "doc_id", "text_digest"), "node")
+    # By id and text: many texts may share an id or have none, but a text has one node.
+    digest = F.md5(F.coalesce("text", F.lit("").cast("binary")))
+    same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_digest") == F.col("w.text_digest"))
+    source = texts.withColumn("text_digest", digest).alias("t").join(wanted.alias("w"), same).select("w.node", "t.text")
     sets = write_once(source.mapInArrow(partial(_sets, words), "node binary, shingles binary").dropDuplicates(["node"]), "sets")
 
     found = write_once(candidates(dense.withColumn("component", F.col("node"))), "candidates")
@@ -367,6 +370,27 @@ def components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCE
         rest = looked.select("a", "b").join(tested, ["a", "b"], "left_anti")
 
 
+def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, text_digest, n_shingles, component) of every row; the component of a text without words is null."""
+    profile, groups = components(docs, words, percent)
+    if groups is None:
+        return profile.withColumn("component", F.col("node"))
+    return profile.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def representatives(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text_digest) of one document of each component, and of each text without words.
+
+    It is the component's smallest by (doc_id, text_digest), null ids last, so also components
+    whose ids are all null or stand on several texts have exactly one.
+    """
+    labelled = _labelled(docs, words, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_digest")
+    first = labelled.where("component is not null").groupBy("component").agg(F.min(order).alias("first"))
+    alone = labelled.where("component is null").select("doc_id", "text_digest").distinct()
+    return first.select("first.doc_id", "first.text_digest").union(alone)
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of ``docs(doc_id, text)``; other columns are not looked at.
 
@@ -378,11 +402,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     component of nulls only has the component_id null, and its rows are kept. An empty table
     gives no rows. ``text_digest`` is the MD5 of the text, to tell rows of one id apart.
     """
-    profile, groups = components(docs, words, percent)
-    if groups is None:
-        labelled = profile.withColumn("component", F.col("node"))
-    else:
-        labelled = profile.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = _labelled(docs, words, percent)
     least = labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     joined = labelled.join(least, "component", "left")
     component_id = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))

@@ -98,6 +98,20 @@ def test_links_in_a_dense_region(spark):
     assert {r.doc_id: r.component_id for r in got} == {k: k - k % 2 if k < 120 else k for k in range(1500)}
 
 
+def test_one_document_of_each_group_stays(spark):
+    """Groups without ids, and groups whose smallest id stands on several texts."""
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(100)]
+    near = [" ".join([*words[:-1], f"end{k}"]) for k in range(3)]
+    other = [" ".join([f"o{k}" for k in range(99)] + [f"end{k}"]) for k in range(3)]
+    rows = [(None, t) for t in near] + [(7, t) for t in other] + [(None, "on its own"), (None, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in corpus_pipeline.deduplicate(spark, docs, "").collect()]
+    assert len(left) == 5 and {(None, "on its own"), (None, ""), (8, None)} <= set(left)
+    assert sum(t in near for _, t in left) == 1 and sum(t in other for _, t in left) == 1
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
