@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton over folded text.
 
-Folding turns look-alike letters of other alphabets into Latin ones and digits or signs between
-letters into the letters they stand for. Entries are whole words or beginnings of words. Their
+Folding drops hidden characters and accents, turns look-alike letters into plain Latin ones and
+digits or signs beside letters into the letters they stand for. As a sign at the edge of a word may
+also be just that ("idiot!", "@idiot"), texts are matched in each reading. Entries are whole words or beginnings of words. Their
 weights are log odds from labelled documents, each at the lower end of its confidence interval,
 so that chance finds weigh little; a few common insults have a weight even unseen. A phrase around an entry that only clean documents have is an exception and cancels the
 hit inside it. The sum of the hits' weights, alone and against the length of the text, and the
@@ -15,6 +16,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -49,16 +52,45 @@ ALIKE = str.maketrans(_CYRILLIC | _GREEK | _FULLWIDTH)
 SIGNS = str.maketrans("013457@$!", "oieastasi")
 
 _FOREIGN = re.compile("[" + "".join(map(chr, ALIKE)) + "]")
+_HIDDEN = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cf") + "\u034f\u115f\u1160\u3164]")
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f]")
+#: Signs before, between and after letters, in a run that has a letter.
+_BEFORE = re.compile(r"(?<![^\W_])[013457@$!]+(?=[^\W\d_])")
 _INSIDE = re.compile(r"(?<=[^\W\d_])[013457@$!]+(?=[^\W\d_])")
+_AFTER = re.compile(r"(?<=[^\W\d_])[013457@$!]+(?![^\W_])")
+#: A mention and an exclamation are read as such where only one reading is taken.
+_BEFORE_PLAIN = re.compile(r"(?<![^\W_@])[013457$!][013457@$!]*(?=[^\W\d_])")
+_AFTER_PLAIN = re.compile(r"(?<=[^\W\d_])[013457@$!]*[013457@$](?![^\W_])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _plain(text: str) -> str:
+    """Lower case, look-alikes replaced, hidden characters and accents dropped; signs as they are."""
+    if not text.isascii():
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", _HIDDEN.sub("", text)))
+        text = unicodedata.normalize("NFC", text)
+        if _FOREIGN.search(text):
+            text = text.translate(ALIKE)
+    return text.lower()
+
+
+def _signs(pattern: re.Pattern, text: str) -> str:
+    return pattern.sub(lambda m: m[0].translate(SIGNS), text)
+
+
 def fold(text: str) -> str:
-    """Lower case, look-alikes and signs between letters replaced; hidden spaces dropped."""
-    if _FOREIGN.search(text):
-        text = text.translate(ALIKE)
-    text = text.lower()
-    return _INSIDE.sub(lambda m: m[0].translate(SIGNS), text)
+    """The likeliest reading: signs in a run with letters replaced, but for a leading ``@`` and closing ``!``."""
+    return _signs(_AFTER_PLAIN, _signs(_BEFORE_PLAIN, _signs(_INSIDE, _plain(text))))
+
+
+def readings(text: str) -> list[str]:
+    """The distinct readings of a text, all of one length: signs as they are, and replaced between letters,
+    as in ``fold``, also before them, also after them, and everywhere."""
+    plain = _plain(text)
+    inside = _signs(_INSIDE, plain)
+    before = _signs(_BEFORE, inside)
+    likely = _signs(_AFTER_PLAIN, _signs(_BEFORE_PLAIN, inside))
+    return list(dict.fromkeys((plain, inside, likely, before, _signs(_AFTER, inside), _signs(_AFTER, before))))
 
 
 @dataclass
@@ -112,6 +144,20 @@ class Model:
                 out.append((start, end, weight))
         return out
 
+    def hits_of(self, automaton, text: str) -> list[tuple[int, int, float]]:
+        """The hits of all readings of a text; of those that overlap the weightiest."""
+        each = [self.hits(automaton, reading) for reading in readings(text)]
+        if len(each) == 1:
+            return each[0]
+        out: list[tuple[int, int, float]] = []
+        for hit in sorted({h for hits in each for h in hits}):
+            if out and hit[0] < out[-1][1]:
+                if hit[2] > out[-1][2]:
+                    out[-1] = hit
+            else:
+                out.append(hit)
+        return out
+
     def score(self, total: float, most: float, words: int) -> float:
         level = self.curve[0] + sum(w * x for w, x in zip(self.curve[1:], terms(total, most, words), strict=True))
         return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, level))))
@@ -173,7 +219,7 @@ def _scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     for batch in sliced(batches):
         totals, most, words, counts = [], [], [], []
         for text in batch.column(1).to_pylist():
-            hits = model.hits(automaton, fold(text)) if text else []
+            hits = model.hits_of(automaton, text) if text else []
             counts.append(len(hits))
             totals.append(sum(h[2] for h in hits))
             most.append(max((h[2] for h in hits), default=0.0))
@@ -300,7 +346,7 @@ def _clean(model: Model, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator
     for batch in sliced(batches):
         keep = []
         for text in batch.column(at).to_pylist():
-            hits = [h[2] for h in model.hits(automaton, fold(text))] if text else []
+            hits = [h[2] for h in model.hits_of(automaton, text)] if text else []
             keep.append(model.score(sum(hits), max(hits, default=0.0), len(text.split()) if text else 0) < 0.5)
         yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -378,6 +378,24 @@ def test_toxicity(spark):
     assert toxicity.reject(docs, toxicity.Model()).count() == len(rows)
 
 
+@pytest.mark.parametrize(
+    "word",
+    [
+        "1diot", "1d10t", "idi0t", "!diot", "idiot!", "@idiot", "idiot1", "1diot!", "@1d10t!!", "id\u200biot", "i\u00addiot",
+        "\ufeffidiot", "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d", "\u00edd\u00ef\u00f3t", "i\u0336d\u0336iot", "\uff49diot", "idiоt",
+    ],
+)
+def test_every_disguise_is_a_hit(word):
+    model = toxicity.Model(words={"idiot": 4.0})
+    automaton = model.automaton()
+    assert [h[2] for h in model.hits_of(automaton, f"such an {word} he is, and 1 more for $100")] == [4.0]
+
+
+def test_signs_at_the_edges():
+    folded = [toxicity.fold(t) for t in ("1diot", "$tupid", "5cum", "7rash", "1d10t", "trash!", "@scum", "$100 1 5")]
+    assert folded == ["idiot", "stupid", "scum", "trash", "idiot", "trash!", "@scum", "$100 1 5"]
+
+
 def test_exceptions_cancel_hits():
     model = toxicity.Model(words={"trash": 4.0}, exceptions=frozenset({"trash can"}))
     automaton = model.automaton()
