@@ -58,26 +58,49 @@ def settled(url: Column) -> Column:
 
 
 def _absolute(link: Column, url: Column) -> Column:
-    """A link as seen from a page."""
+    """A link as seen from a page, dot segments resolved; null for links of schemes without a host."""
     scheme = F.regexp_extract(url, "(?s)^(.*?:)//", 1)
     root = F.regexp_extract(url, "(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(url, "(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    return (
+    whole = (
         F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
         .when(link.startswith("//"), F.concat(scheme, link))
         .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("?"), F.concat(F.regexp_extract(url, "(?s)^([^?#]*)", 1), link))
+        .when(link.startswith("#"), F.concat(F.regexp_extract(url, "(?s)^([^#]*)", 1), link))
         .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), link))
     )
+    return F.when(path_of(whole).rlike(r"/\.\.?(/|$)"), _without_dots(whole)).otherwise(whole)
+
+
+def _without_dots(url: Column) -> Column:
+    """The segments ``.`` and ``..`` of a path taken out."""
+    start = F.regexp_extract(url, "(?s)^(.*?://[^/?#]*)", 1)
+    segments = F.split(F.substr(path_of(url), F.lit(2)), "/")
+
+    def step(kept: Column, part: Column) -> Column:
+        return (
+            F.when(part == ".", kept)
+            .when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+            .otherwise(F.concat(kept, F.array(part)))
+        )
+
+    last = F.element_at(segments, -1)
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(start, F.lit("/"), F.array_join(kept, "/"), F.regexp_extract(url, "(?s)^[^?#]*(.*)$", 1))
 
 
 def _linked(html: Column, url: Column) -> Column:
-    """The URL that a page names as its own by a canonical link or by a refresh, or null."""
+    """The URLs that a page names as its own: by a canonical link, and by a refresh."""
     canonical = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     refresh = F.regexp_extract(
         html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["']?([^"'\s>]+)""", 1
     )
-    named = F.when(canonical != "", canonical).when(refresh != "", refresh)
-    return F.when(named.isNotNull(), _absolute(F.replace(named, F.lit("&amp;"), F.lit("&")), url))
+    named = F.filter(F.array(canonical, refresh), lambda link: link != "")
+    whole = F.transform(named, lambda link: _absolute(F.replace(link, F.lit("&amp;"), F.lit("&")), url))
+    return F.array_distinct(F.filter(whole, lambda link: link.isNotNull()))
 
 
 def filter_pages(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -97,11 +120,12 @@ def filter_pages(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         F.when(real & F.col("html").isNotNull(), _linked(F.col("html"), F.col("url"))).alias("linked"),
     )
     rows = write_once(rows, "urls")
+    links = rows.select("settled", F.explode("linked").alias("linked"))
     goal = F.when(F.col("linked").contains("://"), settled(F.col("linked")))
     edges = (
         rows.where("url <> settled").select(F.col("url").alias("u"), F.col("settled").alias("v"))
-        .union(rows.where("settled <> linked").select("settled", "linked"))
-        .union(rows.withColumn("goal", goal).where("linked <> goal").select("linked", "goal"))
+        .union(links.where("settled <> linked"))
+        .union(links.withColumn("goal", goal).where("linked <> goal").select("linked", "goal"))
     )
     components = write_once(connected_components(edges), "aliases")
     rule = judged(rules, host_of(F.col("node")), path_of(F.col("node")))

@@ -58,6 +58,24 @@ def test_url_filters(spark):
     assert (got[6].host, got[6].path) == ("sub.example.org", "/en/17")
 
 
+def test_canonical_and_refresh_are_both_links(spark):
+    both = "<link rel=canonical href='{}'><meta http-equiv=refresh content='0; url={}'>"
+    rows = [
+        (1, "http://a.net/x", both.format("http://a.net/x", "https://example.org/es/q")),
+        (2, "http://b.net/d/e/y", "<link rel=canonical href='../z'>"),
+        (3, "http://b.net/d/z", "<link rel=canonical href='https://example.org/es/r'>"),
+        (4, "http://c.net/d/y", "<link rel=canonical href='./../../w/./v'>"),
+        (5, "http://c.net/w/v", "<link rel=canonical href='https://example.org/es/s'>"),
+        (6, "http://d.net/p?a=1", "<link rel=canonical href='?b=2'>"),
+        (7, "http://d.net/p?b=2", "<link rel=canonical href='https://example.org/es/t'>"),
+        (8, "http://e.net/p?b=2", "<link rel=canonical href='#top'>"),
+        (9, "http://f.net/p", "<link rel=canonical href='mailto:x@f.net'>"),
+    ]
+    got = {r.page_id: (r.verdict, r.aliases) for r in url_filters.filter_pages(pages(spark, rows), catalog.RULES).collect()}
+    assert {i: v for i, (v, _) in got.items()} == {**dict.fromkeys(range(1, 8), "block"), 8: "allow", 9: "allow"}
+    assert got[8][1] == 3 and got[9][1] == 2
+
+
 def test_an_allowed_alias_comes_first(spark):
     rows = [
         (1, "http://a.net/x", "<link rel='canonical' href='https://example.org/es/q'>"),
