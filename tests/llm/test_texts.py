@@ -342,6 +342,18 @@ def test_redaction_keeps_the_rest(spark):
     assert got == {1: (1, "at [EMAIL], [IP]!", "k", 1), 2: (2, None, "k", 2), 3: (3, "plain", "k", 3)}
 
 
+def test_copies_do_not_fill_the_sample(spark):
+    """A thousand copies of each of a few texts leave the other cases in a small sample."""
+    few = [("email", f"a{k}@x.de", "mail ", " now", True) for k in range(40)] + [("ip", f"{k}.1.1.999", "v ", " .", False) for k in range(40)]
+    names = "kind string, match string, before string, after string, accepted boolean"
+    once = spark.createDataFrame(few, names)
+    many = once.unionAll(once.join(spark.range(1000)).drop("id"))
+    plain, copied = (personal_data._fit(d, 60) for d in (once, many))
+    assert plain is not None and copied is not None
+    trees = lambda model: model.toDebugString.partition("\n")[2]
+    assert copied[2] == plain[2] and trees(copied[0]) == trees(plain[0])
+
+
 def test_written_around_data_is_found(spark):
     """The trees add spans that the base patterns miss."""
     pick = np.random.default_rng(1)
