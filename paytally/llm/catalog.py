@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paytally.llm import decontamination, fingerprints, near_duplicates, oracle, packing, personal_data, repeated_strings, sharding, toxicity, url_filters, warc
+from paytally.llm import decontamination, fingerprints, near_duplicates, oracle, packing, personal_data, repeated_strings, sharding, spelling, toxicity, url_filters, warc
 from paytally.storage import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), misspell_one_in=97)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -99,6 +103,7 @@ def queries() -> dict[str, Query]:
         "op8_url_filters": op8_url_filters,
         "op9_personal_data": op9_personal_data,
         "op10_warc": op10_warc,
+        "op13_spelling": op13_spelling,
     }
 
 

@@ -94,6 +94,38 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
 from payloads join firsts using (payload_digest)
 """
 
+_CRC32 = """
+steps as (
+  select k, list_reduce(list_prepend(k, cast(range(8) as bigint[])), lambda a, b: case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as v
+  from (select unnest(range(256)) as k)),
+lookup as (select list(v order by k) as t from steps)"""
+
+OP13 = f"""
+with recursive {_CRC32},
+runs as (
+  select coalesce(cast(doc_id as varchar), '') as id, {_LOWER.format("unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'))")} as run from documents),
+distinct_runs as (select id, run, count(*) as times from runs group by id, run),
+summed as (
+  select run, times, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(id || ':' || run)), '..'), lambda x: cast('0x' || x as bigint))),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) as h from distinct_runs, lookup),
+spelt as (
+  select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, times from summed),
+words as (select word, cast(sum(times) as bigint) as n from spelt where length(word) >= 5 group by word having sum(times) >= 3),
+gaps as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(0, length(word))) as i from words)),
+near as (
+  select a.word, b.word as other, b.n as other_n from gaps a join gaps b on a.i = b.i and a.rest = b.rest and a.word <> b.word and length(a.word) = length(b.word)
+  union select a.word, b.word, b.n from gaps a join words b on a.rest = b.word
+  union select b.word, a.word, a.n from gaps a join words b on a.rest = b.word),
+best as (select word, count(*) as n_near, arg_min(other, (-other_n, other)) as other, max(other_n) as other_n from near group by word),
+formed as (
+  select word, n, coalesce(n_near, 0) as n_near, case when other_n >= 2 * n then other end as form, case when other_n >= 2 * n then other_n end as form_n
+  from words left join best using (word)),
+chain as (select word, word as root, form as further from formed
+  union all select c.word, c.further, f.form from chain c join formed f on f.word = c.further)
+select f.word, f.form, c.root, f.n, f.n_near, f.form_n from formed f join chain c on c.word = f.word and c.further is null
+"""
+
 
 def queries() -> dict[str, str]:
     return {
@@ -102,4 +134,5 @@ def queries() -> dict[str, str]:
         "op5_sharding": OP5,
         "op6_minhash": OP6,
         "op10_warc": OP10,
+        "op13_spelling": OP13,
     }
