@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paytally.llm import decontamination, fingerprints, near_duplicates, oracle, packing, personal_data, repeated_strings, sharding, spelling, toxicity, url_filters, warc
+from paytally.llm import decontamination, fingerprints, mixing, near_duplicates, oracle, packing, personal_data, repeated_strings, sharding, spelling, toxicity, url_filters, warc
 from paytally.storage import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 N_SHARDS = 24
+WEIGHTS = (1, 2, 3)
 RULES = (
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -87,6 +88,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"), misspell_one_in=97)
 
@@ -103,6 +108,7 @@ def queries() -> dict[str, Query]:
         "op8_url_filters": op8_url_filters,
         "op9_personal_data": op9_personal_data,
         "op10_warc": op10_warc,
+        "op12_mixing": op12_mixing,
         "op13_spelling": op13_spelling,
     }
 
