@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paytally.llm import decontamination, fingerprints, mixing, near_duplicates, oracle, packing, personal_data, repeated_strings, sharding, spelling, toxicity, url_filters, warc
+from paytally.llm import decontamination, fingerprints, hard_negatives, mixing, near_duplicates, oracle, packing, personal_data, repeated_strings, sharding, spelling, toxicity, url_filters, warc
 from paytally.storage import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -108,6 +113,7 @@ def queries() -> dict[str, Query]:
         "op8_url_filters": op8_url_filters,
         "op9_personal_data": op9_personal_data,
         "op10_warc": op10_warc,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_mixing": op12_mixing,
         "op13_spelling": op13_spelling,
     }

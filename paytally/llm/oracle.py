@@ -94,6 +94,25 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
 from payloads join firsts using (payload_digest)
 """
 
+OP11 = """
+with rows as (
+  select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.rid as anchor, a.vec_id as anchor_id, b.rid as other, b.vec_id as other_id, a.label = b.label as same,
+    cast(list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2])) as bigint) as score
+  from rows a join rows b on a.rid <> b.rid where a.vec_id % 100 = 0),
+positives as (
+  select * from scored where same qualify row_number() over (partition by anchor order by score desc, other_id nulls last) <= 5),
+windows as (
+  select p.anchor_id, p.other_id as positive_id, p.score as positive_score, n.other_id as negative_id, n.score as negative_score,
+    row_number() over (partition by p.anchor, p.other order by n.score desc, n.other_id nulls last) as rank
+  from positives p join scored n on n.anchor = p.anchor and not n.same and 80 * p.score <= 100 * n.score and n.score <= p.score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from windows where rank <= 5
+"""
+
 _CRC32 = """
 steps as (
   select k, list_reduce(list_prepend(k, cast(range(8) as bigint[])), lambda a, b: case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as v
@@ -134,5 +153,6 @@ def queries() -> dict[str, str]:
         "op5_sharding": OP5,
         "op6_minhash": OP6,
         "op10_warc": OP10,
+        "op11_hard_negatives": OP11,
         "op13_spelling": OP13,
     }
