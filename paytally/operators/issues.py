@@ -27,6 +27,7 @@ class Rule(NamedTuple):
     detail: Column | None = None
     declared: Column | None = None
     actual: Column | None = None
+    validator: str | None = None
 
 
 def finding(validator: str, rule: Rule) -> Column:
@@ -38,7 +39,7 @@ def finding(validator: str, rule: Rule) -> Column:
         text = F.lit(text)
     nothing = F.lit(None)
     given = (v if v is not None else nothing for v in (rule.detail, rule.declared, rule.actual))
-    row = F.struct(F.lit(validator), F.lit(severity), F.lit(rule.code), rule.id, text, *given)
+    row = F.struct(F.lit(rule.validator or validator), F.lit(severity), F.lit(rule.code), rule.id, text, *given)
     return row.cast(schemas.ISSUES)
 
 
@@ -50,7 +51,7 @@ def split_mark(message: Column) -> tuple[Column, Column]:
 
 
 def find(df: DataFrame, validator: str, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
-    """All findings of ``rules`` in one pass over ``df``.
+    """All findings of ``rules`` in one pass over ``df``; a rule may name a validator of its own.
 
     Rows that break no rule leave at a plain filter, which Parquet can help with and which
     stays in generated code; only the others reach the array that fans findings out.

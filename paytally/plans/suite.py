@@ -28,11 +28,14 @@ PARALLEL_TRANSACTION_VALIDATOR = "ParallelTransactionValidator"
 class Check:
     """A name and a function from the tables to findings, with the columns of ``schemas.ISSUES``
     after the scope columns. The function only builds a plan. ``reconciles`` tells that it works
-    on block totals, which a run then computes once for all checks."""
+    on block totals, which a run then computes once for all checks; ``measure`` and ``exact`` that it is
+    one of the standard reconciliations, all of which a run finds in one pass."""
 
     name: str
     build: Callable[[PaymentTables], DataFrame]
     reconciles: bool = False
+    measure: str | None = None
+    exact: bool = False
 
     def findings(self, tables: PaymentTables) -> DataFrame:
         return self.build(tables).select(*tables.scope, *schemas.ISSUES.names)
@@ -77,6 +80,25 @@ class Suite:
             return tables.spark.createDataFrame([], schema)
         return union_all([check.findings(tables) for check in self.checks])
 
+    def shared_findings(self, tables: PaymentTables) -> DataFrame:
+        """The findings of all checks, what several of them need written first.
+
+        Standard reconciliations are found together in one frame of blocks and messages beside their
+        totals; of other checks that work on block totals, these are written for all.
+        """
+        if sum(check.reconciles for check in self.checks) < 2:
+            return self.findings(tables)
+        # Of a check that is there twice, the second finds by itself.
+        measured = {(c.exact, c.measure): c for c in reversed(self.checks) if c.measure}
+        rest = Suite(*(c for c in self.checks if measured.get((c.exact, c.measure)) is not c))
+        parts = []
+        for exact in sorted({exact for exact, _ in measured}):
+            measures = [measure for of, measure in measured if of == exact]
+            parts.append(reconcile.frame_findings(reconcile.frame(tables, exact), measures))
+        if any(c.reconciles for c in rest.checks):
+            tables = reconcile.share_totals(tables)
+        return union_all([*([rest.findings(tables)] if rest.checks else []), *(p.select(*tables.scope, *schemas.ISSUES.names) for p in parts)])
+
     def run(self, tables: PaymentTables, isolate: bool = True) -> Report:
         """Evaluate once and keep the findings in the shared folder.
 
@@ -85,8 +107,7 @@ class Suite:
         """
         started = time.monotonic()
         try:
-            shared = reconcile.share_totals(tables) if any(check.reconciles for check in self.checks) else tables
-            found = write_once(self.findings(shared), "findings")
+            found = write_once(self.shared_findings(tables), "findings")
         except Exception:
             if not isolate or not self.checks:
                 raise
@@ -140,12 +161,12 @@ def row_check() -> Check:
 
 def control_sum_check(exact: bool = False) -> Check:
     build = reconcile.control_sums_exact if exact else reconcile.control_sums
-    return Check(reconcile.CONTROL_SUM_VALIDATOR, build, reconciles=True)
+    return Check(reconcile.CONTROL_SUM_VALIDATOR, build, reconciles=True, measure=reconcile.SUMS, exact=exact)
 
 
 def count_check(exact: bool = False) -> Check:
     build = reconcile.transaction_counts_exact if exact else reconcile.transaction_counts
-    return Check(reconcile.COUNT_VALIDATOR, build, reconciles=True)
+    return Check(reconcile.COUNT_VALIDATOR, build, reconciles=True, measure=reconcile.COUNTS, exact=exact)
 
 
 def standard_suite(semantics: str = "sql") -> Suite:

@@ -71,6 +71,11 @@ TRANSACTIONS = _schema(
 
 TABLES = {"message": MESSAGE, "remittance": REMITTANCE, "transactions": TRANSACTIONS}
 
+#: Where a header stands in its file: the split it was read from, its piece there, its place in the piece.
+PLACE = T.StructType([T.StructField("split", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("pos", T.IntegerType())])
+#: The columns of tables that were read from documents: a row's own place and that of the header it belongs to.
+PLACES = {"message": ("position",), "remittance": ("position", "parent"), "transactions": ("parent",)}
+
 # One row per finding. `rule` is a stable code, `detail` the offending value, and `declared`
 # and `actual` the compared numbers of a reconciliation.
 ISSUES = T.StructType(
@@ -85,3 +90,10 @@ ISSUES = T.StructType(
         T.StructField("actual", TOTAL),
     ]
 )
+
+
+def stored(table: str, scope: tuple[str, ...] = (), located: bool = False) -> T.StructType:
+    """The schema of a stored table: its scope, its places if it has any, its fields."""
+    extra = [T.StructField(c, _TEXT) for c in scope]
+    extra += [T.StructField(c, PLACE) for c in PLACES[table]] if located else []
+    return T.StructType([*extra, *TABLES[table].fields])

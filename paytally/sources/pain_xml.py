@@ -16,8 +16,13 @@ make no difference. The steps:
 3. *Tables*: the staged rows of sound files, completed from the index.
 
 A file that cannot be read as a whole gives no rows; it is listed with a reason instead.
-Text that only looks like a tag (inside CDATA or a comment) makes a file *irregular*; such files
-are read once more, with the pieces that were cut inside a section made whole again.
+Text that only looks like a tag (inside CDATA or a comment, or the tag's name in other text) makes a
+file *irregular*; such files are read once more, with the pieces that were cut there made whole again,
+also where that goes on over the end of a split.
+
+Headers have a place: split, piece, place in the piece. It orders them as the document does, and every
+row knows the place of the header it belongs to. Fields of a block that stand after its transactions are
+pieces of their own; that place takes them back to their header.
 """
 
 from __future__ import annotations
@@ -32,14 +37,13 @@ from pyspark.sql import functions as F
 from paytally import schemas
 from paytally.functions import scalars as S
 from paytally.sources import plain_markup
-from paytally.sources.carry import carry_marks, rejoin_open
+from paytally.sources.carry import MARKS, carry_marks, rejoin_open, split_ends, split_starts, write_out_empty
 from paytally.storage import fresh_path, remove, write_at, write_once
 from paytally.tables import PaymentTables
 
 col = F.col
 
 TRANSACTION_TAG = "CdtTrfTxInf"
-DOCUMENT_TAG = "CstmrCdtTrfInitn"
 SOURCE_FILE = "source_file"
 
 # Everything is read as text and converted afterwards, so that a bad value is seen, not nulled.
@@ -60,15 +64,6 @@ RmtInf:struct<Ustrd:array<string>,
   Strd:array<struct<CdtrRefInf:struct<Tp:struct<CdOrPrtry:struct<Cd:string>>, Ref:string>>>>
 """
 TRANSACTION_XML = f"struct<{TRANSACTION_FIELDS}, _corrupt_record:string>"
-DOCUMENT_XML = f"""
-GrpHdr struct<MsgId:string, CreDtTm:string, NbOfTxs:string, CtrlSum:string, InitgPty:struct<Nm:string>>,
-PmtInf array<struct<PmtInfId:string, PmtMtd:string, BtchBookg:string, NbOfTxs:string, CtrlSum:string,
-  PmtTpInf:struct<InstrPrty:string, SvcLvl:struct<Cd:string>, LclInstrm:struct<Cd:string>, CtgyPurp:struct<Cd:string>>,
-  ReqdExctnDt:struct<Dt:string>, Dbtr:struct<Nm:string>, DbtrAcct:struct<Id:struct<IBAN:string>>,
-  DbtrAgt:struct<FinInstnId:struct<BICFI:string>>, ChrgBr:string, UltmtDbtr:struct<Nm:string>,
-  CdtTrfTxInf:array<struct<{TRANSACTION_FIELDS}>>>>,
-_corrupt_record string
-"""
 
 PREFIX = r"(?:[\w.-]+:)?"
 
@@ -190,18 +185,22 @@ def _between_problem(markup: Column) -> Column:
     """What is wrong with the text between two transactions, apart from its headers (NULL if nothing).
 
     Prolog and the tags that enclose headers and transactions are taken away; what is left has to
-    be well-formed, and may not be fields of the block whose transactions came before.
+    be well-formed.
     """
     rest = F.regexp_replace(markup, _FRAGMENT, "")
     rest = F.regexp_replace(rest, r"(?s)<\?.*?\?>|<!DOCTYPE[^>]*>|\x{FEFF}", "")
     rest = F.regexp_replace(rest, rf"\A\s*/?>|<(?:/?{PREFIX})\z", "")
-    late = rest.rlike(rf"(?s)\A\s*<{PREFIX}(?:{'|'.join(_BLOCK_FIELDS)})[\s>/].*</{PREFIX}PmtInf\s*>")
     bare = F.regexp_replace(rest, rf"</?{PREFIX}(?:Document|CstmrCdtTrfInitn|PmtInf)(?:\s[^<>]*)?>", "")
     parsed = F.from_xml(F.concat(F.lit("<r>"), bare, F.lit("</r>")), "v string, _corrupt_record string", _OPTIONS)
     broken = _guarded(~bare.rlike(r"\A\s*\z"), parsed.isNull() | parsed["_corrupt_record"].isNotNull())
-    return F.when(late, F.lit("malformed: block fields after its transactions")).when(
-        broken, F.lit("malformed markup between transactions")
-    )
+    return F.when(broken, F.lit("malformed markup between transactions"))
+
+
+def _late_fields(markup: Column) -> Column:
+    """Fields of a block in the text after one of its transactions, as a header of their own (NULL if none)."""
+    late = F.regexp_extract(markup, rf"(?s)\A\s*>(.*?)(?:</{PREFIX}PmtInf\s*>|<(?:{PREFIX})\z)", 1)
+    has = late.rlike(rf"<{PREFIX}(?:{'|'.join(_BLOCK_FIELDS)})[\s>/]")
+    return F.when(has, F.concat(F.lit("<PmtInf>"), late, F.lit("</PmtInf>")))
 
 
 def _one_block_mark(value: Column) -> Column:
@@ -228,6 +227,8 @@ def _pieces(raw: DataFrame) -> DataFrame:
     )
     last_group = F.try_element_at(F.filter(col("fragments"), _is_group), F.lit(-1))
     last_block = F.try_element_at(F.filter(col("fragments"), lambda f: ~_is_group(f)), F.lit(-1))
+    group_pos = F.array_max(F.transform(col("fragments"), lambda f, i: F.when(_is_group(f), i)))
+    block_pos = F.array_max(F.transform(col("fragments"), lambda f, i: F.when(~_is_group(f), i)))
     return kept.select(
         SOURCE_FILE,
         "split_start",
@@ -238,14 +239,16 @@ def _pieces(raw: DataFrame) -> DataFrame:
         "invalid_text",
         F.when(col("fragments").isNotNull(), _mark(last_group, "MsgId")).alias("group"),
         F.when(col("fragments").isNotNull(), _mark(last_block, "PmtInfId")).otherwise(col("mark")).alias("block"),
+        group_pos.alias("group_pos"),
+        F.when(col("fragments").isNotNull(), block_pos).when(col("mark").isNotNull(), F.lit(0)).alias("block_pos"),
     )
 
 
 # ---- carrying ids forward inside a split ----------------------------------------------------
 
 def _carried(pieces: DataFrame) -> DataFrame:
-    schema = schemas.T.StructType([*pieces.schema.fields, schemas.T.StructField("seq", schemas.T.LongType())])
-    return pieces.mapInArrow(carry_marks, schema)
+    numbers = [schemas.T.StructField(n, schemas.T.LongType()) for n in ("seq", *(f"{mark}_seq" for mark in MARKS))]
+    return pieces.mapInArrow(carry_marks, schemas.T.StructType([*pieces.schema.fields, *numbers]))
 
 
 # ---- parsing -------------------------------------------------------------------------------
@@ -415,11 +418,18 @@ def _parse_headers(rows: DataFrame) -> tuple[DataFrame, list[Column], Column]:
     return rows, fields, F.when(malformed, F.lit("malformed header")).otherwise(problem)
 
 
+def _place(seq: str | Column, pos: str | Column) -> Column:
+    """The place of a header in its file."""
+    seq, pos = (col(c) if isinstance(c, str) else c for c in (seq, pos))
+    return F.struct(col("split_start").alias("split"), seq.alias("seq"), pos.alias("pos"))
+
+
 def parse_pieces(raw: DataFrame) -> DataFrame:
     """One row per transaction, block and message, plus rows that only carry facts on a file.
 
-    ``kind`` is T, R, M or F; ``tx`` and ``head`` hold the converted fields. ``group`` and
-    ``block`` are the marks of the headers before the row in its split, NULL if there are none.
+    ``kind`` is T, R, M, L (late fields of a block) or F; ``tx`` and ``head`` hold the converted
+    fields. ``group`` and ``block`` are the marks of the headers before the row in its split and
+    ``parent`` is the place of the header it belongs to, NULL if there are none.
     """
     value, body = col("value"), col("is_body")
     pieces, tx_fields, tx_problem = _parse_transactions(_carried(_pieces(raw)))
@@ -446,8 +456,12 @@ def parse_pieces(raw: DataFrame) -> DataFrame:
         lambda g: g.isNotNull(),
     )
     fragments = F.when(one_block, F.array(_one_block_fragment(value))).when(other, _fragments(col("between")))
+    with_late = F.when(col("late").isNotNull(), F.concat("fragments", F.array("late"))).otherwise(col("fragments"))
     rows = (
         between.withColumn("fragments", fragments)
+        .withColumn("late", F.when(other, _late_fields(col("between"))))
+        .withColumn("fragments", with_late)
+        .withColumn("late", F.when(col("late").isNotNull(), F.size("fragments") - 1))
         .withColumn("documents_opened", times(rf"<{PREFIX}Document[\s>]", "Document"))
         .withColumn("documents_closed", times(rf"</{PREFIX}Document\s*>", "Document"))
         .withColumn("blocks_opened", times(rf"<{PREFIX}PmtInf[\s>]", "PmtInf", 1))
@@ -467,15 +481,15 @@ def parse_pieces(raw: DataFrame) -> DataFrame:
     )
     rows, head_fields, head_problem = _parse_headers(rows)
     fragment = col("fragment")
+    late = F.coalesce(col("pos") == col("late"), F.lit(False))
     kind = (
-        F.when(body, F.lit("T")).when(fragment.isNull(), F.lit("F")).when(_is_group(fragment), F.lit("M"))
-        .otherwise(F.lit("R"))
+        F.when(body, F.lit("T")).when(fragment.isNull(), F.lit("F")).when(late, F.lit("L"))
+        .when(_is_group(fragment), F.lit("M")).otherwise(F.lit("R"))
     )
     # Groups in the same piece, before this fragment, are nearer than those of earlier pieces.
-    nearer = F.when(
-        col("groups").isNotNull(),
-        _last(F.transform(F.filter(col("groups"), lambda g: g["pos"] < col("pos")), lambda g: g["mark"])),
-    )
+    nearer = F.when(col("groups").isNotNull(), _last(F.filter(col("groups"), lambda g: g["pos"] < col("pos"))))
+    group_place = F.when(nearer.isNotNull(), _place("seq", nearer["pos"])).when(col("group_seq").isNotNull(), _place("group_seq", "group_pos"))
+    block_place = F.when(col("block_seq").isNotNull(), _place("block_seq", "block_pos"))
     once = col("pos") == 0
     return rows.select(
         SOURCE_FILE,
@@ -483,8 +497,9 @@ def parse_pieces(raw: DataFrame) -> DataFrame:
         "seq",
         "pos",
         kind.alias("kind"),
-        F.when(fragment.isNotNull(), F.coalesce(nearer, col("group"))).alias("group"),
+        F.when(fragment.isNotNull(), F.coalesce(nearer["mark"], col("group"))).alias("group"),
         F.when(body, col("block")).alias("block"),
+        F.when(body | late, block_place).when(fragment.isNotNull(), group_place).alias("parent"),
         F.when(body, F.struct(*tx_fields)).alias("tx"),
         F.when(fragment.isNotNull(), F.struct(*head_fields)).alias("head"),
         F.coalesce(col("between_problem"), F.when(body, tx_problem).otherwise(head_problem)).alias("problem"),
@@ -497,10 +512,12 @@ def parse_pieces(raw: DataFrame) -> DataFrame:
 
 
 def file_states(staged: DataFrame) -> DataFrame:
-    """Per file: what makes it unreadable as a whole (NULL if nothing), and whether it is irregular."""
+    """Per file: what makes it unreadable as a whole (NULL if nothing), whether it is irregular, and
+    whether blocks of it have late fields."""
     sums = staged.groupBy(SOURCE_FILE).agg(
         *(F.sum(c).alias(c) for c in _FACTS),
         F.bool_or("irregular").alias("irregular"),
+        F.bool_or(col("kind") == "L").alias("late"),
         F.min("problem").alias("problem"),
     )
     irregular = col("irregular") | (col("tails") > 1)
@@ -513,20 +530,22 @@ def file_states(staged: DataFrame) -> DataFrame:
     return sums.select(
         SOURCE_FILE,
         irregular.alias("irregular"),
+        "late",
         F.when(~irregular, reason).alias("reason"),
     )
 
 
 def split_index(staged: DataFrame, states: DataFrame) -> DataFrame:
-    """Per split of a sound file: the ids its first rows inherit from the splits before it.
+    """Per split of a sound file: the headers its first rows inherit from the splits before it.
 
     One row per split, so the window holds a file's splits, never its transactions.
     """
-    place = F.struct("seq", "pos")
-    splits = staged.groupBy(SOURCE_FILE, "split_start").agg(
-        F.max_by(F.struct(col("head.msg_id").alias("id")), F.when(col("kind") == "M", place)).alias("group"),
-        F.max_by(F.struct(col("head.pmt_inf_id").alias("id")), F.when(col("kind") == "R", place)).alias("block"),
-    )
+    place = _place("seq", "pos")
+
+    def last(kind: str, id: str) -> Column:
+        return F.max_by(F.struct(col(f"head.{id}").alias("id"), place.alias("place")), F.when(col("kind") == kind, place))
+
+    splits = staged.groupBy(SOURCE_FILE, "split_start").agg(last("M", "msg_id").alias("group"), last("R", "pmt_inf_id").alias("block"))
     earlier = (
         Window.partitionBy(SOURCE_FILE).orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -534,22 +553,43 @@ def split_index(staged: DataFrame, states: DataFrame) -> DataFrame:
     return splits.join(sound, SOURCE_FILE).select(
         SOURCE_FILE,
         "split_start",
-        F.last("group", ignorenulls=True).over(earlier)["id"].alias("inherited_group"),
-        F.last("block", ignorenulls=True).over(earlier)["id"].alias("inherited_block"),
+        F.last("group", ignorenulls=True).over(earlier).alias("inherited_group"),
+        F.last("block", ignorenulls=True).over(earlier).alias("inherited_block"),
     )
 
 
-def _tables(staged: DataFrame, index: DataFrame) -> PaymentTables:
+def _with_late_fields(blocks: DataFrame, late: DataFrame) -> DataFrame:
+    """Block rows whose ``head`` has the fields that stand after transactions; the last of a field counts."""
+    names = [f.name for f in blocks.schema["head"].dataType.fields]
+    latest = late.groupBy(SOURCE_FILE, "parent").agg(
+        *(F.max_by(col(f"head.{n}"), F.when(col(f"head.{n}").isNotNull(), _place("seq", "pos"))).alias(n) for n in names)
+    )
+    latest = latest.select(col(SOURCE_FILE).alias("late_file"), col("parent").alias("late_place"), F.struct(*names).alias("late_head"))
+    merged = F.struct(*(F.coalesce(col("late_head")[n], col("head")[n]).alias(n) for n in names))
+    same = (col(SOURCE_FILE) == col("late_file")) & (col("position") == col("late_place"))
+    return blocks.join(latest, same, "left").withColumn("head", merged)
+
+
+def _tables(staged: DataFrame, index: DataFrame, late: bool = False) -> PaymentTables:
     # Messages and blocks are picked before the join, so each table reads its own columns only.
-    def rows(kind: str) -> DataFrame:
-        return staged.where(col("kind") == kind).join(index, [SOURCE_FILE, "split_start"])
+    def rows(*kinds: str) -> DataFrame:
+        return staged.where(col("kind").isin(*kinds)).join(index, [SOURCE_FILE, "split_start"])
 
-    group = F.when(col("group").isNotNull(), _marked_id(col("group"))).otherwise(col("inherited_group"))
-    block = F.when(col("block").isNotNull(), _marked_id(col("block"))).otherwise(col("inherited_block"))
+    def placed(df: DataFrame, inherited: str) -> DataFrame:
+        return df.withColumns({"position": _place("seq", "pos"), "parent": F.coalesce("parent", f"{inherited}.place")})
+
+    group = F.when(col("group").isNotNull(), _marked_id(col("group"))).otherwise(col("inherited_group.id"))
+    block = F.when(col("block").isNotNull(), _marked_id(col("block"))).otherwise(col("inherited_block.id"))
+    blocks = placed(rows("R"), "inherited_group")
+    if late:
+        blocks = _with_late_fields(blocks, placed(rows("L"), "inherited_block"))
     return PaymentTables(
-        message=rows("M").select(SOURCE_FILE, *_message(col("head"))),
-        remittance=rows("R").select(SOURCE_FILE, group.alias("msg_id"), *_remittance(col("head"))),
-        transactions=rows("T").select(SOURCE_FILE, block.alias("pmt_inf_id"), *_transaction(col("tx"))),
+        message=rows("M").select(SOURCE_FILE, _place("seq", "pos").alias("position"), *_message(col("head"))),
+        remittance=blocks.select(SOURCE_FILE, "position", "parent", group.alias("msg_id"), *_remittance(col("head"))),
+        transactions=placed(rows("T"), "inherited_block").select(
+            SOURCE_FILE, "parent", block.alias("pmt_inf_id"), *_transaction(col("tx"))
+        ),
+        located=True,
     )
 
 
@@ -568,75 +608,45 @@ def _transaction(tx: Column) -> list[Column]:
     return [tx[n].alias(n) for n in schemas.TRANSACTIONS.names if n != "pmt_inf_id"]
 
 
-# ---- whole documents -----------------------------------------------------------------------
+# ---- irregular files -----------------------------------------------------------------------
+
+
+def _numbered(raw: DataFrame) -> DataFrame:
+    """Pieces with their place in the scan, which ascends within a split."""
+    return raw.withColumn("at", F.monotonically_increasing_id())
+
+
+def _in_order(pieces: DataFrame) -> DataFrame:
+    order = (SOURCE_FILE, "split_start", "at")
+    return pieces.repartition(SOURCE_FILE, "split_start").sortWithinPartitions(*order)
 
 
-def _whole_documents(raw: DataFrame, files: DataFrame) -> tuple[PaymentTables, DataFrame]:
-    """Read each document of ``files`` as one record, put together from its pieces.
+def _made_whole(raw: DataFrame, files: DataFrame) -> DataFrame:
+    """The pieces of ``files``, those that were cut at a tag name that is no tag made whole.
 
-    Only for what cannot be cut: a comment or CDATA section that holds the transaction tag and
-    goes on over the end of a split, or the tag as other text. Returns the tables and, per bad
-    file, a reason.
+    Each split tells what is open at its end for each thing that may be open at its start; over the
+    splits of a file, one narrow row each, that gives what is open where. Then every split joins its own
+    pieces, and only what goes on from split to split is put together across them.
     """
-    piece = F.struct("split_start", "at", "value")
-    texts = (
-        _numbered(raw).join(files, SOURCE_FILE, "left_semi").groupBy(SOURCE_FILE)
-        .agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
-        .select(SOURCE_FILE, F.array_join(F.transform("pieces", lambda p: p["value"]), TRANSACTION_TAG).alias("text"))
-    )
-    pattern = rf"(?s)<({PREFIX}){DOCUMENT_TAG}[\s>].*?</\1{DOCUMENT_TAG}\s*>"
-    found = texts.select(SOURCE_FILE, F.explode(F.regexp_extract_all(_plain(col("text")), F.lit(pattern), F.lit(0))).alias("text"))
-    documents = write_once(
-        found.select(SOURCE_FILE, F.from_xml("text", f"struct<{DOCUMENT_XML}>", _OPTIONS).alias("d")).select(SOURCE_FILE, "d.*"),
-        "documents",
-    )
-    group_fields, group_problem = typed_header(_document_texts("GrpHdr", ("MsgId", "CreDtTm", "InitgPty")))
-    blocks = documents.select(
-        SOURCE_FILE, S.trim_text(col("GrpHdr.MsgId")).alias("group_id"), F.explode("PmtInf").alias("b")
-    )
-    block_fields, block_problem = typed_header(
-        _document_texts(
-            "b",
-            "PmtInfId PmtMtd BtchBookg PmtTpInf Dbtr DbtrAcct DbtrAgt ChrgBr UltmtDbtr ReqdExctnDt".split(),
-        )
+    ends = _in_order(_numbered(raw).join(files, SOURCE_FILE, "left_semi")).select("value", SOURCE_FILE, "split_start")
+    key = "source_file string, split_start long"
+    ends = ends.mapInArrow(split_ends, f"{key}, plain string, comment string, section string")
+    starts = write_once(ends.groupBy(SOURCE_FILE).applyInPandas(split_starts, f"{key}, kind string"), "starts")
+    pieces = _in_order(_numbered(raw).join(starts, [SOURCE_FILE, "split_start"])).select("value", SOURCE_FILE, "split_start", "kind")
+    units = write_once(
+        pieces.mapInArrow(partial(rejoin_open, TRANSACTION_TAG), f"value string, {key}, at long, begun boolean, goes_on boolean"), "whole"
     )
-    transactions = blocks.select(
-        SOURCE_FILE, S.trim_text(col("b.PmtInfId")).alias("block_id"), F.explode("b.CdtTrfTxInf").alias("t")
+    over = col("begun") | col("goes_on")
+    chain = Window.partitionBy(SOURCE_FILE).orderBy("split_start", "at")
+    first = F.last(F.when(~col("begun"), F.struct("split_start", "at")), ignorenulls=True).over(chain)
+    parts = F.array_sort(F.collect_list(F.struct("split_start", "at", "value")))
+    joined = (
+        units.where(over).withColumn("first", first).groupBy(SOURCE_FILE, "first").agg(parts.alias("parts"))
+        .select(F.array_join(F.transform("parts", lambda p: p["value"]), TRANSACTION_TAG).alias("value"), SOURCE_FILE, "first.*")
     )
-    raw = parsed_transaction(col("t"))
-    transactions = transactions.withColumns({name: raw[name] for name in REPEATED})
-    tx_fields, tx_problem = typed_transaction(raw | {name: col(name) for name in REPEATED})
-
-    heads = documents.where(col("GrpHdr").isNotNull()).select(SOURCE_FILE, F.struct(*group_fields).alias("head"))
-    block_rows = blocks.select(SOURCE_FILE, "group_id", F.struct(*block_fields).alias("head"))
-    tx_rows = transactions.select(SOURCE_FILE, "block_id", F.struct(*tx_fields).alias("tx"))
-    problems = (
-        documents.select(
-            SOURCE_FILE,
-            F.when(col("_corrupt_record").isNotNull(), F.lit("malformed document"))
-            .otherwise(group_problem).alias("reason"),
-        )
-        .unionByName(blocks.select(SOURCE_FILE, block_problem.alias("reason")))
-        .unionByName(transactions.select(SOURCE_FILE, tx_problem.alias("reason")))
-        .groupBy(SOURCE_FILE)
-        .agg(F.min("reason").alias("reason"))
-        .where(col("reason").isNotNull())
-    )
-    tables = PaymentTables(
-        heads.select(SOURCE_FILE, *_message(col("head"))),
-        block_rows.select(SOURCE_FILE, col("group_id").alias("msg_id"), *_remittance(col("head"))),
-        tx_rows.select(SOURCE_FILE, col("block_id").alias("pmt_inf_id"), *_transaction(col("tx"))),
-    )
-    return tables.map(lambda _, df: df.join(problems.select(SOURCE_FILE), SOURCE_FILE, "left_anti")), problems
-
-
-def _document_texts(struct: str, elements: Sequence[str]) -> dict[str, Column]:
-    """The header texts found under ``struct``; those of other elements are NULL."""
-    present = {*elements, "NbOfTxs", "CtrlSum"}
-    return {
-        name: _walk(col(struct), path) if path[0] in present else F.lit(None).cast("string")
-        for name, path in HEADER_PATHS.items()
-    }
+    whole = units.where(~over).select("value", SOURCE_FILE, "split_start", "at").unionByName(joined)
+    ordered = _in_order(whole).select("value", SOURCE_FILE, "split_start")
+    return ordered.mapInArrow(write_out_empty, f"value string, {key}")
 
 
 # ---- entry points --------------------------------------------------------------------------
@@ -663,56 +673,30 @@ class PaymentFiles:
         return self.tables.counts()
 
 
-def _numbered(raw: DataFrame) -> DataFrame:
-    """Pieces with their place in the scan, which ascends within a split."""
-    return raw.withColumn("at", F.monotonically_increasing_id())
-
-
-def _rejoined(raw: DataFrame, files: DataFrame) -> DataFrame:
-    """The pieces of ``files``, those that a comment or CDATA section was cut into made whole."""
-    order = (SOURCE_FILE, "split_start", "at")
-    pieces = _numbered(raw).join(files, SOURCE_FILE, "left_semi")
-    ordered = pieces.repartition(SOURCE_FILE, "split_start").sortWithinPartitions(*order)
-    return ordered.select("value", SOURCE_FILE, "split_start").mapInArrow(
-        partial(rejoin_open, TRANSACTION_TAG), "value string, source_file string, split_start long"
-    )
-
-
 def assemble(raw: DataFrame) -> PaymentFiles:
     """Tables from scanned pieces.
 
-    A file whose comments or CDATA sections hold the transaction tag is read a second time with
-    the pieces of each such section made whole, as many tasks as it has splits. All of this
-    works on the scanned pieces themselves, in batch and in a stream, for any number of files.
+    A file in which the transaction tag's name is not always a tag is read a second time with the
+    pieces cut there made whole, by as many tasks as it has splits. All of this works on the scanned
+    pieces themselves, in batch and in a stream, for any number of files.
     """
     spark = raw.sparkSession
     staging = [fresh_path(spark, "staged")]
     staged = write_at(parse_pieces(raw), staging[0])
     states = write_once(file_states(staged), "states")
-    whole = None
-    if not states.where("irregular").isEmpty():
+    irregular, late = states.agg(F.bool_or("irregular"), F.bool_or("late")).first()
+    if irregular:
         again = states.where("irregular").select(SOURCE_FILE)
         staging.append(fresh_path(spark, "staged"))
-        second = write_at(parse_pieces(_rejoined(raw, again)), staging[1])
-        second_states = write_once(file_states(second), "states")
-        states = states.where(~col("irregular")).unionByName(second_states)
+        second = write_at(parse_pieces(_made_whole(raw, again)), staging[1])
+        never_closed = F.when(col("irregular"), F.lit("malformed: a comment or CDATA section is not closed"))
+        second_states = file_states(second).withColumn("reason", F.coalesce(never_closed, col("reason")))
+        states = write_once(states.where(~col("irregular")).unionByName(second_states.withColumn("irregular", F.lit(False))), "states")
         staged = staged.join(again, SOURCE_FILE, "left_anti").unionByName(second)
-        left = second_states.where("irregular").select(SOURCE_FILE)
-        if not left.isEmpty():
-            whole = (left, *_whole_documents(raw, left))
+        late = states.agg(F.bool_or("late")).first()[0]
     index = write_once(split_index(staged, states), "index")
-    tables = _tables(staged, index)
     rejects = states.where(col("reason").isNotNull()).select(SOURCE_FILE, "reason")
-    if whole:
-        left, read_whole, problems = whole
-        unread = (
-            left.join(read_whole.message.select(SOURCE_FILE), SOURCE_FILE, "left_anti")
-            .join(problems.select(SOURCE_FILE), SOURCE_FILE, "left_anti")
-            .select(SOURCE_FILE, F.lit("malformed document").alias("reason"))
-        )
-        tables = tables.map(lambda name, df: df.unionByName(getattr(read_whole, name)))
-        rejects = rejects.unionByName(problems).unionByName(unread)
-    return PaymentFiles(tables, rejects, tuple(staging))
+    return PaymentFiles(_tables(staged, index, bool(late)), rejects, tuple(staging))
 
 
 def read(spark: SparkSession, path: str | Sequence[str], mode: str = "QUARANTINE") -> PaymentFiles:

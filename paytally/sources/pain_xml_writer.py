@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paytally.storage import write_once
 from paytally.tables import PaymentTables
 
 col = F.col
@@ -63,7 +67,14 @@ def _group_header() -> Column:
     )
 
 
-def _block_header() -> Column:
+# Fields of a block that may also stand after its transactions.
+TRAILING = {"chrg_br": ("ChrgBr",), "ultmt_dbtr_nm": ("UltmtDbtr", "Nm")}
+
+
+def _block_header(trailing: Sequence[str] = ()) -> Column:
+    def unless_trailing(name: str, value: Column) -> Column:
+        return F.lit(None).cast("string") if name in trailing else value
+
     kind = F.when(
         _any("instr_prty", "svc_lvl_cd", "lcl_instrm_cd", "ctgy_purp_cd"),
         F.struct(
@@ -81,7 +92,7 @@ def _block_header() -> Column:
             col("nb_of_txs").alias("NbOfTxs"),
             col("ctrl_sum").cast("string").alias("CtrlSum"),
             kind.alias("PmtTpInf"),
-            col("chrg_br").alias("ChrgBr"),
+            unless_trailing("chrg_br", col("chrg_br")).alias("ChrgBr"),
             F.when(
                 col("reqd_exctn_dt").isNotNull(),
                 F.struct(F.date_format("reqd_exctn_dt", "yyyy-MM-dd").alias("Dt")),
@@ -89,12 +100,22 @@ def _block_header() -> Column:
             _nested("dbtr_nm", "Nm").alias("Dbtr"),
             _nested("dbtr_acct_iban", "Id", "IBAN").alias("DbtrAcct"),
             _nested("dbtr_agt_bicfi", "FinInstnId", "BICFI").alias("DbtrAgt"),
-            _nested("ultmt_dbtr_nm", "Nm").alias("UltmtDbtr"),
+            unless_trailing("ultmt_dbtr_nm", _nested("ultmt_dbtr_nm", "Nm")).alias("UltmtDbtr"),
         ],
         "PmtInf",
     )
 
 
+def _block_end(trailing: Sequence[str]) -> Column:
+    """The end of a block, after the fields that are to stand behind its transactions."""
+    late = []
+    for name in trailing:
+        tag, *path = TRAILING[name]
+        element = _xml([col(name).alias(path[0])], tag) if path else F.concat(F.lit(f"<{tag}>"), col(name), F.lit(f"</{tag}>"))
+        late.append(F.when(col(name).isNotNull(), element).otherwise(""))
+    return F.concat(*late, F.lit(BLOCK_CLOSE))
+
+
 def _lines(name: str) -> Column:
     return F.split(col(name), "\n")
 
@@ -143,37 +164,76 @@ def _transaction() -> Column:
     )
 
 
-# Order of the pieces inside a document: by section, block, then place inside the block.
-ORDER = ("msg_id", "section", "pmt_inf_id", "place", "end_to_end_id")
+# Order of the pieces inside a document: by message, section, block, then place inside the block.
+ORDER = ("message_at", "section", "block_at", "place", "end_to_end_id")
+
+
+def located(tables: PaymentTables) -> PaymentTables:
+    """The same tables, rows of which know the header they belong to.
+
+    Tables read from documents know it already. In others every header gets a place of its own, and rows
+    that name an id several headers have belong to the first of these, so no row is written twice. Rows
+    that belong to none are left out.
+    """
+    if tables.located:
+        return tables
+    message_key, block_key = tables.keys("msg_id"), tables.keys("pmt_inf_id")
+    place = F.struct(F.lit(0).cast("long").alias("split"), F.monotonically_increasing_id().alias("seq"), F.lit(0).alias("pos"))
+
+    def belonging(df: DataFrame, headers: DataFrame, key: list[str]) -> DataFrame:
+        first = headers.groupBy(*key).agg(F.min("position.seq").alias("_first"))
+        parent = F.struct(F.lit(0).cast("long").alias("split"), col("_first").alias("seq"), F.lit(0).alias("pos"))
+        return df.join(first, key).withColumn("parent", parent).drop("_first")
+
+    messages = write_once(tables.message.withColumn("position", place), "messages")
+    blocks = write_once(belonging(tables.remittance, messages, message_key).withColumn("position", place), "blocks")
+    return replace(
+        tables, message=messages, remittance=blocks, transactions=belonging(tables.transactions, blocks, block_key), totals=None, located=True
+    )
+
+
+def _file_key(tables: PaymentTables) -> list[str]:
+    """The columns within which places hold."""
+    return list(dict.fromkeys([*tables.scope, *(c for c in ("source_file",) if c in tables.message.columns)]))
 
 
-def fragments(tables: PaymentTables) -> DataFrame:
+def fragments(tables: PaymentTables, trailing: Sequence[str] = ()) -> DataFrame:
     """The documents as ordered pieces of text, one row each, the scope of the tables in front.
 
     Only what hangs together is written: blocks of a known message, transactions of a known
-    block; ``orphans`` lists the rest.
+    block; ``orphans`` lists the rest. Block ids may repeat, also inside a document. Fields named in
+    ``trailing`` stand after the transactions of their block.
     """
-    message_key, block_key = tables.keys("msg_id"), tables.keys("pmt_inf_id")
+    tables = located(tables)
+    key = _file_key(tables)
+
+    def piece(df: DataFrame, section: int, place: int, text: Column):
+        def own(name: str, otherwise: str) -> Column:
+            return (col(name) if name in df.columns else F.lit(None).cast(otherwise)).alias(name)
 
-    def piece(df: DataFrame, section: int, block: str | None, place: int, text: Column, e2e: str | None = None):
         return df.select(
-            *message_key,
+            *key,
+            "msg_id",
+            "message_at",
             F.lit(section).alias("section"),
-            (col(block) if block else F.lit(None).cast("string")).alias("pmt_inf_id"),
+            own("block_at", messages.schema["message_at"].dataType.simpleString()),
+            own("pmt_inf_id", "string"),
             F.lit(place).alias("place"),
-            (col(e2e) if e2e else F.lit(None).cast("string")).alias("end_to_end_id"),
+            own("end_to_end_id", "string"),
             text.alias("value"),
         )
 
-    messages = tables.message
-    blocks = tables.remittance.join(messages.select(*message_key), message_key, "left_semi")
-    transactions = tables.transactions.join(blocks.select(*message_key, "pmt_inf_id"), block_key)
+    messages = tables.message.withColumnRenamed("position", "message_at")
+    blocks = tables.remittance.withColumnsRenamed({"position": "block_at", "parent": "message_at"}).drop("msg_id")
+    blocks = blocks.join(messages.select(*key, "message_at", "msg_id"), [*key, "message_at"])
+    transactions = tables.transactions.withColumnRenamed("parent", "block_at")
+    transactions = transactions.join(blocks.select(*key, "block_at", "message_at", "msg_id"), [*key, "block_at"])
     parts = [
-        piece(messages, 0, None, 0, F.concat(F.lit(DOCUMENT_OPEN), _group_header())),
-        piece(blocks, 1, "pmt_inf_id", 0, _block_header()),
-        piece(transactions, 1, "pmt_inf_id", 1, _transaction(), "end_to_end_id"),
-        piece(blocks, 1, "pmt_inf_id", 2, F.lit(BLOCK_CLOSE)),
-        piece(messages, 2, None, 0, F.lit(DOCUMENT_CLOSE)),
+        piece(messages, 0, 0, F.concat(F.lit(DOCUMENT_OPEN), _group_header())),
+        piece(blocks, 1, 0, _block_header(trailing)),
+        piece(transactions, 1, 1, _transaction()),
+        piece(blocks, 1, 2, _block_end(trailing)),
+        piece(messages, 2, 0, F.lit(DOCUMENT_CLOSE)),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -183,10 +243,16 @@ def fragments(tables: PaymentTables) -> DataFrame:
 
 def orphans(tables: PaymentTables) -> DataFrame:
     """What ``fragments`` leaves out, by key: blocks without their message, transactions without a written block."""
-    message_key, block_key = tables.keys("msg_id"), tables.keys("pmt_inf_id")
-    messages = tables.message.select(*message_key)
+    if tables.located:
+        key = _file_key(tables)
+        messages = tables.message.select(*key, col("position").alias("parent"))
+        message_key = block_key = [*key, "parent"]
+        blocks = tables.remittance.join(messages, message_key, "left_semi").select(*key, col("position").alias("parent"))
+    else:
+        message_key, block_key = tables.keys("msg_id"), tables.keys("pmt_inf_id")
+        messages = tables.message.select(*message_key)
+        blocks = tables.remittance.join(messages, message_key, "left_semi").select(*block_key)
     lost = tables.remittance.join(messages, message_key, "left_anti")
-    blocks = tables.remittance.join(messages, message_key, "left_semi").select(*block_key)
     loose = tables.transactions.join(blocks, block_key, "left_anti")
 
     def listed(df: DataFrame, table: str, id: str, reason: str) -> DataFrame:
@@ -211,13 +277,14 @@ def write(tables: PaymentTables, path: str, layout: str = "documents", mode: str
     """
     if layout not in LAYOUTS:
         raise ValueError(f"layout must be one of {LAYOUTS}, not {layout!r}")
-    key, order = tables.keys("msg_id"), (*tables.scope, *ORDER)
+    tables = located(tables)
+    key, order = [*_file_key(tables), "message_at"], (*_file_key(tables), *ORDER)
     pieces = fragments(tables)
     if layout == "spread":
         pieces.orderBy(*order).select("value").write.mode(mode).text(path)
     elif layout == "packed":
         pieces.repartition(*key).sortWithinPartitions(*order).select("value").write.mode(mode).text(path)
     else:
-        named = pieces.withColumn("document", F.lower(F.hex(F.xxhash64(*key))))
+        named = pieces.withColumn("document", F.lower(F.hex(F.xxhash64("msg_id", *key))))
         ordered = named.repartition("document").sortWithinPartitions("document", *order)
         ordered.select("document", "value").write.mode(mode).partitionBy("document").text(path)

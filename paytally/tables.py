@@ -21,6 +21,10 @@ class PaymentTables:
     set ``scope=("source_file",)`` and nothing is matched across documents. The default is a
     single global scope.
 
+    ``located`` tells that the rows carry their place in the document (``schemas.PLACES``), as rows read
+    from documents do. Then declarations have an order, and blocks of equal id inside a document are
+    kept apart when documents are written.
+
     ``totals`` may hold the transactions already reduced to their payment blocks, for several
     reconciliations to share (see ``operators.reconcile.share_totals``).
     """
@@ -30,6 +34,7 @@ class PaymentTables:
     transactions: DataFrame
     scope: tuple[str, ...] = ()
     totals: DataFrame | None = None
+    located: bool = False
 
     @property
     def spark(self) -> SparkSession:
@@ -53,22 +58,20 @@ class PaymentTables:
 
     @staticmethod
     def load(
-        spark: SparkSession, path: str, fmt: str = "parquet", scope: tuple[str, ...] = ()
+        spark: SparkSession, path: str, fmt: str = "parquet", scope: tuple[str, ...] = (), located: bool = False
     ) -> PaymentTables:
         """Open a three-table dataset: ``<path>/message``, ``/remittance``, ``/transactions``."""
-        extra = [schemas.T.StructField(c, schemas.T.StringType()) for c in scope]
 
         def read(name: str) -> DataFrame:
-            schema = schemas.T.StructType([*extra, *schemas.TABLES[name].fields])
-            return spark.read.format(fmt).schema(schema).load(f"{path}/{name}")
+            return spark.read.format(fmt).schema(schemas.stored(name, scope, located)).load(f"{path}/{name}")
 
-        return PaymentTables(*(read(name) for name in schemas.TABLES), scope=scope)
+        return PaymentTables(*(read(name) for name in schemas.TABLES), scope=scope, located=located)
 
     def save(self, path: str, mode: str = "errorifexists") -> PaymentTables:
         """Write Parquet tables and return them opened from their new place."""
         for name, df in self.items():
             df.write.mode(mode).parquet(f"{path}/{name}")
-        return PaymentTables.load(self.spark, path, scope=self.scope)
+        return PaymentTables.load(self.spark, path, scope=self.scope, located=self.located)
 
     def append(self, path: str) -> PaymentTables:
         return self.save(path, mode="append")
