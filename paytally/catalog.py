@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paytally import fixtures, generate, schemas
@@ -120,14 +120,13 @@ def domain_queries() -> dict[str, Query]:
 def suite_queries() -> dict[str, Query]:
     standard = suite.standard_suite()
     chained = suite.remittance_check() + suite.transaction_check()
-    fields = suite.Suite(suite.message_check(), suite.remittance_check(), suite.transaction_check())
     return {
         "standard_suite": _over(lambda t: standard.run(t).issues.select(*SUITE)),
         "standard_suite_exact": _over(lambda t: suite.standard_suite("exact").run(t).issues.select(*SUITE)),
         "standard_suite_summary": _over(lambda t: standard.run(t).by_validator()),
         "standard_suite_totals": _over(lambda t: standard.run(t).totals()),
         "standard_suite_lazy": _findings(standard.findings, *SUITE),
-        "first_errors": _over(lambda t: report.first_errors(fields.findings(t))),
+        "first_errors": _over(lambda t: standard.run(t).first_errors()),
         "chained_checks": _findings(chained.findings, *FIELD),
         "domain_suite_summary": _over(lambda t: report.by_validator(suite.domain_suite().findings(t))),
     }
@@ -173,25 +172,32 @@ def _line_counts(files: pain_xml.PaymentFiles) -> DataFrame:
     )
 
 
-# Every file of the quarantine query holds the messages of one bucket; some are damaged.
-BUCKETS = 16
-UNCLOSED_BUCKET, BAD_SUM_BUCKET, BAD_AMOUNT_BUCKET = 3, 7, 11
+# Messages to a file of the quarantine query, so that files grow in number with the data.
+FILE_MESSAGES = 24
 
 
 def _damaged_documents(spark: SparkSession, sf_dir: str) -> str:
+    """Documents in files of a few messages each, by the number of the message; most files are damaged in some way."""
     tables, _ = _stored(spark, sf_dir)
-    number = F.substring("msg_id", -10, 10).cast("bigint")
     value, bucket = F.col("value"), F.col("bucket")
-    damaged = (
-        F.when((bucket == BAD_SUM_BUCKET), F.regexp_replace(value, "<CtrlSum>[^<]*<", "<CtrlSum>many<"))
-        .when((bucket == BAD_AMOUNT_BUCKET), F.regexp_replace(value, '(<InstdAmt Ccy="[^"]*">)[^<]*<', "$1much<"))
-        .otherwise(value)
-    )
+    closing = value == pain_xml_writer.DOCUMENT_CLOSE
+    damages = {
+        2: F.regexp_replace(value, "<CtrlSum>[^<]*<", "<CtrlSum>many<"),
+        3: F.regexp_replace(value, '(<InstdAmt Ccy="[^"]*">)[^<]+<', "$1much<"),
+        4: F.regexp_replace(value, "<Dt>[^<]*<", "<Dt>2026-1-1<"),
+        5: F.replace(value, F.lit("</MsgId>"), F.lit("</MsgId><InitgPty><Nm></InitgPty>")),
+        6: F.replace(value, F.lit("<Amt>"), F.lit("<Amt><Bad>")),
+        7: F.when(closing, F.concat(F.lit("</Oops>"), value)).otherwise(value),
+        8: F.when(closing, F.concat(F.lit("<!-- <CdtTrfTxInf> "), value)).otherwise(value),
+    }
+    damaged = value
+    for kind, text in damages.items():
+        damaged = F.when(bucket % 10 == kind, text).otherwise(damaged)
     path = fresh_path(spark, "damaged")
     (
         pain_xml_writer.fragments(tables)
-        .withColumn("bucket", F.pmod(number, F.lit(BUCKETS)))
-        .where((bucket != UNCLOSED_BUCKET) | (F.col("section") < 2))
+        .withColumn("bucket", F.expr(f"cast(substring(msg_id, -10, 10) as bigint) div {FILE_MESSAGES}"))
+        .where((bucket % 10 != 1) | (F.col("section") < 2))
         .repartition("bucket")
         .sortWithinPartitions("bucket", *pain_xml_writer.ORDER)
         .select("bucket", damaged.alias("value"))
@@ -210,6 +216,86 @@ def _quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.join(lost, "bucket", "full")
 
 
+def _rewritten(spark: SparkSession, pieces: DataFrame, *order: str) -> pain_xml.PaymentFiles:
+    """Documents written from ``pieces``, whole messages to a task, and read back."""
+    path = fresh_path(spark, "rewritten")
+    pieces.repartition("msg_id").sortWithinPartitions(*order, *pain_xml_writer.ORDER).select("value").write.text(path)
+    return pain_xml.read(spark, path)
+
+
+def _late_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that have some of their fields after their transactions."""
+    tables, _ = _stored(spark, sf_dir)
+    files = _rewritten(spark, pain_xml_writer.fragments(tables, trailing=tuple(pain_xml_writer.TRAILING)))
+    return _columns("remittance", files.tables.remittance)
+
+
+def _last_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions with an earlier reference before their own: the last value of an element counts."""
+    tables, _ = _stored(spark, sf_dir)
+    earlier = "<Strd><CdtrRefInf><Tp><CdOrPrtry><Cd>EARLIER</Cd></CdOrPrtry></Tp><Ref>EARLIER</Ref></CdtrRefInf></Strd>"
+    pieces = pain_xml_writer.fragments(tables).withColumn("value", F.replace(F.col("value"), F.lit("<Strd>"), F.lit(f"{earlier}<Strd>")))
+    return _rewritten(spark, pieces).tables.transactions.select("pmt_inf_id", "instr_id", "rmt_inf_strd_ref", "rmt_inf_strd_ref_tp")
+
+
+def _repeated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose blocks share two ids, written and read twice: every transaction stays in its block.
+
+    The fixture has no document to take places from; keys stand for them. A block is told by its debtor account.
+    """
+    tables, _ = _stored(spark, sf_dir)
+
+    def place(name: str) -> Column:
+        return F.struct(F.lit(0).cast("long").alias("split"), F.substring(name, 5, 40).cast("long").alias("seq"), F.lit(0).alias("pos"))
+
+    shared = F.concat(F.lit("BLOCK-"), F.substring("pmt_inf_id", -10, 10).cast("long") % 2)
+    one = F.lit("one").alias("source_file")
+    here = PaymentTables(
+        tables.message.select(one, place("msg_id").alias("position"), "*"),
+        tables.remittance.select(one, place("pmt_inf_id").alias("position"), place("msg_id").alias("parent"), "*").withColumn("pmt_inf_id", shared),
+        tables.transactions.select(one, place("pmt_inf_id").alias("parent"), "*").withColumn("pmt_inf_id", shared),
+        located=True,
+    )
+    for _ in range(2):
+        path = fresh_path(spark, "repeated")
+        pain_xml_writer.write(here, path, layout="packed")
+        here = pain_xml.read(spark, path).tables
+    key = ["source_file", "parent"]
+    blocks = here.remittance.drop("parent").withColumnRenamed("position", "parent").select(*key, "msg_id", "dbtr_acct_iban", "pmt_inf_id")
+    amounts = here.transactions.select(*key, "instd_amt", F.lit(1).alias("n"))
+    return blocks.join(amounts, key, "left").groupBy("msg_id", "dbtr_acct_iban", "pmt_inf_id").agg(
+        F.count("n").alias("n"), F.sum("instd_amt").cast(schemas.TOTAL).alias("total")
+    )
+
+
+def _last_declaration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages declared in one file and again in the next, some without a sum; file k holds 2k + 1 messages."""
+    tables, _ = _stored(spark, sf_dir)
+    number = F.substring("msg_id", -10, 10).cast("bigint")
+    file = F.floor(F.sqrt(number))
+    again = tables.message.where(number % 3 > 0).select(
+        (file + 1).alias("file"), "msg_id", "msg_cre_dt_tm", "msg_nb_of_txs",
+        F.when(number % 3 == 1, (F.col("msg_ctrl_sum") + 1).cast(schemas.CONTROL_SUM)).alias("msg_ctrl_sum"), "msg_initg_pty_nm",
+    )
+    both = tables.message.select(file.alias("file"), "*").unionByName(again).withColumn("file", F.lpad(F.col("file").cast("string"), 12, "0"))
+    none = tables.map(lambda _, df: df.withColumn("file", F.lit("")).where("1 = 0"))
+    declared = PaymentTables(both, none.remittance, none.transactions, scope=("file",))
+    path = fresh_path(spark, "declared")
+    pieces = pain_xml_writer.fragments(declared).repartition("file").sortWithinPartitions("file", *pain_xml_writer.ORDER)
+    pieces.select("file", "value").write.partitionBy("file").text(path)
+    found = reconcile.declared_by_messages(pain_xml.read(spark, f"{path}/*/*.txt").tables)
+    return found.select("msg_id", "ctrl_sum", "nb_of_txs")
+
+
+def _kept_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row counts of tables that are kept in memory and spilled to disk."""
+    tables, _ = _stored(spark, sf_dir)
+    kept = tables.persist()
+    counts = kept.counts().collect()
+    kept.unpersist()
+    return spark.createDataFrame(counts)
+
+
 def _arrow_round_trip(table: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         arrow_ipc.register(spark)
@@ -352,6 +438,11 @@ def document_queries() -> dict[str, Query]:
         "xml_roundtrip_transaction": _from_xml(lambda f: _columns("transactions", f.tables.transactions)),
         "xml_repeated_elements": _from_xml(_line_counts),
         "xml_quarantine": _quarantine,
+        "xml_late_fields": _late_fields,
+        "xml_last_values": _last_values,
+        "repeated_blocks_roundtrip": _repeated_blocks,
+        "last_declaration": _last_declaration,
+        "kept_tables": _kept_tables,
         "parse_stats": _from_xml(lambda f: f.stats()),
         "ingest_report": _ingest_report,
         "arrow_roundtrip_message": _arrow_round_trip("message"),

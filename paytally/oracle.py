@@ -273,9 +273,22 @@ def _exact_queries() -> dict[str, str]:
     }
 
 
+def _compared_text(level: str, what: str, shown: str, query: str) -> str:
+    """Findings of a reconciliation with their text."""
+    validator = "ControlSumValidator" if what == "CtrlSum" else "NumberOfTransactionsValidator"
+    return (
+        f"select '{validator}' as validator, '{level} {what} mismatch: declared=' || cast(cast(declared as {shown}) as varchar) "
+        f"|| ', actual=' || cast(cast(actual as {shown}) as varchar) as message, id from ({query})"
+    )
+
+
 _FIRST_ERRORS = f"""
 select validator, message, id from (
-  select validator, message, id from ({_STANDARD_FIELD}) where severity = 'ERROR')
+  select validator, message, id from ({_STANDARD_FIELD}) where severity = 'ERROR'
+  union all {_compared_text("Remittance", "CtrlSum", "double", _CTRL_REMITTANCE)}
+  union all {_compared_text("Message", "CtrlSum", "double", _CTRL_MESSAGE)}
+  union all {_compared_text("Remittance", "NbOfTxs", "bigint", _NB_REMITTANCE)}
+  union all {_compared_text("Message", "NbOfTxs", "bigint", _NB_MESSAGE)})
 order by validator nulls first, id nulls first, message nulls first limit 10
 """
 
@@ -345,7 +358,10 @@ _HANGING = (
 
 
 def _documents() -> dict[str, str]:
-    bucket = "cast(right(msg_id, 10) as bigint) % 16"
+    number = "cast(right(msg_id, 10) as bigint)"
+    damaged = """case bucket % 10 when 1 then 'truncated' when 2 then 'bad CtrlSum' when 3 then if(amounts > 0, 'bad InstdAmt', null)
+  when 4 then if(dates > 0, 'bad ReqdExctnDt', null) when 5 then 'malformed header' when 6 then if(coded > 0, 'malformed transaction', null)
+  when 7 then 'malformed markup between transactions' when 8 then 'malformed' end"""
     return {
         "xml_roundtrip_message": _q(f"select {_texts(schemas.MESSAGE)} from message"),
         "xml_roundtrip_remittance": _q(f"select {_texts(schemas.REMITTANCE)} from blocks", _HANGING),
@@ -356,9 +372,30 @@ def _documents() -> dict[str, str]:
             _HANGING,
         ),
         "xml_quarantine": _q(
-            f"select {bucket} as bucket, case when {bucket} not in (3, 7, 11) then count(*) end as messages, "
-            f"case {bucket} when 3 then 'truncated' when 7 then 'bad CtrlSum' when 11 then 'bad InstdAmt' end as reason "
-            "from message group by 1"
+            f"select bucket, case when {damaged} is null then n end as messages, {damaged} as reason "
+            "from files left join dated using (bucket) left join paid using (bucket)",
+            f"{_HANGING}, files as (select {number} // 24 as bucket, count(*) as n from message group by 1), "
+            f"dated as (select {number} // 24 as bucket, count(reqd_exctn_dt) as dates from blocks group by 1), "
+            f"paid as (select {number.replace('msg_id', 'b.msg_id')} // 24 as bucket, count(t.instd_amt) as amounts, "
+            "count(coalesce(cast(t.instd_amt as varchar), t.ccy)) as coded from transactions t join blocks b using (pmt_inf_id) group by 1)",
+        ),
+        "xml_late_fields": _q(f"select {_texts(schemas.REMITTANCE)} from blocks", _HANGING),
+        "xml_last_values": _q(
+            "select pmt_inf_id, instr_id, rmt_inf_strd_ref, coalesce(rmt_inf_strd_ref_tp, 'EARLIER') as rmt_inf_strd_ref_tp from txs", _HANGING
+        ),
+        "repeated_blocks_roundtrip": _q(
+            "select b.msg_id, b.dbtr_acct_iban, 'BLOCK-' || cast(cast(right(b.pmt_inf_id, 10) as bigint) % 2 as varchar) as pmt_inf_id, "
+            f"count(t.pmt_inf_id) as n, cast(sum(t.instd_amt) as {_D}) as total "
+            "from blocks b left join transactions t on t.pmt_inf_id = b.pmt_inf_id group by b.msg_id, b.dbtr_acct_iban, b.pmt_inf_id",
+            _HANGING,
+        ),
+        "last_declaration": _q(
+            f"select msg_id, cast(case when {number} % 3 = 1 then msg_ctrl_sum + 1 else msg_ctrl_sum end as decimal(18,2)) as ctrl_sum, "
+            "cast(msg_nb_of_txs as bigint) as nb_of_txs from message"
+        ),
+        "kept_tables": _q(
+            "select (select count(*) from message) as message_rows, (select count(*) from remittance) as remittance_rows, "
+            "(select count(*) from transactions) as transaction_rows"
         ),
         "parse_stats": _q(
             "select (select count(*) from message) as message_rows, (select count(*) from blocks) as remittance_rows, "
