@@ -287,6 +287,12 @@ def _last_declaration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("msg_id", "ctrl_sum", "nb_of_txs")
 
 
+def _clustered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block of tables stored in the order of their ids."""
+    tables, _ = _stored(spark, sf_dir)
+    return lookups.transactions_of(tables.clustered().save(fresh_path(spark, "clustered")), ONE_BLOCK)
+
+
 def _kept_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row counts of tables that are kept in memory and spilled to disk."""
     tables, _ = _stored(spark, sf_dir)
@@ -298,12 +304,10 @@ def _kept_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _arrow_round_trip(table: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        arrow_ipc.register(spark)
         path = fresh_path(spark, "exchange")
         tables, _ = _stored(spark, sf_dir)
-        getattr(tables, table).write.format(arrow_ipc.FORMAT).mode("append").save(f"{path}/{table}")
-        back = spark.read.format(arrow_ipc.FORMAT).schema(schemas.TABLES[table]).load(f"{path}/{table}")
-        return _columns(table, back)
+        arrow_ipc.write(getattr(tables, table), f"{path}/{table}")
+        return _columns(table, arrow_ipc.read(spark, f"{path}/{table}", schemas.TABLES[table]))
 
     return run
 
@@ -320,7 +324,7 @@ def _appended_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, documents = _stored(spark, sf_dir)
-    result = ingest.ingest(spark, documents, fresh_path(spark, "ingested"))
+    result = ingest.ingest(spark, documents, fresh_path(spark, "ingested"), base=ingest.dataset_name("payments.XML"))
     fixed = ("message_rows", "remittance_rows", "transaction_rows", "rejected_files")
     return result.report().where(F.col("metric").isin(*fixed)).withColumn("value", F.col("value").cast("bigint"))
 
@@ -443,6 +447,7 @@ def document_queries() -> dict[str, Query]:
         "repeated_blocks_roundtrip": _repeated_blocks,
         "last_declaration": _last_declaration,
         "kept_tables": _kept_tables,
+        "clustered_lookup": _clustered_lookup,
         "parse_stats": _from_xml(lambda f: f.stats()),
         "ingest_report": _ingest_report,
         "arrow_roundtrip_message": _arrow_round_trip("message"),

@@ -393,6 +393,7 @@ def _documents() -> dict[str, str]:
             f"select msg_id, cast(case when {number} % 3 = 1 then msg_ctrl_sum + 1 else msg_ctrl_sum end as decimal(18,2)) as ctrl_sum, "
             "cast(msg_nb_of_txs as bigint) as nb_of_txs from message"
         ),
+        "clustered_lookup": _q("select * from transactions where pmt_inf_id = 'PMT-0000000001'"),
         "kept_tables": _q(
             "select (select count(*) from message) as message_rows, (select count(*) from remittance) as remittance_rows, "
             "(select count(*) from transactions) as transaction_rows"

@@ -89,8 +89,8 @@ class Suite:
         if sum(check.reconciles for check in self.checks) < 2:
             return self.findings(tables)
         # Of a check that is there twice, the second finds by itself.
-        measured = {(c.exact, c.measure): c for c in reversed(self.checks) if c.measure}
-        rest = Suite(*(c for c in self.checks if measured.get((c.exact, c.measure)) is not c))
+        measured = {(c.exact, c.measure): k for k, c in reversed(list(enumerate(self.checks))) if c.measure}
+        rest = Suite(*(c for k, c in enumerate(self.checks) if k not in measured.values()))
         parts = []
         for exact in sorted({exact for exact, _ in measured}):
             measures = [measure for of, measure in measured if of == exact]

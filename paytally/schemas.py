@@ -76,6 +76,9 @@ PLACE = T.StructType([T.StructField("split", T.LongType()), T.StructField("seq",
 #: The columns of tables that were read from documents: a row's own place and that of the header it belongs to.
 PLACES = {"message": ("position",), "remittance": ("position", "parent"), "transactions": ("parent",)}
 
+#: The ids that tables are looked up by.
+LOOKUP_KEYS = {"message": ("msg_id",), "remittance": ("msg_id", "pmt_inf_id"), "transactions": ("pmt_inf_id",)}
+
 # One row per finding. `rule` is a stable code, `detail` the offending value, and `declared`
 # and `actual` the compared numbers of a reconciliation.
 ISSUES = T.StructType(
@@ -97,3 +100,11 @@ def stored(table: str, scope: tuple[str, ...] = (), located: bool = False) -> T.
     extra = [T.StructField(c, _TEXT) for c in scope]
     extra += [T.StructField(c, PLACE) for c in PLACES[table]] if located else []
     return T.StructType([*extra, *TABLES[table].fields])
+
+
+def parquet_options(table: str) -> dict[str, str]:
+    """How a stored table is written: Bloom filters, no larger than need be, let lookups by id leave row groups out."""
+    return {
+        "parquet.bloom.filter.adaptive.enabled": "true",
+        **{f"parquet.bloom.filter.enabled#{key}": "true" for key in LOOKUP_KEYS[table]},
+    }

@@ -681,22 +681,27 @@ def assemble(raw: DataFrame) -> PaymentFiles:
     pieces themselves, in batch and in a stream, for any number of files.
     """
     spark = raw.sparkSession
-    staging = [fresh_path(spark, "staged")]
-    staged = write_at(parse_pieces(raw), staging[0])
-    states = write_once(file_states(staged), "states")
-    irregular, late = states.agg(F.bool_or("irregular"), F.bool_or("late")).first()
-    if irregular:
-        again = states.where("irregular").select(SOURCE_FILE)
-        staging.append(fresh_path(spark, "staged"))
-        second = write_at(parse_pieces(_made_whole(raw, again)), staging[1])
-        never_closed = F.when(col("irregular"), F.lit("malformed: a comment or CDATA section is not closed"))
-        second_states = file_states(second).withColumn("reason", F.coalesce(never_closed, col("reason")))
-        states = write_once(states.where(~col("irregular")).unionByName(second_states.withColumn("irregular", F.lit(False))), "states")
-        staged = staged.join(again, SOURCE_FILE, "left_anti").unionByName(second)
-        late = states.agg(F.bool_or("late")).first()[0]
-    index = write_once(split_index(staged, states), "index")
-    rejects = states.where(col("reason").isNotNull()).select(SOURCE_FILE, "reason")
-    return PaymentFiles(_tables(staged, index, bool(late)), rejects, tuple(staging))
+    staging: list[str] = [fresh_path(spark, "staged")]
+    try:
+        staged = write_at(parse_pieces(raw), staging[0])
+        states = write_once(file_states(staged), "states")
+        irregular, late = states.agg(F.bool_or("irregular"), F.bool_or("late")).first()
+        if irregular:
+            again = states.where("irregular").select(SOURCE_FILE)
+            staging.append(fresh_path(spark, "staged"))
+            second = write_at(parse_pieces(_made_whole(raw, again)), staging[1])
+            never_closed = F.when(col("irregular"), F.lit("malformed: a comment or CDATA section is not closed"))
+            second_states = file_states(second).withColumn("reason", F.coalesce(never_closed, col("reason")))
+            states = write_once(states.where(~col("irregular")).unionByName(second_states.withColumn("irregular", F.lit(False))), "states")
+            staged = staged.join(again, SOURCE_FILE, "left_anti").unionByName(second)
+            late = states.agg(F.bool_or("late")).first()[0]
+        index = write_once(split_index(staged, states), "index")
+        rejects = states.where(col("reason").isNotNull()).select(SOURCE_FILE, "reason")
+        return PaymentFiles(_tables(staged, index, bool(late)), rejects, tuple(staging))
+    except BaseException:
+        for path in staging:
+            remove(spark, path)
+        raise
 
 
 def read(spark: SparkSession, path: str | Sequence[str], mode: str = "QUARANTINE") -> PaymentFiles:
@@ -711,5 +716,6 @@ def read(spark: SparkSession, path: str | Sequence[str], mode: str = "QUARANTINE
     if mode == "FAILFAST":
         first = files.rejects.head()
         if first:
+            files.discard()
             raise ValueError(f"{first[SOURCE_FILE]}: {first['reason']}")
     return files

@@ -44,7 +44,32 @@ def write_at(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, system = _place(spark, path)
+    return system.exists(place)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file or folder inside its file system; the target must not be there yet."""
+    place, system = _place(spark, source)
+    to, _ = _place(spark, target)
+    system.mkdirs(to.getParent())
+    if system.exists(to) or not system.rename(place, to):
+        raise OSError(f"{source} cannot be moved to {target}")
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names of what a folder holds."""
+    place, system = _place(spark, path)
+    return sorted(entry.getPath().getName() for entry in system.listStatus(place)) if system.exists(place) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing reads any more, on whatever file system it is."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    place, system = _place(spark, path)
+    system.delete(place, True)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from decimal import Decimal
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from paytally import schemas
 from paytally.operators import domain, field_checks, lookups, reconcile
@@ -289,3 +291,49 @@ def test_a_hot_block_id_is_split(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+AWKWARD = {
+    "message": [("M1", "4", "10.00"), ("M1", "5", "11.00"), ("M2", "1", None), ("M2", "1", None), ("M3", "2", "0.00"), (None, "1", "5.00"), ("M4", None, "3.00")],
+    "remittance": [
+        ("M1", "A", "2", "3.00"), ("M1", "A", "2", "3.00"), ("M1", "A", "3", "4.00"), ("M2", "B", "1", "1.00"), ("M2", "C", "7", None), ("M3", "D", "0", "0.00"),
+        ("M3", "E", None, "9.99"), (None, "F", "1", "1.00"), ("M1", None, "0", "1.00"), ("M1", None, "0", "1.00"), ("M2", "A", "+2", "3.00"), ("lost", "G", "5", "2.00"),
+    ],
+    "transactions": [
+        ("A", "a1", "1.50"), ("A", "a2", "1.50"), ("B", "b", "1.00"), ("C", None, "2.00"), ("E", "e", None), ("F", "f", "1.00"), (None, "n", "4.00"), ("lost", "l", "1.00"),
+    ],
+}
+
+
+def awkward_tables(spark, scope: tuple = (), unreadable: bool = False) -> PaymentTables:
+    """Repeated ids with equal and different declarations, null ids, childless blocks, rows without parents."""
+    rows = {name: [*given] for name, given in AWKWARD.items()}
+    if unreadable:
+        rows["message"].append(("M9", "many", "1.00"))
+    frames = {
+        "message": spark.createDataFrame(rows["message"], "msg_id string, msg_nb_of_txs string, msg_ctrl_sum string"),
+        "remittance": spark.createDataFrame(rows["remittance"], "msg_id string, pmt_inf_id string, nb_of_txs string, ctrl_sum string"),
+        "transactions": spark.createDataFrame(rows["transactions"], "pmt_inf_id string, end_to_end_id string, instd_amt string"),
+    }
+
+    def typed(name, df, copy=""):
+        fields = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.TABLES[name].fields]
+        return df.select(*[F.lit(f"file{copy}").alias(c) for c in scope], *fields)
+
+    def both(name, df):
+        return typed(name, df).coalesce(1).unionByName(typed(name, df, "2").coalesce(1)) if scope else typed(name, df).coalesce(1)
+
+    return PaymentTables(*(both(name, df) for name, df in frames.items()), scope=scope)
+
+
+@pytest.mark.parametrize("semantics", ["sql", "exact"])
+@pytest.mark.parametrize("scope", [(), ("source_file",)])
+@pytest.mark.parametrize("unreadable", [False, True])
+def test_one_frame_finds_what_the_checks_find_by_themselves(spark, semantics, scope, unreadable):
+    tables = awkward_tables(spark, scope, unreadable)
+    standard = suite.standard_suite(semantics)
+    apart = Counter(map(tuple, standard.findings(tables).collect()))
+    together = Counter(map(tuple, standard.run(tables).issues.collect()))
+    assert together == apart and apart
+    twice = suite.Suite(*standard.checks, *standard.checks).run(tables).issues
+    assert Counter(map(tuple, twice.collect())) == apart + apart

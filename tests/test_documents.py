@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import xml.etree.ElementTree as ET
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from paytally import generate, schemas
+from paytally.operators import lookups
 from paytally.plans import suite
 from paytally.sources import arrow_ipc, ingest, pain_xml, pain_xml_writer
 from paytally.streaming import arrivals
@@ -276,12 +280,140 @@ def test_arrow_exchange(spark):
     t.message.write.format("arrow_ipc").mode("overwrite").save(f"{path}/message")
     assert PaymentTables.load(spark, path, "arrow_ipc").message.count() == 1
     t.message.where("1 = 0").write.format("arrow_ipc").mode("append").save(f"{path}/empty")
-    assert not list(Path(path, "empty").glob("*.arrow"))
-    assert not list(Path(path).glob("*/_staging*"))
-    one = next(Path(path, "transactions").glob("*.arrow"))
+    assert not list(Path(path, "empty").glob("**/*.arrow"))
+    one = next(Path(path, "transactions").glob("*/*.arrow"))
     assert spark.read.format("arrow_ipc").load(str(one)).count() > 0
 
 
+def test_a_stream_is_read_by_batches(spark):
+    """One file of ten batches, with and without a dictionary, read by several tasks and by one."""
+    path = folder()
+    values = pa.table({"n": pa.array(range(1000), pa.int64()), "text": pa.array([f"word {k % 7}" for k in range(1000)])})
+    for name, table in {"plain": values, "coded": values.set_column(1, "text", values["text"].dictionary_encode())}.items():
+        with pa.ipc.new_stream(f"{path}/{name}.arrow", table.schema) as writer:
+            for batch in table.to_batches(max_chunksize=100):
+                writer.write_batch(batch)
+        with pa.OSFile(f"{path}/{name}.arrow") as file:
+            kinds = [kind for kind, _, _ in arrow_ipc.messages(file)]
+            assert kinds.count(arrow_ipc.RECORDS) == 10 and kinds[0] == arrow_ipc.SCHEMA
+            parts = [[b.num_rows for b in arrow_ipc.batches_within(file, k, k + 3000)] for k in range(0, file.size(), 3000)]
+            assert sum(map(sum, parts)) == 1000 and sum(map(bool, parts)) > 2
+    arrow_ipc.register(spark)
+    reader = spark.read.format("arrow_ipc").schema("text string, n long").option("splitBytes", "3000")
+    back = reader.load(f"{path}/plain.arrow")
+    assert back.rdd.getNumPartitions() > 2
+    assert rows(back, "n", "text") == sorted(((k, f"word {k % 7}") for k in range(1000)), key=str)
+    assert len({r[0] for r in back.select(F.spark_partition_id()).distinct().collect()}) > 2
+    Path(path, "cut.arrow").write_bytes(Path(path, "plain.arrow").read_bytes()[:-900])
+    with pa.OSFile(f"{path}/cut.arrow") as file, pytest.raises(ValueError, match="cut off"):
+        list(arrow_ipc.messages(file))
+
+
+def test_only_finished_writes_count(spark):
+    path = folder()
+    arrow_ipc.write(spark.range(10).coalesce(1), path)
+    arrow_ipc.write(spark.range(10, 15), path)
+    lost = Path(path, "run-lost")
+    shutil.copytree(next(Path(path).glob("run-*")), lost)
+    (lost / arrow_ipc.MANIFEST).unlink()
+    assert arrow_ipc.read(spark, path, spark.range(1).schema).count() == 15
+    with pytest.raises(Exception, match="division|zero|DIVIDE"):
+        arrow_ipc.write(spark.range(100).select((F.lit(1) / F.when(F.col("id") < 99, 1).otherwise(0)).alias("id")), path)
+    assert arrow_ipc.read(spark, path, spark.range(1).schema).count() == 15
+    arrow_ipc.write(spark.range(3), path, "overwrite")
+    assert arrow_ipc.read(spark, path, spark.range(1).schema).count() == 3
+    assert len(list(Path(path).glob("run-*"))) == 1
+
+
+def test_names_of_file_systems(spark):
+    assert arrow_ipc.store_uri("s3a://bucket/a/b") == "s3://bucket/a/b" and arrow_ipc.store_uri("gs://x/y") == "gs://x/y"
+    assert arrow_ipc.qualified(spark, "/a/b") == "file:/a/b" and arrow_ipc.qualified(spark, "s3a://x/y") == "s3a://x/y"
+
+
+def test_a_failed_ingest_leaves_nothing(spark, monkeypatch):
+    path = folder()
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    Path(path, "in.xml").write_text(document(group(), block("P", tx("a"), tx("b"))))
+    before = {p.name for p in shared.iterdir() if p.name.startswith("staged")}
+    publish = ingest.move
+
+    def broken(spark, source, target):
+        if target.endswith("message"):
+            raise OSError("no more room")
+        publish(spark, source, target)
+
+    monkeypatch.setattr(ingest, "move", broken)
+    for mode in ("errorifexists", "append"):
+        with pytest.raises(OSError, match="no more room"):
+            ingest.ingest(spark, f"{path}/in.xml", f"{path}/out", mode=mode)
+        assert not list(Path(path).glob("out/**/*.parquet"))
+    monkeypatch.undo()
+    with pytest.raises(ValueError, match="bad CtrlSum"):
+        Path(path, "bad.xml").write_text(document(group(total="many")))
+        ingest.ingest(spark, f"{path}/bad.xml", f"{path}/out", fail_fast=True)
+    assert {p.name for p in shared.iterdir() if p.name.startswith("staged")} == before
+    result = ingest.ingest(spark, f"{path}/in.xml", f"{path}/out")
+    with pytest.raises(Exception, match="exists"):
+        ingest.ingest(spark, f"{path}/in.xml", f"{path}/out")
+    assert tuple(result.stats().first()) == (1, 1, 2) and result.tables.transactions.count() == 2
+    again = ingest.ingest(spark, f"{path}/in.xml", f"{path}/out", mode="append")
+    assert tuple(again.stats().first()) == (1, 1, 2) and again.tables.transactions.count() == 4
+    assert ingest.ingest(spark, f"{path}/in.xml", f"{path}/out", mode="overwrite").tables.transactions.count() == 2
+    assert sorted(p.name for p in Path(path, "out").iterdir()) == ["message", "remittance", "transactions"]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "arrow_ipc"])
+def test_datasets_are_named_after_their_document(spark, fmt):
+    path = folder()
+    Path(path, "Batch.7.XML").write_text(document(group(), block("P", tx("a"))))
+    result = ingest.ingest(spark, f"{path}/Batch.7.XML", f"{path}/out", fmt=fmt, base=ingest.dataset_name(f"{path}/Batch.7.XML"))
+    assert sorted(p.name for p in Path(path, "out").iterdir()) == [f"Batch.7_{name}" for name in sorted(schemas.TABLES)]
+    assert result.paths["message"].endswith(f"{path}/out/Batch.7_message") and result.tables.transactions.count() == 1
+    assert PaymentTables.load(spark, f"{path}/out", fmt, base="Batch.7").message.count() == 1
+
+
+def scanned_rows(df) -> int:
+    """Rows that the scan of a finished query gave, after row groups were left out."""
+    rows = df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    found = []
+
+    def walk(node) -> None:
+        if node.nodeName().startswith("Scan"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+        if node.nodeName() == "AdaptiveSparkPlan":
+            walk(node.executedPlan())
+
+    walk(plan)
+    assert rows and len(found) == 1
+    return found[0]
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_lookups_leave_row_groups_out(spark, clustered):
+    """By sorted keys, or by the Bloom filters of tables whose rows are in any order."""
+    path = folder()
+    n = 40_000
+    key = F.format_string("PMT-%010d", F.xxhash64("id") % 10_000 if clustered else F.pmod(F.xxhash64(F.floor(F.col("id") / 4)), F.lit(10**9)))
+    made = spark.range(n).repartition(4).withColumn("key", key)
+
+    def table(name):
+        named = {"msg_id": "key", "pmt_inf_id": "key", "end_to_end_id": "cast(id as string)"}
+        fields = schemas.TABLES[name].fields
+        return made.select(*(F.expr(named.get(f.name, "null")).cast(f.dataType).alias(f.name) for f in fields))
+
+    tables = PaymentTables(*(table(name) for name in schemas.TABLES))
+    options = {"parquet.block.size": "20000", "parquet.page.row.count.limit": "500", "parquet.block.size.row.check.min": "100"}
+    stored = (tables.clustered() if clustered else tables).save(path, options={**options, "parquet.enable.dictionary": "false"})
+    one = made.select("key").first()["key"]
+    for df, whole in ((lookups.transactions_of(stored, one), n), (lookups.remittances_of(stored, one), n)):
+        assert scanned_rows(df) < whole / 10
+    assert [r.total for r in lookups.sum_of_remittance(stored, one).collect()] == [0]
+
+
 def test_report_and_catalog_tables(spark):
     path = folder()
     t = generate.from_spec(spark, generate.Spec(2, 5))
