@@ -28,7 +28,7 @@ from paytally.storage import write_once
 
 CAPACITY = 1024
 END_ID = 2
-#: Words whose ids a worker process remembers, from one task to the next.
+#: Words after which a worker process starts to forget: those not met again while as many others come.
 CACHED_WORDS = 500_000
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -40,6 +40,24 @@ def _odd_space(text: str) -> bool:
     return runs or text.startswith((" ", "\n")) or text.endswith((" ", "\n")) or _OTHER_SPACE.search(text) is not None
 
 
+class Words:
+    """The ids of words met lately, from one task to the next. Those of ``now`` become ``before`` when they are
+    many; a word of ``before`` that is met again is taken over, so common words are never encoded twice."""
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def unknown(self, words: set[str]) -> list[str]:
+        """The words to learn; all others are in ``now``."""
+        if len(self.now) > CACHED_WORDS:
+            self.now, self.before = {}, self.now
+        missing = words.difference(self.now)
+        again = missing.intersection(self.before)
+        self.now.update({w: self.before[w] for w in again})
+        return list(missing.difference(again))
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
@@ -54,20 +72,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
-        self.first: dict[str, bytes] = {}
-        self.after_space: dict[str, bytes] = {}
+        self.first, self.after_space = Words(), Words()
         self.feed = self._whole(["\n"])[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         packed = self.packed.__getitem__
         return [b"".join(map(packed, e.ids)) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], words: set[str], prefix: str) -> None:
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = list(words.difference(known))
+    def _learn(self, known: Words, words: set[str], prefix: str) -> None:
+        new = known.unknown(words)
         if new:
-            known.update(zip(new, self._whole([prefix + w for w in new]), strict=True))
+            known.now.update(zip(new, self._whole([prefix + w for w in new]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [_odd_space(t) for t in texts]
@@ -78,7 +93,7 @@ class Encoder:
             for line in doc:
                 later.update(line[1:])
         self._learn(self.after_space, later, " ")
-        first, after = self.first, self.after_space.__getitem__
+        first, after = self.first.now, self.after_space.now.__getitem__
         whole = iter(self._whole([t for t, o in zip(texts, odd, strict=True) if o]) if any(odd) else ())
         return [
             next(whole) if o else self.feed.join([first[line[0]] + b"".join(map(after, line[1:])) for line in doc])

@@ -435,3 +435,14 @@ def test_packing_no_rows(spark):
     import public_tokenizers
 
     assert packing.pack(cases.none(spark), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_words_are_forgotten_only_when_they_are_not_met_again(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
+    words, learned = packing.Words(), []
+    for met in ("ab", "abcde", "af", "agh", "aij", "b"):
+        new = words.unknown(set(met))
+        learned += new
+        words.now.update({w: w.encode() for w in new})
+        assert set(met) <= set(words.now)
+    assert learned.count("a") == 1 and learned.count("b") == 2
