@@ -1,10 +1,11 @@
 """Allow and block rules for URLs, carried over to their aliases.
 
-Aliases are the connected components over redirect and canonical-link edges: a URL and the form
-its server settles on (secure scheme, no fragment, default port, tracking parameters, index
-page, ``.html`` or closing slash), and a page and what its canonical link or its refresh names.
-A URL with a rule of its own keeps that verdict. For the others an allow rule of any alias
-comes first, then a block rule of any alias, and without either the URL is allowed.
+Aliases are the connected components over redirect and canonical-link edges: a page and what its canonical
+link or its refresh names, and URLs of the same settled form (secure scheme, no fragment, default port,
+tracking parameters, index page, ``.html`` or closing slash), which stands in for redirects that the pages do
+not show. Forms only connect: verdicts are taken from URLs that pages have or links name, never from a form, so
+one that no other URL shares changes nothing. A URL with a rule of its own keeps that verdict. For the others an
+allow rule of any alias comes first, then a block rule of any alias, and without either the URL is allowed.
 """
 
 from __future__ import annotations
@@ -57,6 +58,11 @@ def settled(url: Column) -> Column:
     )
 
 
+def _form(url: Column) -> Column:
+    """The node that URLs of one settled form share. It begins with a space, so it is no URL; null for what is none."""
+    return F.when(url.contains("://"), F.concat(F.lit(" "), settled(url)))
+
+
 def _absolute(link: Column, url: Column) -> Column:
     """A link as seen from a page, dot segments resolved; null for links of schemes without a host."""
     scheme = F.regexp_extract(url, "(?s)^(.*?:)//", 1)
@@ -107,7 +113,7 @@ def filter_pages(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """A verdict for every row of ``pages(page_id, url, html)``.
 
     Returns page_id, host, path, rule (the fitting rule as host and path, else null), verdict
-    and aliases (how many distinct URLs the component has). ``rules`` is a short list that
+    and aliases (how many distinct URLs of pages and links the component has). ``rules`` is a short list that
     becomes part of the expression. A null url or one without ``://`` has empty host and path,
     no aliases, and is allowed. Null html has no links. Rows that repeat are judged each; other
     columns are not looked at; an empty table gives no rows.
@@ -116,18 +122,16 @@ def filter_pages(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     rows = pages.select(
         "page_id",
         "url",
-        F.when(real, settled(F.col("url"))).alias("settled"),
         F.when(real & F.col("html").isNotNull(), _linked(F.col("html"), F.col("url"))).alias("linked"),
     )
     rows = write_once(rows, "urls")
-    links = rows.select("settled", F.explode("linked").alias("linked"))
-    goal = F.when(F.col("linked").contains("://"), settled(F.col("linked")))
+    links = rows.select("url", F.explode("linked").alias("linked"))
     edges = (
-        rows.where("url <> settled").select(F.col("url").alias("u"), F.col("settled").alias("v"))
-        .union(links.where("settled <> linked"))
-        .union(links.withColumn("goal", goal).where("linked <> goal").select("linked", "goal"))
+        rows.select(F.col("url").alias("u"), _form(F.col("url")).alias("v"))
+        .union(links)
+        .union(links.select("linked", _form(F.col("linked"))))
     )
-    components = write_once(connected_components(edges), "aliases")
+    components = write_once(connected_components(edges), "aliases").where(~F.col("node").startswith(" "))
     rule = judged(rules, host_of(F.col("node")), path_of(F.col("node")))
     verdicts = components.select("component", rule["verdict"].alias("verdict")).groupBy("component").agg(
         F.count("*").alias("aliases"),
