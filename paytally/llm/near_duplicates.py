@@ -7,13 +7,11 @@ and a node's candidates are its neighbours there, that is those with the longest
 the denser a region, the deeper the prefix that neighbours share. A region's size never matters
 to one task, since the orders are range partitioned with the node as the last key.
 
-Only links between different components need confirming. Each round confirms first every node's
-best candidate, then what still crosses components, and joins components. In the next round a
-node looks beyond its own component: the nearest rows before and after it in the region that
-belong to others. Rounds end when one confirms nothing new.
+Only links between different components need confirming: first every node's best candidate, then
+what still crosses components.
 
 Neighbours are not all of a dense region, so what then still stands in a region with other
-components is searched exactly, by a prefix-filter join: shingles are ordered from rare to common,
+components is searched exactly, in one step, by a prefix-filter join: shingles are ordered from rare to common,
 two sets that are similar enough share one of the first few, and places and sizes tell most pairs
 apart before sets are compared. Nothing that shares a region is left out. A pair at similarity 0.75
 shares a region with probability 1 - (1 - 0.75**3)**20, a miss of 2 in 100,000.
@@ -352,22 +350,13 @@ def components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCE
     found = write_once(candidates(dense.withColumn("component", F.col("node"))), "candidates")
     best = write_once(_best(found), "best")
     links = write_once(confirm(best, sets, percent), "links")
-    if links.isEmpty():
-        groups = None
-        rest = found.select("a", "b").join(best, ["a", "b"], "left_anti")
-    else:
-        groups = _merged(None, links)
-        rest = _crossing(found.select("a", "b").join(best, ["a", "b"], "left_anti"), groups)
-    tested = best
-    while True:
-        rest = write_once(rest, "crossing")
-        links = write_once(confirm(rest, sets, percent), "links")
-        tested = tested.union(rest)
-        if links.isEmpty():
-            return profile.drop("signature"), _finished(dense, groups, sets, tested, percent)
+    groups = None if links.isEmpty() else _merged(None, links)
+    others = found.select("a", "b").join(best, ["a", "b"], "left_anti")
+    rest = write_once(others if groups is None else _crossing(others, groups), "crossing")
+    links = write_once(confirm(rest, sets, percent), "links")
+    if not links.isEmpty():
         groups = _merged(groups, links)
-        looked = candidates(_mixed(dense, groups))
-        rest = looked.select("a", "b").join(tested, ["a", "b"], "left_anti")
+    return profile.drop("signature"), _finished(dense, groups, sets, best.union(rest), percent)
 
 
 def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
