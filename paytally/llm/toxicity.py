@@ -2,14 +2,16 @@
 
 Folding drops hidden characters and accents, turns look-alike letters into plain Latin ones and
 digits or signs beside letters into the letters they stand for. As a sign at the edge of a word may
-also be just that ("idiot!", "@idiot"), texts are matched in each reading. Entries are whole words or beginnings of words. Their
-weights are log odds from labelled documents, each at the lower end of its confidence interval,
+also be just that ("idiot!", "@idiot"), runs of letters and signs are matched in each reading, the rest of a text in one. Entries
+are whole words or beginnings of words. Their weights are log odds from labelled documents, each at the lower end of its confidence interval,
 so that chance finds weigh little; a few common insults have a weight even unseen. A phrase around an entry that only clean documents have is an exception and cancels the
-hit inside it. The sum of the hits' weights, alone and against the length of the text, and the
+hit inside it, whichever reading shows it. The sum of the hits' weights, alone and against the length of the text, and the
 largest weight go through a logistic curve fitted on labelled documents that the lexicon has not seen.
 
 What is fitted comes from at most ``SAMPLE`` labelled documents of each class, chosen by a hash
-of their ids; the model is small, and scoring is one scan with no shuffle.
+of their ids; of labels that contradict each other on equal texts the toxic one counts. Entries and
+exceptions are chosen by support and weight alone. The model does not depend on how rows are
+partitioned, and scoring is one scan with no shuffle.
 """
 
 from __future__ import annotations
@@ -31,10 +33,8 @@ from pyspark.sql import functions as F
 from paytally.llm.hashing import sliced
 from paytally.storage import write_once
 
-#: Labelled documents of each class that a model is fitted on, and its most entries and exceptions.
+#: Labelled documents of each class that a model is fitted on.
 SAMPLE = 6_000
-ENTRIES = 2_000
-EXCEPTIONS = 500
 #: Documents whose id has this remainder are never learned from.
 FOLDS = 5
 
@@ -62,6 +62,9 @@ _AFTER = re.compile(r"(?<=[^\W\d_])[013457@$!]+(?![^\W_])")
 _BEFORE_PLAIN = re.compile(r"(?<![^\W_@])[013457$!][013457@$!]*(?=[^\W\d_])")
 _AFTER_PLAIN = re.compile(r"(?<=[^\W\d_])[013457@$!]*[013457@$](?![^\W_])")
 _WORD = re.compile(r"[^\W\d_]+")
+_AFTER_SPACE = re.compile(r" [^\W\d_]+")
+_SIGN_RUN = re.compile("[013457@$!]+")
+_RUN = re.compile(r"(?:[^\W_]|[@$!])+")
 
 
 def _plain(text: str) -> str:
@@ -78,19 +81,51 @@ def _signs(pattern: re.Pattern, text: str) -> str:
     return pattern.sub(lambda m: m[0].translate(SIGNS), text)
 
 
+def _signed(plain: str) -> list[tuple[int, int]]:
+    """(start, end) of the runs of letters, digits and signs where a sign stands beside a letter."""
+    out, reach = [], 0
+    for m in _SIGN_RUN.finditer(plain):
+        at, end = m.span()
+        if at < reach or not (_WORD.match(plain, end) or (at and _WORD.match(plain, at - 1))):
+            continue
+        while at > reach and (plain[at - 1].isalnum() or plain[at - 1] in "@$!"):
+            at -= 1
+        reach = _RUN.match(plain, at).end()
+        out.append((at, reach))
+    return out
+
+
+def _read(run: str) -> tuple[str, ...]:
+    """The readings of a run, of its length: signs replaced as in ``fold``, between letters only, also
+    before them, also after them, and everywhere."""
+    inside = _signs(_INSIDE, run)
+    before = _signs(_BEFORE, inside)
+    likely = _signs(_AFTER_PLAIN, _signs(_BEFORE_PLAIN, inside))
+    return likely, inside, before, _signs(_AFTER, inside), _signs(_AFTER, before)
+
+
+def _spelled(plain: str, runs: list[tuple[int, int]], replaced: list[str]) -> str:
+    pieces, at = [], 0
+    for (start, end), run in zip(runs, replaced, strict=True):
+        pieces += plain[at:start], run
+        at = end
+    return "".join((*pieces, plain[at:]))
+
+
 def fold(text: str) -> str:
     """The likeliest reading: signs in a run with letters replaced, but for a leading ``@`` and closing ``!``."""
-    return _signs(_AFTER_PLAIN, _signs(_BEFORE_PLAIN, _signs(_INSIDE, _plain(text))))
+    plain = _plain(text)
+    runs = _signed(plain)
+    return _spelled(plain, runs, [_read(plain[a:b])[0] for a, b in runs])
 
 
-def readings(text: str) -> list[str]:
-    """The distinct readings of a text, all of one length: signs as they are, and replaced between letters,
-    as in ``fold``, also before them, also after them, and everywhere."""
+def readings(text: str) -> tuple[str, list[tuple[int, int]], list[str]]:
+    """A text with its signs as they are, its runs with signs, and its other distinct readings, all of one length."""
     plain = _plain(text)
-    inside = _signs(_INSIDE, plain)
-    before = _signs(_BEFORE, inside)
-    likely = _signs(_AFTER_PLAIN, _signs(_BEFORE_PLAIN, inside))
-    return list(dict.fromkeys((plain, inside, likely, before, _signs(_AFTER, inside), _signs(_AFTER, before))))
+    runs = _signed(plain)
+    each = zip(*(_read(plain[a:b]) for a, b in runs), strict=True)
+    others = dict.fromkeys(_spelled(plain, runs, list(replaced)) for replaced in each)
+    return plain, runs, [other for other in others if other != plain]
 
 
 @dataclass
@@ -114,13 +149,11 @@ class Model:
             found.make_automaton()
         return found
 
-    def hits(self, automaton, text: str) -> list[tuple[int, int, float]]:
-        """(start, end of word, weight) of the entries in folded text, exceptions taken out."""
-        if not len(automaton):
-            return []
+    def _found(self, automaton, text: str, lo: int, hi: int) -> tuple[list[tuple[int, int, float]], list[tuple[int, int]]]:
+        """(start, end, weight) of the weightiest entry at each place of a part of folded text, and (start, end) of the exceptions."""
         found: dict[int, tuple[int, float]] = {}
         excused = []
-        for last, (size, exception) in automaton.iter(text):
+        for last, (size, exception) in automaton.iter(text, lo, hi):
             start, end = last - size + 1, last + 1
             if start and text[start - 1].isalpha():
                 continue
@@ -133,24 +166,38 @@ class Model:
             weight = max(self.words.get(entry, 0.0) if closed else 0.0, self.prefixes.get(entry, 0.0))
             if weight > found.get(start, (0, 0.0))[1]:
                 found[start] = (end, weight)
-        spans = sorted(excused)
-        out, k, reach = [], 0, -1
-        for start in sorted(found):
-            end, weight = found[start]
-            while k < len(spans) and spans[k][0] <= start:
-                reach = max(reach, spans[k][1])
-                k += 1
-            if end > reach:
-                out.append((start, end, weight))
-        return out
+        return [(start, *rest) for start, rest in found.items()], excused
+
+    def hits(self, automaton, text: str) -> list[tuple[int, int, float]]:
+        """(start, end of word, weight) of the entries in folded text, exceptions taken out."""
+        return _without(*self._found(automaton, text, 0, len(text))) if len(automaton) else []
 
     def hits_of(self, automaton, text: str) -> list[tuple[int, int, float]]:
-        """The hits of all readings of a text; of those that overlap the weightiest."""
-        each = [self.hits(automaton, reading) for reading in readings(text)]
-        if len(each) == 1:
-            return each[0]
+        """The hits of all readings of a text that no reading excuses; of those that overlap the weightiest.
+
+        Other readings differ from the plain one in runs with signs only, so they are searched
+        there and as far around as an exception reaches.
+        """
+        if not len(automaton):
+            return []
+        plain, runs, others = readings(text)
+        hits, excused = self._found(automaton, plain, 0, len(plain))
+        if not others:
+            return _without(hits, excused)
+        around = max(map(len, self.exceptions), default=0)
+        parts: list[list[int]] = []
+        for start, end in runs:
+            if parts and start - around <= parts[-1][1]:
+                parts[-1][1] = min(len(plain), end + around)
+            else:
+                parts.append([max(0, start - around), min(len(plain), end + around)])
+        for other in others:
+            for lo, hi in parts:
+                more = self._found(automaton, other, lo, hi)
+                hits += more[0]
+                excused += more[1]
         out: list[tuple[int, int, float]] = []
-        for hit in sorted({h for hits in each for h in hits}):
+        for hit in _without(list(set(hits)), excused):
             if out and hit[0] < out[-1][1]:
                 if hit[2] > out[-1][2]:
                     out[-1] = hit
@@ -163,6 +210,19 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, level))))
 
 
+def _without(hits: list[tuple[int, int, float]], excused: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+    """The hits in order of place that lie in no exception."""
+    spans = sorted(excused)
+    out, k, reach = [], 0, -1
+    for hit in sorted(hits):
+        while k < len(spans) and spans[k][0] <= hit[0]:
+            reach = max(reach, spans[k][1])
+            k += 1
+        if hit[1] > reach:
+            out.append(hit)
+    return out
+
+
 def terms(total: float, most: float, words: int) -> tuple[float, float, float]:
     return math.log1p(total), math.log1p(100.0 * total / (words + 20)), most
 
@@ -190,12 +250,22 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words (marked by a final ``$``) and their beginnings."""
 
     def count(text: str) -> set[str]:
-        words = {w for w in _WORD.findall(text) if 3 <= len(w) <= 40}
+        words = set(_WORD.findall(text))
         return {w + "$" for w in words} | {w[:k] for w in words for k in PREFIXES if k < len(w)}
 
     yield from _counted(batches, count)
 
 
+def _word_before(text: str, end: int) -> str:
+    """The word that ends at a space at ``end``; empty where there is none."""
+    if end < 1 or text[end] != " ":
+        return ""
+    at = end
+    while at and _WORD.match(text, at - 1, at):
+        at -= 1
+    return text[at:end]
+
+
 def _phrases(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each hit's word with the word before or after it, where one space stands between."""
     automaton = model.automaton()
@@ -204,9 +274,9 @@ def _phrases(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         out = set()
         for start, end, _ in model.hits(automaton, text):
             word = _WORD.match(text, start)[0]
-            if before := re.search(r"([^\W\d_]+) $", text[max(0, start - 40) : start]):
-                out.add(f"{before[1]} {word}")
-            if after := re.match(r" [^\W\d_]+", text[start + len(word) : start + len(word) + 40]):
+            if before := _word_before(text, start - 1):
+                out.add(f"{before} {word}")
+            if after := _AFTER_SPACE.match(text, start + len(word)):
                 out.add(word + after[0])
         return out
 
@@ -289,10 +359,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     both = [known.where(F.col("label") == k).orderBy(*order).limit(sample) for k in (0, 1)]
     # At most 2 * sample ids, so they may be sent to every task.
     chosen = F.broadcast(both[0].union(both[1]))
-    train = docs.select("doc_id", "text").join(chosen, "doc_id").select(
-        "label", F.col("text").cast("string").alias("text"), (F.abs(F.xxhash64("text", F.lit("curve"))) % 10 < 3).alias("for_curve")
-    ).dropDuplicates(["text"])
-    train = write_once(train, "labelled")
+    train = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    train = train.groupBy("text").agg(F.max("label").alias("label"))
+    train = write_once(train.withColumn("for_curve", F.abs(F.xxhash64("text", F.lit("curve"))) % 10 < 3), "labelled")
     sizes = {r[0]: r[1] for r in train.where("not for_curve").groupBy("label").count().collect()}
     if len(sizes) < 2:
         return Model(words=dict.fromkeys(SEEDS, SEED_WEIGHT))
@@ -305,17 +374,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     strong = (
         learn.mapInArrow(_entries, counted).groupBy("feature").agg(*sums)
         .where((F.col("toxic") >= support) & (weight >= LEAST_WEIGHT))
-        .orderBy(F.desc(weight * F.log1p("toxic")), "feature").limit(ENTRIES)
     )
     model = _chosen([tuple(r) for r in strong.collect()], sizes[1], sizes[0])
-    phrases = (
-        learn.mapInArrow(partial(_phrases, model), counted).groupBy("feature").agg(*sums)
-        .where("clean >= 2 and toxic = 0").orderBy(F.desc("clean"), "feature").limit(EXCEPTIONS)
-    )
+    phrases = learn.mapInArrow(partial(_phrases, model), counted).groupBy("feature").agg(*sums).where("clean >= 2 and toxic = 0")
     model.exceptions = frozenset(r[0] for r in phrases.collect())
     curve = train.where("for_curve").select(F.col("label").alias("key"), "text")
     rows = curve.mapInArrow(partial(_scored, model), "key int, n_hits long, weight double, largest double, n_words long, score double")
-    cases = [tuple(r) for r in rows.select("weight", "largest", "n_words", "key").collect()]  # 2 * sample rows at most
+    cases = sorted(tuple(r) for r in rows.select("weight", "largest", "n_words", "key").collect())  # 2 * sample rows at most
     if len({c[3] for c in cases}) == 2:
         model.curve = _curve(cases)
     return model

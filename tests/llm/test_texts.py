@@ -414,6 +414,61 @@ def test_exceptions_cancel_hits():
     assert [h[0] for h in model.hits(automaton, "the trash can is trash, trashy")] == [17]
 
 
+@pytest.mark.parametrize("text", ["the trash can!", "trash can$", "@trash can", "7rash c4n", "a tra5h can", "!trash can! 0k"])
+def test_exceptions_beside_signs(text):
+    model = toxicity.Model(words={"trash": 4.0}, prefixes={"idio": 3.0}, exceptions=frozenset({"trash can"}))
+    automaton = model.automaton()
+    assert model.hits_of(automaton, text) == []
+    assert [h[2] for h in model.hits_of(automaton, text + "; 1d1ots, trash c4nned")] == [3.0, 4.0]
+
+
+def test_hits_equal_a_plain_search():
+    """Whole texts in every reading, entries found by looking at every place."""
+    model = toxicity.Model(words={"sot": 2.0, "tat": 3.0, "so": 1.5, "i": 1.0}, prefixes={"sota": 2.5, "oi": 1.25}, exceptions=frozenset({"so tat", "a sot", "i i"}))
+    automaton = model.automaton()
+
+    def plainly(text):
+        inside = toxicity._signs(toxicity._INSIDE, text)
+        before = toxicity._signs(toxicity._BEFORE, inside)
+        likely = toxicity._signs(toxicity._AFTER_PLAIN, toxicity._signs(toxicity._BEFORE_PLAIN, inside))
+        found, excused = set(), []
+        for r in (text, inside, likely, before, toxicity._signs(toxicity._AFTER, inside), toxicity._signs(toxicity._AFTER, before)):
+            for at in range(len(r)):
+                if at and r[at - 1].isalpha():
+                    continue
+                closed = lambda e: not r[at + len(e) : at + len(e) + 1].isalpha()  # noqa: B023, E731
+                excused += [(at, at + len(e)) for e in model.exceptions if r.startswith(e, at) and closed(e)]
+                best = [(w, len(e)) for e, w in model.words.items() if r.startswith(e, at) and closed(e)]
+                best += [(w, len(e)) for e, w in model.prefixes.items() if r.startswith(e, at)]
+                if best:
+                    found.add((at, at + max(best)[1], max(best)[0]))
+        out = []
+        for hit in sorted(h for h in found if not any(a <= h[0] and h[1] <= b for a, b in excused)):
+            if out and hit[0] < out[-1][1]:
+                out[-1] = max(out[-1], hit, key=lambda h: (h[2], -h[0]))
+            else:
+                out.append(hit)
+        return out
+
+    pick = np.random.default_rng(11)
+    texts = ["".join(pick.choice(list("ssooottaai   1057$@!.29_"), 60)) for _ in range(3000)]
+    got = [model.hits_of(automaton, t) for t in texts]
+    assert got == [plainly(t) for t in texts] and sum(map(len, got)) > 3000
+
+
+def test_toxicity_model_does_not_depend_on_partitions(spark):
+    """Equal texts with contradicting labels, words of two and of 45 letters among the learned ones."""
+    long = "zorg" * 11 + "x"
+    rows = [(k, f"plain words {k} here" + (f" qx {long}" if k % 3 == 0 else "")) for k in range(1200)]
+    labels = [(k, int(k % 3 == 0)) for k in range(1200)]
+    rows += [(1200 + k, f"other words {k % 40} here") for k in range(160)]
+    labels += [(1200 + k, k % 3 % 2) for k in range(160)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    one, seven = (toxicity.fit(docs.repartition(n), known.repartition(n)) for n in (1, 7))
+    assert one == seven and "qx" in one.words
+    assert long in one.words or any(long.startswith(p) for p in one.prefixes)
+
+
 @pytest.mark.parametrize(
     "run",
     [
