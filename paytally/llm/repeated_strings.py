@@ -11,9 +11,12 @@ then compared byte by byte. Strings that start ``d`` before the anchor are equal
 neighbourhoods fall into one class of the first order at depth ``length - d`` and one class of
 the second at depth ``d``; both classes are read off the common extensions of neighbours.
 
-Texts are known by a 64-bit hash and their length, so copies are searched once. Grams with more
-neighbourhoods than a task should sort are resolved by counting the hashes of their strings,
-which spreads over all tasks and pre-aggregates.
+Texts are known by a 64-bit hash and their length, so copies are searched once. A gram with more
+neighbourhoods than a task should sort is split by what equal strings have in common: those that
+start ``lo`` to ``hi`` bytes before the anchor share the bytes from ``lo`` before it to ``length - hi``
+after it. Halving the range lengthens what is shared, so parts get smaller until they can be sorted
+as above, or the range is one start and the whole string is shared; there the bytes themselves are
+grouped, with partial counts in the map tasks.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import partial
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,7 @@ from paytally.storage import fresh_path, remove, write_at, write_once
 
 LENGTH = 200
 GRAM = 64
-#: Neighbourhoods of one gram that are sorted in one task, and those sorted together.
+#: Neighbourhoods of one part of a gram that are sorted in one task, and those sorted together.
 SORTED_AT_MOST = 20_000
 SORTED_TOGETHER = 6_000
 
@@ -117,8 +121,10 @@ def _packed(out: list[list]) -> pa.RecordBatch:
 class Neighbourhoods:
     """Rows of bytes with the anchor in one column, sorted both ways from there."""
 
-    def __init__(self, groups: np.ndarray, before: np.ndarray, data: list[bytes], length: int, gram: int):
+    def __init__(self, groups: np.ndarray, before: np.ndarray, data: list[bytes], length: int, gram: int, starts: np.ndarray | None = None):
+        """``starts`` has the first and the last ``d`` wanted of each row; all without it."""
         self.groups, self.length, self.reach = groups, length, length - gram
+        self.starts = np.array([[0, self.reach]]) if starts is None else starts
         n, width = len(data), length - gram + length
         self.rows = np.zeros((n, width), dtype=np.uint8)
         for k, (d, b) in enumerate(zip(data, before.tolist(), strict=True)):
@@ -218,7 +224,8 @@ class Neighbourhoods:
         index = np.arange(n)
         class_right, class_left = np.empty(n, np.int64), np.empty(n, np.int64)
         for d in range(self.reach + 1):
-            usable = np.flatnonzero((self.sizes[-1] >= d) & (self.sizes[1] >= self.length - d))
+            wanted = (self.starts[:, 0] <= d) & (d <= self.starts[:, 1])
+            usable = np.flatnonzero((self.sizes[-1] >= d) & (self.sizes[1] >= self.length - d) & wanted)
             if len(usable) < 2:
                 continue
             class_right[right] = np.maximum.accumulate(np.where(follows < self.length - d, index, 0))
@@ -255,18 +262,18 @@ def _covers(gram: np.ndarray, around: np.ndarray, lo: np.ndarray, hi: np.ndarray
 
 
 def _sorted_out(length: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered ranges of neighbourhoods that come sorted by gram; groups are never cut."""
+    """Covered ranges of neighbourhoods (key, gram, around, before, data, lo, hi) that come sorted by key; groups are never cut."""
     pending: list[tuple] = []
 
     def resolve(rows: list[tuple]) -> pa.RecordBatch:
-        grams, around, before = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
-        flags = Neighbourhoods(grams, before, [r[3] for r in rows], length, gram).repeated()
+        keys, grams, around, before = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+        starts = np.array([r[5:] for r in rows], dtype=np.int64)
+        flags = Neighbourhoods(keys, before, [r[4] for r in rows], length, gram, starts).repeated()
         row, lo, hi = _runs(flags, length)
         return _covers(grams[row], around[row], lo, hi)
 
     for batch in batches:
-        g, around, before, data = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
-        for row in zip(g, around, before, data, strict=True):
+        for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
             if len(pending) >= SORTED_TOGETHER and row[0] != pending[-1][0]:
                 yield resolve(pending)
                 pending = []
@@ -275,19 +282,48 @@ def _sorted_out(length: int, gram: int, batches: Iterator[pa.RecordBatch]) -> It
         yield resolve(pending)
 
 
-def _strings(length: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, around, d, one, two): two hashes of every string of a neighbourhood."""
-    reach = length - gram
-    for batch in sliced(batches):
-        for g, around, _, before, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            d = np.arange(max(0, length - (len(data) - before)), min(before, reach) + 1)
-            start = before - d
-            one = PrefixHashes(np.frombuffer(data, dtype=np.uint8)).of(start, start + length)
-            two = PrefixHashes(np.frombuffer(data, dtype=np.uint8) ^ np.uint8(0x5A)).of(start, start + length)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(d), g)), pa.array(np.full(len(d), around)), pa.array(d.astype(np.int32)), pa.array(mix(one).view(np.int64)), pa.array(mix(two).view(np.int64))],
-                ["gram", "around", "d", "one", "two"],
-            )
+_PART = "key long, gram long, around long, before int, data binary, lo int, hi int"
+
+
+def _halved(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbourhoods once for each half of their starts, cut to its bytes; the key is a hash of those all its strings share."""
+    for batch in sliced(batches, 4096):
+        out: list[list] = [[] for _ in range(7)]
+        for _, gram, around, before, data, first, last in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            middle = (first + last) // 2
+            for lo, hi in ((first, middle), (middle + 1, last)):
+                after = len(data) - before
+                if before < lo or after < length - hi:
+                    continue  # too near the end of its text for any of these strings
+                shared = data[before - lo : before + length - hi]
+                key = hashlib.blake2b(pack("<qii", gram, lo, hi) + shared, digest_size=8).digest()
+                kept = data[max(0, before - hi) : before + length - lo]
+                row = (int.from_bytes(key, "little", signed=True), gram, around, min(before, hi), kept, lo, hi)
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["key", "gram", "around", "before", "data", "lo", "hi"])
+
+
+def _sorted_covers(parts: DataFrame, length: int, gram: int) -> DataFrame:
+    return write_once(parts.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_sorted_out, length, gram), _COVER), "covers")
+
+
+def _split_covers(parts: DataFrame, length: int, gram: int) -> list[DataFrame]:
+    """Covered ranges of parts too large to be sorted: halved until they are not, or the starts are one."""
+    covers = []
+    while not parts.isEmpty():
+        halves = write_once(parts.mapInArrow(partial(_halved, length), _PART), "halves")
+        sizes = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        halves = write_once(halves.join(sizes, "key"), "parts")
+        large = halves.where(F.col("n") > SORTED_AT_MOST).drop("n")
+        covers.append(_sorted_covers(halves.where(F.col("n") <= SORTED_AT_MOST).drop("n"), length, gram))
+        single = large.where("lo = hi")
+        twice = single.groupBy("key", "data").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        same = single.join(twice, ["key", "data"])
+        covers.append(same.select("gram", "around", (-F.col("lo")).alias("lo"), (F.lit(length) - F.col("lo")).alias("hi")))
+        parts = large.where("lo < hi").select(*[name.split()[0] for name in _PART.split(", ")])
+    return covers
 
 
 def _release(spark: SparkSession) -> None:
@@ -332,22 +368,18 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         "surroundings",
     )
     _release(spark)
-    few = around_all.where("not many").select(*_NEIGHBOURHOOD)
-    covers = write_once(few.repartition("gram").sortWithinPartitions("gram").mapInArrow(partial(_sorted_out, length, gram), _COVER), "covers")
+    reach = length - gram
+    parts = [F.col("gram").alias("key"), "gram", "around", "before", "data", F.lit(0).alias("lo"), F.lit(reach).alias("hi")]
+    covers = _sorted_covers(around_all.where("not many").select(*parts), length, gram)
     _release(spark)
     # Whole neighbourhoods that occur again need no sorting.
-    reach = length - gram
     whole = known.where("n > 1").select(
         "gram", "around", (-F.least("place.at", F.lit(reach))).cast("int").alias("lo"),
         F.least(F.col("place.size") - F.col("place.at"), F.lit(length)).cast("int").alias("hi"),
     ).where(F.col("hi") - F.col("lo") >= length)
     covers = covers.union(whole)
-    many = around_all.where("many").select(*_NEIGHBOURHOOD)
-    if not many.isEmpty():
-        strings = write_once(many.mapInArrow(partial(_strings, length, gram), "gram long, around long, d int, one long, two long"), "strings")
-        twice = strings.groupBy("gram", "d", "one", "two").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-        hot = strings.join(twice, ["gram", "d", "one", "two"])
-        covers = covers.union(hot.select("gram", "around", (-F.col("d")).alias("lo"), (F.lit(length) - F.col("d")).alias("hi")))
+    for more in _split_covers(around_all.where("many").select(*parts), length, gram):
+        covers = covers.union(more)
     spans = found.join(covers, ["gram", "around"]).select("text", "size", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).alias("span"))
     ranges = write_once(spans.groupBy("text", "size").agg(F.collect_set("span").alias("spans")), "ranges")
     _release(spark)
