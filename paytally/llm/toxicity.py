@@ -23,7 +23,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +51,8 @@ _FULLWIDTH = {chr(0xFF21 + k): chr(97 + k) for k in range(26)} | {chr(0xFF41 + k
 ALIKE = str.maketrans(_CYRILLIC | _GREEK | _FULLWIDTH)
 SIGNS = str.maketrans("013457@$!", "oieastasi")
 
-_FOREIGN = re.compile("[" + "".join(map(chr, ALIKE)) + "]")
-_HIDDEN = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cf") + "\u034f\u115f\u1160\u3164]")
+_FOREIGN = frozenset(map(chr, ALIKE))
+_HIDDEN = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cf") | frozenset("\u034f\u115f\u1160\u3164")
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f]")
 #: Signs before, between and after letters, in a run that has a letter.
 _BEFORE = re.compile(r"(?<![^\W_])[013457@$!]+(?=[^\W\d_])")
@@ -70,9 +70,11 @@ _RUN = re.compile(r"(?:[^\W_]|[@$!])+")
 def _plain(text: str) -> str:
     """Lower case, look-alikes replaced, hidden characters and accents dropped; signs as they are."""
     if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", _HIDDEN.sub("", text)))
+        for hidden in _HIDDEN.intersection(text):
+            text = text.replace(hidden, "")
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
         text = unicodedata.normalize("NFC", text)
-        if _FOREIGN.search(text):
+        if not _FOREIGN.isdisjoint(text):
             text = text.translate(ALIKE)
     return text.lower()
 
@@ -95,6 +97,7 @@ def _signed(plain: str) -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache(1 << 15)
 def _read(run: str) -> tuple[str, ...]:
     """The readings of a run, of its length: signs replaced as in ``fold``, between letters only, also
     before them, also after them, and everywhere."""
@@ -123,9 +126,10 @@ def readings(text: str) -> tuple[str, list[tuple[int, int]], list[str]]:
     """A text with its signs as they are, its runs with signs, and its other distinct readings, all of one length."""
     plain = _plain(text)
     runs = _signed(plain)
-    each = zip(*(_read(plain[a:b]) for a, b in runs), strict=True)
-    others = dict.fromkeys(_spelled(plain, runs, list(replaced)) for replaced in each)
-    return plain, runs, [other for other in others if other != plain]
+    own = [plain[a:b] for a, b in runs]
+    each = dict.fromkeys(zip(*map(_read, own), strict=True))
+    each.pop(tuple(own), None)
+    return plain, runs, [_spelled(plain, runs, list(replaced)) for replaced in each]
 
 
 @dataclass

@@ -142,7 +142,7 @@ def test_decontamination(spark, docs, rows, block_bytes):
     assert decontamination.find_contamination(docs, benchmark.limit(0)).where("n_hit > 0").isEmpty()
 
 
-@pytest.mark.parametrize("most", [20_000, 2])
+@pytest.mark.parametrize("most", [20_000, 9, 2])
 def test_repeated_strings(docs, rows, most, monkeypatch):
     monkeypatch.setattr(repeated_strings, "SORTED_AT_MOST", most)
     data = [(i, (t or "").encode()) for i, t in rows]
