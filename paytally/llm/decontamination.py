@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paytally.llm.hashing import chunks, sliced
 from paytally.storage import write_once
@@ -144,25 +145,49 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack((spans[new, 0], reach[np.append(new[1:] - 1, len(spans) - 1)]), axis=1)
 
 
+def _searched(tables: list[Block], texts: list, old_hits: list, old_items: list) -> tuple[list[int], list[np.ndarray], list[set]]:
+    """Words, hits and items of each text, those of earlier passes included."""
+    sizes, all_hits, all_items = [], [], []
+    raw = [t or b"" for t in texts]
+    for lo, hi in chunks(raw, 4 << 20):
+        split = [words_of(t) for t in raw[lo:hi]]
+        hits = [np.frombuffer(h or b"", dtype=np.int64).reshape(-1, 2) for h in old_hits[lo:hi]]
+        items = [set(x or ()) for x in old_items[lo:hi]]
+        for table in tables:
+            for k, (spans, names) in enumerate(table.search(split)):
+                if len(spans):
+                    hits[k] = _merged(np.concatenate((hits[k], spans)))
+                    items[k] |= names
+        sizes += map(len, split)
+        all_hits += hits
+        all_items += items
+    return sizes, all_hits, all_items
+
+
+def _contaminated(words: int, hits: np.ndarray) -> bool:
+    n_hit = int((hits[:, 1] - hits[:, 0]).sum())
+    return n_hit > 0 and 20 * n_hit >= words
+
+
+def _clean(blocks: list[list], window: int, last: bool, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, hits): with these blocks' hits added, or after the last blocks the clean ones' first column."""
+    tables = [Block(items, window) for items in blocks]
+    for batch in sliced(batches):
+        texts = batch.column(0).field(at).cast(pa.binary()).to_pylist()
+        sizes, hits, _ = _searched(tables, texts, batch.column(1).to_pylist(), [None] * len(texts))
+        if last:
+            keep = [not _contaminated(*found) for found in zip(sizes, hits, strict=True)]
+            yield batch.select([0]).filter(pa.array(keep, pa.bool_()))
+        else:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in hits], pa.binary())], ["row", "hits"])
+
+
 def _pass(blocks: list[list], window: int, last: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add what these blocks find to each row's hits and items."""
     tables = [Block(items, window) for items in blocks]
     for batch in sliced(batches):
         ids, texts, old_hits, old_items = batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2, 3))
-        sizes, all_hits, all_items = [], [], []
-        raw = [t or b"" for t in texts]
-        for lo, hi in chunks(raw, 4 << 20):
-            split = [words_of(t) for t in raw[lo:hi]]
-            hits = [np.frombuffer(h or b"", dtype=np.int64).reshape(-1, 2) for h in old_hits[lo:hi]]
-            items = [set(x or ()) for x in old_items[lo:hi]]
-            for table in tables:
-                for k, (spans, names) in enumerate(table.search(split)):
-                    if len(spans):
-                        hits[k] = _merged(np.concatenate((hits[k], spans)))
-                        items[k] |= names
-            sizes += map(len, split)
-            all_hits += hits
-            all_items += items
+        sizes, all_hits, all_items = _searched(tables, texts, old_hits, old_items)
         if not last:
             yield pa.RecordBatch.from_arrays(
                 [ids, batch.column(1), pa.array([h.tobytes() for h in all_hits], pa.binary()), pa.array([sorted(x) for x in all_items], pa.list_(pa.string()))],
@@ -177,7 +202,7 @@ def _pass(blocks: list[list], window: int, last: bool, batches: Iterator[pa.Reco
                 pa.array(n_hit, pa.int64()),
                 pa.array([len(x) for x in all_items], pa.int64()),
                 pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in all_items], pa.string()),
-                pa.array([h > 0 and 20 * h >= n for h, n in zip(n_hit, sizes, strict=True)], pa.bool_()),
+                pa.array([_contaminated(*found) for found in zip(sizes, all_hits, strict=True)], pa.bool_()),
                 pa.array([sorted(x) for x in all_items], pa.list_(pa.string())),
                 pa.array([h.tolist() for h in all_hits], pa.list_(pa.list_(pa.int64()))),
             ],
@@ -199,6 +224,17 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str |
     yield block
 
 
+def _passes(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[list], bool]]:
+    """The blocks of each pass over the documents, and whether it is the last."""
+    pending: list[list] = []
+    for block in _blocks(benchmark, block_bytes):
+        if len(pending) == BLOCKS_IN_PASS:
+            yield pending, False
+            pending = []
+        pending.append(block)
+    yield pending, True
+
+
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -222,10 +258,22 @@ def find_contamination(
         F.lit(None).cast("binary").alias("hits"),
         F.lit(None).cast("array<string>").alias("items"),
     )
-    pending: list[list] = []
-    for block in _blocks(benchmark, block_bytes):
-        if len(pending) == BLOCKS_IN_PASS:
-            rows = write_once(rows.mapInArrow(partial(_pass, pending, window, False), carried), "contamination")
-            pending = []
-        pending.append(block)
-    return rows.mapInArrow(partial(_pass, pending, window, True), result)
+    for pending, last in _passes(benchmark, block_bytes):
+        rows = rows.mapInArrow(partial(_pass, pending, window, last), result if last else carried)
+        rows = rows if last else write_once(rows, "contamination")
+    return rows
+
+
+def reject(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` with all their columns that ``find_contamination`` does not call contaminated.
+
+    ``text`` is a string. Rows go through the search whole, so nothing is shuffled or joined.
+    """
+    whole = T.StructType([T.StructField("row", docs.schema, False)])
+    carried = T.StructType([*whole.fields, T.StructField("hits", T.BinaryType())])
+    at = docs.columns.index("text")
+    rows = docs.select(F.struct("*").alias("row"), F.lit(None).cast("binary").alias("hits"))
+    for pending, last in _passes(benchmark, block_bytes):
+        rows = rows.mapInArrow(partial(_clean, pending, window, last, at), whole if last else carried)
+        rows = rows if last else write_once(rows, "contamination")
+    return rows.select("row.*")

@@ -61,7 +61,7 @@ def _binary(values: list[bytes]) -> pa.Array:
 
 def _profile(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_digest, n_shingles, node, signature) of each text; the last two are null without shingles."""
-    for batch in sliced(batches):
+    for batch in sliced(batches, 128):
         texts = batch.column(1).to_pylist()
         sets = shingle_sets(texts, words)
         full = [i for i, s in enumerate(sets) if len(s)]
@@ -180,7 +180,7 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 def _sets(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, shingles) of the texts whose set is the one their row names."""
-    for batch in sliced(batches):
+    for batch in sliced(batches, 128):
         wanted = batch.column(0).to_pylist()
         nodes, packed = [], []
         for node, s in zip(wanted, shingle_sets(batch.column(1).to_pylist(), words), strict=True):
@@ -193,7 +193,7 @@ def _sets(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def _confirmed(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (u, v) whose full sets are similar enough."""
-    for batch in sliced(batches):
+    for batch in sliced(batches, 128):
         a, b, left, right = (c.to_pylist() for c in batch.columns)
         keep = []
         for x, y in zip(left, right, strict=True):

@@ -97,7 +97,6 @@ def _signed(plain: str) -> list[tuple[int, int]]:
     return out
 
 
-@lru_cache(1 << 15)
 def _read(run: str) -> tuple[str, ...]:
     """The readings of a run, of its length: signs replaced as in ``fold``, between letters only, also
     before them, also after them, and everywhere."""
@@ -107,6 +106,14 @@ def _read(run: str) -> tuple[str, ...]:
     return likely, inside, before, _signs(_AFTER, inside), _signs(_AFTER, before)
 
 
+#: Of short runs, so that a worker's memory does not grow with what it has read.
+_read_again = lru_cache(4096)(_read)
+
+
+def _replaced(run: str) -> tuple[str, ...]:
+    return _read_again(run) if len(run) <= 32 else _read(run)
+
+
 def _spelled(plain: str, runs: list[tuple[int, int]], replaced: list[str]) -> str:
     pieces, at = [], 0
     for (start, end), run in zip(runs, replaced, strict=True):
@@ -119,7 +126,7 @@ def fold(text: str) -> str:
     """The likeliest reading: signs in a run with letters replaced, but for a leading ``@`` and closing ``!``."""
     plain = _plain(text)
     runs = _signed(plain)
-    return _spelled(plain, runs, [_read(plain[a:b])[0] for a, b in runs])
+    return _spelled(plain, runs, [_replaced(plain[a:b])[0] for a, b in runs])
 
 
 def readings(text: str) -> tuple[str, list[tuple[int, int]], list[str]]:
@@ -127,7 +134,7 @@ def readings(text: str) -> tuple[str, list[tuple[int, int]], list[str]]:
     plain = _plain(text)
     runs = _signed(plain)
     own = [plain[a:b] for a, b in runs]
-    each = dict.fromkeys(zip(*map(_read, own), strict=True))
+    each = dict.fromkeys(zip(*map(_replaced, own), strict=True))
     each.pop(tuple(own), None)
     return plain, runs, [_spelled(plain, runs, list(replaced)) for replaced in each]
 

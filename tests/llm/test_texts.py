@@ -140,6 +140,10 @@ def test_decontamination(spark, docs, rows, block_bytes):
     got = decontamination.find_contamination(docs, benchmark, block_bytes=block_bytes).drop("items", "hits").collect()
     assert Counter(map(tuple, got)) == Counter(expected)
     assert decontamination.find_contamination(docs, benchmark.limit(0)).where("n_hit > 0").isEmpty()
+    kept = decontamination.reject(docs, benchmark, block_bytes=block_bytes)
+    assert kept.columns == docs.columns
+    dirty = Counter(e[0] for e in expected if e[5])
+    assert dirty and Counter(r.doc_id for r in kept.select("doc_id").collect()) == Counter(i for i, _ in rows) - dirty
 
 
 @pytest.mark.parametrize("most", [20_000, 9, 2])
