@@ -41,12 +41,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth are benchmark passages."""
-    keyed = _keyed(docs)
-    found = decontamination.find_contamination(
-        keyed.select(F.col("digest").alias("doc_id"), F.col("row.text").alias("text")), catalog.table(spark, sf_dir, "benchmark")
-    )
-    bad = found.where("contaminated").select(F.col("doc_id").alias("digest")).distinct()
-    return keyed.join(bad, "digest", "left_anti").select("row.*")
+    return decontamination.reject(docs, catalog.table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
