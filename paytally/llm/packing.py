@@ -30,9 +30,9 @@ from paytally.storage import write_once
 CAPACITY = 1024
 END_ID = 2
 #: Bytes of text that are cut into words at a time; the more, the fewer of the words are distinct.
-CUT_BYTES = 1 << 23
+CUT_BYTES = 1 << 22
 #: Words after which a worker process starts to forget: those not met again while as many others come.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
