@@ -9,9 +9,10 @@ and its context.
 There are no labels, so the trees learn from the base patterns: accepted spans are positive,
 everything else is negative. Every positive is also shown in a written-around form (no plus
 sign, grouped digits, "at" for @), so that the trees learn what remains of the format, and in a
-broken one as a negative (wrong check digit, part out of range, date, plain words). They are
-fitted on a sample of at most ``SAMPLE`` candidates, distinct ones taken by a hash of their content, and the
-threshold is the lowest at which held-out candidates are accepted with ``PRECISION``.
+broken one as a negative (wrong check digit, part out of range, date, plain words). All distinct
+candidates count: three quarters of them, by a hash of their content, fit the trees, those with equal
+features as one row of their number's weight, and the threshold is the lowest at which the other quarter
+is accepted with ``PRECISION``. Up to ``BINS`` squared such rows, MLlib looks at every one for its splits.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from pyspark.sql import functions as F
 from paytally.storage import write_once
 
 KINDS = ("email", "ip", "card", "phone")
-#: Most candidates that the trees are fitted on.
-SAMPLE = 20_000
 PRECISION = 0.98
+#: Most values of a feature that splits are looked for between.
+BINS = 1024
+#: Steps in which thresholds are tried.
+STEPS = 4096
 #: Code points of context kept on each side of a candidate.
 CONTEXT = 24
 
@@ -162,34 +165,41 @@ def _broken(rows: DataFrame) -> DataFrame:
     return rows.withColumn("match", other)
 
 
-def _fit(candidates: DataFrame, sample: int):
-    """(model, assembler, threshold) of the boosted trees, or None where one of the classes has no case."""
+def _fit(candidates: DataFrame, sample: int | None = None):
+    """(model, assembler, threshold) of the boosted trees, or None where one of the classes has no case.
+
+    All cases count, unless the caller asks for a ``sample`` of so many.
+    """
     base = candidates.where("accepted")
     cases = candidates.select("kind", "match", "before", "after", F.col("accepted").cast("double").alias("label")).union(
         _written_around(base).select("kind", "match", "before", "after", F.lit(1.0).alias("label"))
     ).union(_broken(base).select("kind", "match", "before", "after", F.lit(0.0).alias("label")))
-    cases = cases.distinct()  # copies of a text are one case, else a few could fill the sample
+    cases = cases.distinct()  # copies of a text are one case
     key = F.xxhash64("kind", "match", "before", "after", "label")
-    chosen, names = features(cases.withColumn("key", key).orderBy("key", "match", "before", "after").limit(sample))
-    chosen = write_once(chosen, "cases")
+    cases = cases.withColumn("key", key)
+    if sample is not None:
+        cases = cases.orderBy("key", "match", "before", "after").limit(sample)
+    described, names = features(cases.withColumn("held", F.abs(F.col("key")) % 4 == 0))
+    weighed = described.groupBy("held", "label", *names).agg(F.count("*").cast("double").alias("weight"))
+    chosen = write_once(weighed.orderBy("held", "label", *names), "cases")
     if chosen.agg(F.count_distinct("label")).first()[0] < 2:
         return None
     assembler = VectorAssembler(inputCols=names, outputCol="features")
     cases = assembler.transform(chosen)
-    held = F.abs(F.col("key")) % 4 == 0
-    trees = GBTClassifier(labelCol="label", maxIter=12, maxDepth=4, stepSize=0.3, seed=7, maxBins=32)
-    if cases.where(~held).agg(F.count_distinct("label")).first()[0] < 2:
+    trees = GBTClassifier(labelCol="label", weightCol="weight", maxIter=12, maxDepth=4, stepSize=0.3, seed=7, maxBins=BINS)
+    if cases.where("not held").agg(F.count_distinct("label")).first()[0] < 2:
         return None
-    model = trees.fit(cases.where(~held))
-    scored = model.transform(cases.where(held)).select(
-        vector_to_array("probability")[1].alias("p"), "label"
-    ).orderBy(F.desc("p")).collect()  # a quarter of the bounded sample
-    threshold, right = 1.01, 0.0
-    for i, (p, label) in enumerate(scored, 1):
-        right += label
-        below = scored[i][0] if i < len(scored) else 0.0
-        if below < p and right / i >= PRECISION:
-            threshold = (p + below) / 2
+    model = trees.fit(cases.where("not held"))
+    scored = model.transform(cases.where("held")).select(vector_to_array("probability")[1].alias("p"), "label", "weight")
+    steps = scored.groupBy(F.floor(F.col("p") * STEPS).alias("step")).agg(
+        F.min("p").alias("low"), F.max("p").alias("high"), F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("right")
+    ).orderBy(F.desc("step")).collect()  # a row for each step at most
+    threshold, right, n = 1.01, 0.0, 0.0
+    for i, step in enumerate(steps, 1):
+        right, n = right + step["right"], n + step["n"]
+        below = steps[i]["high"] if i < len(steps) else 0.0
+        if below < step["low"] and right / n >= PRECISION:
+            threshold = (step["low"] + below) / 2
     return model, assembler, max(threshold, 0.5)
 
 
@@ -226,7 +236,7 @@ def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.select("row", "doc_id", "digest"), write_once(spans, "candidates")
 
 
-def find_spans(docs: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
+def find_spans(docs: DataFrame, sample: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, digest) of all of ``docs(doc_id, text)``, and their spans (row, kind, start, end, base, score).
 
     Offsets count code points, the end is exclusive. ``base`` spans are those of the base
@@ -260,7 +270,7 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def report(docs: DataFrame, sample: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, base counts by kind, base_sha256, spans.
 
     Rows that repeat are reported each; a null doc_id stays null; other columns are not looked
@@ -283,7 +293,7 @@ def report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def redact(docs: DataFrame, sample: int | None = None) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one.
 
     Columns other than text are kept as they are, as are null texts.
