@@ -9,9 +9,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from paytally import schemas
+from paytally import fixtures, schemas
 from paytally.operators import domain, field_checks, lookups, reconcile
 from paytally.plans import callbacks, suite
+from paytally.storage import write_once
 from paytally.tables import PaymentTables
 
 
@@ -338,3 +339,18 @@ def test_one_frame_finds_what_the_checks_find_by_themselves(spark, semantics, sc
     if unreadable and not scope:
         twice = suite.Suite(*standard.checks, *standard.checks).run(tables).issues
         assert Counter(map(tuple, twice.collect())) == apart + apart
+
+
+def test_checks_beside_a_broken_one_run_as_one_plan(spark, monkeypatch):
+    def broken(tables):
+        raise KeyError("no such column")
+
+    tables = fixtures.payments(spark, "/root/testdata/sf0.001")
+    written = []
+    monkeypatch.setattr(suite, "write_once", lambda df, label: (written.append(label), write_once(df, label))[1])
+    found = suite.Suite(suite.Check("Broken", broken), *suite.standard_suite().checks).run(tables).issues
+    assert written == ["findings"]
+    alone = suite.standard_suite().run(tables).issues
+    assert found.where("rule = 'check_failed'").count() == 1
+    rest = found.where("rule != 'check_failed'")
+    assert rest.exceptAll(alone).isEmpty() and rest.count() == alone.count() > 0
