@@ -1,10 +1,11 @@
 from __future__ import annotations
 
+import time
 from pathlib import Path
 
 import pytest
 
-from paytally import catalog, fixtures, schemas
+from paytally import catalog, fixtures, schemas, storage
 from paytally.sources import arrow_ipc, pain_xml, pain_xml_writer
 
 SMALL = "/root/testdata/sf0.001"
@@ -38,3 +39,25 @@ def test_arrow_streams_are_compressed_unless_asked_not_to(spark, tmp_path):
     assert _bytes(f"{tmp_path}/usual") * 3 < _bytes(f"{tmp_path}/none")
     with pytest.raises(Exception, match="compression must be"):
         arrow_ipc.write(transactions, f"{tmp_path}/other", compression="brotli")
+
+
+def test_writes_leave_no_shuffle_files_and_no_headers(spark, tmp_path):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {n for n in (f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files.getAllFiles())) if n.startswith("shuffle_")}
+
+    def headers():
+        return set(storage.children(spark, storage.shared_folder(spark)))
+
+    tables = fixtures.payments(spark, SMALL)
+    before, kept = shuffles(), headers()
+    pain_xml_writer.write(tables, f"{tmp_path}/documents", layout="packed")
+    storage.write_once(tables.transactions.repartition("ccy"), "dealt")
+    tables.clustered().save(f"{tmp_path}/tables")
+    deadline = time.monotonic() + 20
+    while shuffles() - before and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert not {n for n in headers() - kept if not n.startswith("dealt")}
+    assert storage.SHUFFLE_CLEANUP not in spark.conf.getAll or spark.conf.get(storage.SHUFFLE_CLEANUP) == "false"
