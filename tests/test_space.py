@@ -5,8 +5,9 @@ from pathlib import Path
 
 import pytest
 
-from paytally import catalog, fixtures, schemas, storage
+from paytally import catalog, fixtures, oracle, schemas, storage
 from paytally.sources import arrow_ipc, pain_xml, pain_xml_writer
+from tests.compare import compare, oracle_connection
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -61,3 +62,46 @@ def test_writes_leave_no_shuffle_files_and_no_headers(spark, tmp_path):
     assert not shuffles() - before
     assert not {n for n in headers() - kept if not n.startswith("dealt")}
     assert storage.SHUFFLE_CLEANUP not in spark.conf.getAll or spark.conf.get(storage.SHUFFLE_CLEANUP) == "false"
+
+
+def test_documents_are_written_a_slice_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pain_xml_writer, "SLICE_ROWS", 2_500)
+    tables = fixtures.payments(spark, SMALL)
+    before = set(storage.children(spark, storage.shared_folder(spark)))
+    seen = []
+    for pieces in pain_xml_writer.slices(tables):
+        waiting = set(storage.children(spark, storage.shared_folder(spark))) - before
+        seen.append((pieces.count(), {r[0] for r in pieces.select("msg_id").distinct().collect()}, len(waiting)))
+    assert len(seen) == 3 and all(n and left == 1 for n, _, left in seen)
+    assert sum(len(ids) for _, ids, _ in seen) == len(set.union(*(ids for _, ids, _ in seen))) == tables.message.count()
+    assert sum(n for n, _, _ in seen) == pain_xml_writer.fragments(tables).count()
+    # Of the shared folder only what fragments() has written itself is left.
+    assert len(set(storage.children(spark, storage.shared_folder(spark))) - before) == 1
+
+
+@pytest.mark.parametrize("name", ["xml_quarantine", "xml_late_fields", "xml_last_values", "repeated_blocks_roundtrip"])
+def test_queries_are_the_same_in_slices(spark, monkeypatch, name):
+    monkeypatch.setattr(pain_xml_writer, "SLICE_ROWS", 2_500)
+    assert compare(spark, oracle_connection(SMALL), catalog.queries()[name], oracle.queries()[name], SMALL)[0] == ""
+
+
+def test_a_packed_write_that_fails_leaves_no_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pain_xml_writer, "SLICE_ROWS", 2_500)
+    tables, path = fixtures.payments(spark, SMALL), f"{tmp_path}/documents"
+    pieces = pain_xml_writer._pieces
+    calls = []
+
+    def second_fails(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise OSError("no more room")
+        return pieces(*args)
+
+    monkeypatch.setattr(pain_xml_writer, "_pieces", second_fails)
+    with pytest.raises(OSError, match="no more room"):
+        pain_xml_writer.write(tables, path, layout="packed")
+    assert not [n for n in storage.children(spark, path) if n[0] not in "_."]
+    monkeypatch.setattr(pain_xml_writer, "_pieces", pieces)
+    with pytest.raises(OSError, match="exists"):
+        (tmp_path / "there").mkdir()
+        pain_xml_writer.write(tables, f"{tmp_path}/there", layout="packed")
