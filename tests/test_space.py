@@ -79,10 +79,19 @@ def test_documents_are_written_a_slice_at_a_time(spark, tmp_path, monkeypatch):
     assert len(set(storage.children(spark, storage.shared_folder(spark))) - before) == 1
 
 
-@pytest.mark.parametrize("name", ["xml_quarantine", "xml_late_fields", "xml_last_values", "repeated_blocks_roundtrip"])
+IN_TURN = (
+    "xml_quarantine xml_late_fields xml_last_values repeated_blocks_roundtrip xml_roundtrip_message parse_stats ingest_report "
+    "batch_callbacks stream_checks stream_irregular scoped_roundtrip"
+).split()
+
+
+@pytest.mark.parametrize("name", IN_TURN)
 def test_queries_are_the_same_in_slices(spark, monkeypatch, name):
     monkeypatch.setattr(pain_xml_writer, "SLICE_ROWS", 2_500)
+    before = set(storage.children(spark, storage.shared_folder(spark)))
     assert compare(spark, oracle_connection(SMALL), catalog.queries()[name], oracle.queries()[name], SMALL)[0] == ""
+    left = set(storage.children(spark, storage.shared_folder(spark))) - before
+    assert not [n for n in left if n.startswith(("documents", "headers"))]
 
 
 def test_a_packed_write_that_fails_leaves_no_slices(spark, tmp_path, monkeypatch):
@@ -105,3 +114,9 @@ def test_a_packed_write_that_fails_leaves_no_slices(spark, tmp_path, monkeypatch
     with pytest.raises(OSError, match="exists"):
         (tmp_path / "there").mkdir()
         pain_xml_writer.write(tables, f"{tmp_path}/there", layout="packed")
+
+
+def test_stored_tables_are_zstd(spark, tmp_path):
+    fixtures.payments(spark, SMALL).append(f"{tmp_path}/stored")
+    parts = [f.name for f in Path(tmp_path).rglob("part-*.parquet")]
+    assert parts and all(".zstd." in name for name in parts)
