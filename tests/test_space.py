@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import time
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from paytally import catalog, fixtures, oracle, schemas, storage
+from paytally import catalog, fixtures, oracle, schemas, storage, tables as tables_
 from paytally.sources import arrow_ipc, pain_xml, pain_xml_writer
 from tests.compare import compare, oracle_connection
 
@@ -120,3 +122,19 @@ def test_stored_tables_are_zstd(spark, tmp_path):
     fixtures.payments(spark, SMALL).append(f"{tmp_path}/stored")
     parts = [f.name for f in Path(tmp_path).rglob("part-*.parquet")]
     assert parts and all(".zstd." in name for name in parts)
+
+
+def test_clustered_tables_are_stored_a_range_of_ids_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables_, "RANGE_ROWS", 2_500)
+    tables = fixtures.payments(spark, SMALL)
+    none = tables.transactions.limit(1).withColumn("pmt_inf_id", F.lit(None).cast("string"))
+    tables = replace(tables, transactions=tables.transactions.unionByName(none))
+    stored = tables.save_clustered(f"{tmp_path}/stored")
+    for name, df in stored.items():
+        own = getattr(tables, name)
+        assert df.count() == own.count() and df.exceptAll(own).isEmpty()
+    writes = {f.name.split("-")[2] for f in Path(f"{tmp_path}/stored/transactions").glob("part-*")}
+    assert len(writes) == 3
+    files = stored.transactions.groupBy(F.input_file_name().alias("f")).agg(F.min("pmt_inf_id").alias("low"), F.max("pmt_inf_id").alias("high"))
+    spans = sorted((r["low"], r["high"]) for r in files.collect() if r["low"])
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
