@@ -55,9 +55,11 @@ def splittable(totals: DataFrame, key: str = "pmt_inf_id") -> DataFrame:
 
     AQE splits a skewed join only where both sides are shuffled for it. Totals would join
     straight from the partitioning their aggregation left, so the key is computed anew, which
-    makes Spark shuffle the totals (one narrow row per key) once more.
+    makes Spark shuffle the totals (one narrow row per key) once more. The keys of totals are never
+    NULL, and the new key cannot be: a join then has no test of its own to push below the aggregation, which
+    so stays equal to others of the same rows, and Spark shuffles these once.
     """
-    return totals.withColumn(key, F.concat(col(key), F.lit("")))
+    return totals.withColumn(key, F.coalesce(F.concat(col(key), F.lit("")), F.lit("")))
 
 
 def _declared_with_totals(declared: DataFrame, tables: PaymentTables, how: str) -> DataFrame:

@@ -354,3 +354,9 @@ def test_checks_beside_a_broken_one_run_as_one_plan(spark, monkeypatch):
     assert found.where("rule = 'check_failed'").count() == 1
     rest = found.where("rule != 'check_failed'")
     assert rest.exceptAll(alone).isEmpty() and rest.count() == alone.count() > 0
+
+
+def test_equal_block_totals_of_fixture_and_check_are_shuffled_once(spark):
+    found = reconcile.control_sum_remittance(fixtures.payments(spark, "/root/testdata/sf0.001"))
+    found.collect()
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
