@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 # `\z` ends each pattern because `$` would also match before a trailing newline.
 IBAN_FORMAT = r"^[A-Z]{2}[0-9]{2}[A-Z0-9]+\z"
 IBAN_CHARACTERS = r"^[A-Za-z0-9]{5,34}\z"
+IBAN_PLAIN = r"^[A-Z]{2}[0-9]{3,32}\z"
 BIC_FORMAT = r"^[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}([A-Z0-9]{3})?\z"
 CURRENCY_FORMAT = r"^[A-Z]{3}\z"
 INTEGER_FORMAT = r"^[+-]?[0-9]+\z"
@@ -58,23 +59,44 @@ def iban_format_bad(c: Column) -> Column:
     return ~c.rlike(IBAN_FORMAT)
 
 
+def _mod_97(digits: Column) -> Column:
+    """The remainder of up to 50 digits, reduced in pieces that fit a long."""
+    rest = F.substring(digits, 1, 18).cast("bigint") % 97
+    for at in (19, 35):
+        rest = F.concat(rest.cast("string"), F.substring(digits, at, 16)).cast("bigint") % 97
+    return rest
+
+
 def iban_valid(c: Column) -> Column:
     """ISO 13616: the first four characters moved to the end, letters as 10..35, mod 97 is 1.
 
-    Letters become digits by plain replacement; the number, of 68 digits at most, is reduced in
-    pieces that fit a long.
+    Most account numbers have no letters but the country's, two of A-Z; only others go through the replacement of
+    each letter. The tests are inside ``exists``, so that a value which is itself computed is computed once.
     """
-    digits = F.upper(F.concat(F.substring(c, 5, 30), F.substring(c, 1, 4)))
-    for i, letter in enumerate(ascii_uppercase):
-        digits = F.replace(digits, F.lit(letter), F.lit(str(10 + i)))
-    pieces = F.regexp_extract_all(digits, F.lit("[0-9]{1,16}"), F.lit(0))
-    rest = F.aggregate(
-        pieces,
-        F.lit(0).cast("bigint"),
-        lambda rest, piece: F.concat(rest.cast("string"), piece).try_cast("bigint") % 97,
-    )
-    shaped = F.coalesce(c.rlike(IBAN_CHARACTERS), F.lit(False))
-    return F.when(shaped, rest == 1).otherwise(F.lit(False))
+
+    def letter(text: Column) -> Column:
+        return (F.ascii(text) - 55).cast("string")
+
+    def lettered(iban: Column) -> Column:
+        # The number, of 68 digits at most, is reduced in pieces that fit a long.
+        digits = F.upper(F.concat(F.substring(iban, 5, 30), F.substring(iban, 1, 4)))
+        for i, capital in enumerate(ascii_uppercase):
+            digits = F.replace(digits, F.lit(capital), F.lit(str(10 + i)))
+        pieces = F.regexp_extract_all(digits, F.lit("[0-9]{1,16}"), F.lit(0))
+        rest = F.aggregate(
+            pieces,
+            F.lit(0).cast("bigint"),
+            lambda rest, piece: F.concat(rest.cast("string"), piece).try_cast("bigint") % 97,
+        )
+        return rest == 1
+
+    def valid(iban: Column) -> Column:
+        digits = F.concat(F.substring(iban, 5, 30), letter(iban), letter(F.substring(iban, 2, 1)), F.substring(iban, 3, 2))
+        plain = F.exists(F.array(digits), lambda d: _mod_97(d) == 1)
+        shaped = F.coalesce(iban.rlike(IBAN_CHARACTERS), F.lit(False))
+        return F.when(iban.rlike(IBAN_PLAIN), plain).when(shaped, lettered(iban)).otherwise(F.lit(False))
+
+    return F.exists(F.array(c), valid)
 
 
 def bic_valid(c: Column) -> Column:

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +94,26 @@ def test_names():
     for bad in ("1a", "a;drop table b", "", "a.b"):
         with pytest.raises(ValueError):
             safe_identifier(bad)
+
+
+def test_account_numbers_equal_their_definition_and_are_computed_once(spark):
+    dice = random.Random(7)
+    letters, figures = "ABCXYZabz", "0123456789"
+    values = [None, "", "DE0", "DE00", "DE000", "DE" + "9" * 32, "DE" + "9" * 33, "DE89370400440532013000\n", "\u00c4E89370400440532013000"]
+    for n in range(600):
+        bank = "".join(dice.choice(figures if n % 3 else letters + figures) for _ in range(dice.randrange(1, 31)))
+        country = "".join(dice.choice("ADEZ") for _ in range(2))
+        number = "".join(str(int(c, 36)) for c in bank + country) + "00"
+        check = 98 - int(number) % 97
+        values += [f"{country}{check:02d}{bank}", f"{country}{(check + n) % 100:02d}{bank}", f"{country.lower()}{check:02d}{bank}"]
+
+    def valid(v):
+        if v is None or not re.fullmatch(r"[A-Za-z0-9]{5,34}", v):
+            return False
+        return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", S.iban_valid(F.col("v")).alias("ok"))
+    assert [(r["v"], r["ok"]) for r in df.collect() if r["ok"] != valid(r["v"])] == []
+    assert df.where("ok").count() > 600
+    computed = spark.range(9).select(F.lpad(F.col("id").cast("string"), 20, "0").alias("v")).where(S.iban_valid(F.col("v")))
+    assert computed._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1].count("lpad(") == 1
