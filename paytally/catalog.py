@@ -330,11 +330,9 @@ def _clustered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kept_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row counts of tables that are kept in memory and spilled to disk."""
-    tables = fixtures.payments(spark, sf_dir)
-    kept = tables.persist()
-    counts = kept.counts().collect()
-    kept.unpersist()
+    """Row counts of tables that are kept while they are counted."""
+    with fixtures.payments(spark, sf_dir).kept() as kept:
+        counts = kept.counts().collect()
     return spark.createDataFrame(counts)
 
 

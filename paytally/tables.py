@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paytally import schemas
-from paytally.storage import shuffles_cleared
+from paytally.storage import fresh_path, remove, shuffles_cleared
 
 
 def table_path(path: str, table: str, base: str | None = None) -> str:
@@ -137,6 +138,18 @@ class PaymentTables:
     def append(self, path: str) -> PaymentTables:
         return self.save(path, mode="append", options=schemas.COMPACT)
 
+    @contextmanager
+    def kept(self) -> Iterator[PaymentTables]:
+        """The same rows, computed once, for all that is done inside; compressed, in the shared folder.
+
+        Takes a fraction of the disk of ``persist``, whose blocks go to disk as they are when memory is short.
+        """
+        folder = fresh_path(self.spark, "kept")
+        try:
+            yield self.save(folder, options=schemas.COMPACT)
+        finally:
+            remove(self.spark, folder)
+
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> PaymentTables:
         return self.map(lambda _, df: df.persist(level))
 

@@ -138,3 +138,21 @@ def test_clustered_tables_are_stored_a_range_of_ids_at_a_time(spark, tmp_path, m
     files = stored.transactions.groupBy(F.input_file_name().alias("f")).agg(F.min("pmt_inf_id").alias("low"), F.max("pmt_inf_id").alias("high"))
     spans = sorted((r["low"], r["high"]) for r in files.collect() if r["low"])
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_kept_tables_are_compressed_and_go_after_use(spark):
+    tables = fixtures.payments(spark, SMALL)
+    before = set(storage.children(spark, storage.shared_folder(spark)))
+    with pytest.raises(OSError, match="stop"):
+        with tables.kept() as kept:
+            (folder,) = set(storage.children(spark, storage.shared_folder(spark))) - before
+            parts = [f.name for f in Path(storage.shared_folder(spark), folder).rglob("part-*.parquet")]
+            assert parts and all(".zstd." in name for name in parts)
+            for name, df in kept.items():
+                own = getattr(tables, name)
+                assert df.count() == own.count() and df.exceptAll(own).isEmpty()
+            raise OSError("stop")
+    assert set(storage.children(spark, storage.shared_folder(spark))) == before
+    assert compare(spark, oracle_connection(SMALL), catalog.queries()["kept_tables"], oracle.queries()["kept_tables"], SMALL)[0] == ""
+    assert set(storage.children(spark, storage.shared_folder(spark))) == before
+    assert spark._jsc.sc().getPersistentRDDs().isEmpty()
