@@ -32,7 +32,9 @@ END_ID = 2
 #: Bytes of text that are cut into words at a time; the more, the fewer of the words are distinct.
 CUT_BYTES = 1 << 22
 #: Words after which a worker process starts to forget: those not met again while as many others come.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 500_000
+#: Words that are encoded as one text.
+TOGETHER = 512
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
@@ -77,15 +79,32 @@ class Encoder:
         self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.first, self.after_space = Words(), Words()
         self.feed = self._whole(["\n"])[0]
+        self.feed_id = int.from_bytes(self.feed, "little")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         packed = self.packed.__getitem__
         return [b"".join(map(packed, e.ids)) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _each(self, words: list[str], prefix: str) -> list[bytes]:
+        """The ids of each word, many encoded as the lines of one text: a line feed is an id of its own there."""
+        out: list[bytes] = []
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        texts = ["\n".join([prefix + w for w in group]) for group in groups]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            feeds = np.flatnonzero(ids == self.feed_id)
+            if len(feeds) != len(group) - 1:  # something of a word takes in the line feed beside it
+                out += self._whole([prefix + w for w in group])
+                continue
+            packed = ids.tobytes()
+            begins, ends = [0, *(4 * feeds + 4).tolist()], [*(4 * feeds).tolist(), len(packed)]
+            out += [packed[a:b] for a, b in zip(begins, ends, strict=True)]
+        return out
+
     def _learn(self, known: Words, words: set[str], prefix: str) -> None:
         new = known.unknown(words)
         if new:
-            known.now.update(zip(new, self._whole([prefix + w for w in new]), strict=True))
+            known.now.update(zip(new, self._each(new, prefix), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [_odd_space(t) for t in texts]

@@ -517,3 +517,18 @@ def test_words_are_forgotten_only_when_they_are_not_met_again(monkeypatch):
         words.now.update({w: w.encode() for w in new})
         assert set(met) <= set(words.now)
     assert learned.count("a") == 1 and learned.count("b") == 2
+
+
+def test_words_encoded_together_are_as_alone(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    words = ["a", "", "don't", "'s", "...", "1,000.50", "<|endoftext|>", "x<|endoftext|>y", "é", "日本語", "́x", "🙂", "\x00", "!?", "", "_"]
+    words += [f"w{n * n}{'xyz'[n % 3]}q" for n in range(700)]
+    monkeypatch.setattr(packing, "TOGETHER", 7)
+    calls = []
+    alone = encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda texts: calls.append(len(texts)) or alone(texts))
+    for prefix in ("", " "):
+        assert encoder._each(words, prefix) == alone([prefix + w for w in words])
+    # Only groups in which a line feed is taken in are encoded word by word.
+    assert sum(calls) <= 4 * 7
