@@ -405,7 +405,8 @@ def _searched(asked: DataFrame, blocks: DataFrame, tree: Tree, sample: dict, cou
     calls = asked.mapInArrow(
         partial(_call, tree, sample, count, percent), "leaf long, a_keys array<string>, a_labels array<long>, a_vectors array<binary>, tops array<array<long>>"
     )
-    pairs = calls.join(blocks, "leaf").select("a_keys", "a_labels", "a_vectors", "tops", "keys", "labels", "vectors", "ids")
+    # Calls are a few rows of anchors by their estimate, and anchors times leaves in fact: never broadcast.
+    pairs = calls.hint("merge").join(blocks, "leaf").select("a_keys", "a_labels", "a_vectors", "tops", "keys", "labels", "vectors", "ids")
     id_type = blocks.schema["ids"].dataType.elementType.elementType
     found = pairs.mapInArrow(
         partial(_search, count, percent, to_arrow_type(id_type)), f"key string, top long, score long, vec_id {id_type.simpleString()}, own boolean"

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paytally.llm import hard_negatives as hn
+from paytally.storage import write_once
 
 LONG = 2**63 - 1
 SCHEMA = "vec_id long, embedding array<float>, label int, key string, leaf int, vector string, ids int"
@@ -101,3 +102,15 @@ def test_ranges_leave_subtrees_out():
     needed = [(k, leaf) for k in range(50) for leaf in set(leaves[(scores[k] <= top[k]) & (scores[k] >= 0.97 * top[k])].tolist())]
     assert all(k in visited[leaf] for k, leaf in needed)
     assert sum(map(len, visited.values())) < 0.3 * 50 * tree.n_leaves
+
+
+def test_calls_of_anchors_are_not_broadcast(spark):
+    """Their estimate is that of the anchors, however many leaves each of these visits."""
+    rows = spark.createDataFrame(clustered(200), "vec_id long, embedding array<float>, label int")
+    classed = write_once(hn.classes(hn.whole_vectors(rows), 6), "classed")
+    tree, sampled = hn.fit(classed, ways=3, leaf=10)
+    blocks, tree = hn.index(classed, tree)
+    asked = classed.select("key", "label", "vector", F.lit(None).cast("array<long>").alias("tops"))
+    found = hn._searched(asked, blocks, tree, sampled, 6, 80)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.select("key").distinct().count() == classed.count()
