@@ -16,7 +16,9 @@ from tests.llm import cases
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return cases.documents(spark).cache()
+    kept = cases.documents(spark).cache()
+    yield kept
+    kept.unpersist()
 
 
 @pytest.fixture(scope="module")
