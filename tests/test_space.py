@@ -156,3 +156,27 @@ def test_kept_tables_are_compressed_and_go_after_use(spark):
     assert compare(spark, oracle_connection(SMALL), catalog.queries()["kept_tables"], oracle.queries()["kept_tables"], SMALL)[0] == ""
     assert set(storage.children(spark, storage.shared_folder(spark))) == before
     assert spark._jsc.sc().getPersistentRDDs().isEmpty()
+
+
+def test_slices_read_the_transactions_once(spark, tmp_path):
+    """In however many parts transactions wait for their headers, they are read once; the parts hold every row of a block."""
+    tables = fixtures.payments(spark, SMALL)
+    reads = spark.sparkContext.accumulator(0)
+    seen = tables.transactions.rdd.map(lambda row: reads.add(1) or row)
+    counted = replace(tables, transactions=spark.createDataFrame(seen, tables.transactions.schema))
+    _, blocks = pain_xml_writer._headers(counted, f"{tmp_path}/headers")
+    rows = [part.count() for part in pain_xml_writer._placed_in_parts(counted, blocks, 3, f"{tmp_path}/parts")]
+    assert all(rows) and sum(rows) == tables.transactions.join(tables.remittance, "pmt_inf_id", "left_semi").count()
+    assert reads.value == tables.transactions.count()
+
+
+def test_files_of_few_tasks_are_parsed_by_more(spark, tmp_path):
+    """A compressed file is one task until its headers' ids are known; then its blocks are parsed by several, with equal rows."""
+    pain_xml_writer.write(fixtures.payments(spark, SMALL), f"{tmp_path}/documents", layout="packed", compression="gzip")
+    raw = pain_xml.scan(spark.read, f"{tmp_path}/documents").coalesce(1)
+    assert pain_xml._few_tasks(raw) and not pain_xml._few_tasks(raw.repartition(8))
+    one, more = (storage.write_at(pain_xml.parse_pieces(raw, dealt_out), f"{tmp_path}/staged-{dealt_out}") for dealt_out in (False, True))
+    plan = pain_xml.parse_pieces(raw, dealt_out=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(source_file" in plan
+    text = F.to_json(F.struct("*"))
+    assert one.select(text).exceptAll(more.select(text)).isEmpty() and one.count() == more.count()
